@@ -17,7 +17,7 @@ _kept: list[DataFrame] = []
 
 def planned_bytes(df: DataFrame) -> int:
     """Size the optimizer expects, before anything has run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def auto_broadcast_bytes(df: DataFrame) -> int:

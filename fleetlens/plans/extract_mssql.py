@@ -177,7 +177,7 @@ def extract_vitals(
     ]
 
     def pages_gb(total):
-        return (total * 8).cast("decimal(24,0)") / F.lit(1048576).cast("decimal(7,0)")
+        return (total * 8).cast("double") / F.lit(1048576)
 
     frames = [
         counters.groupBy(S).agg(
