@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.joins import checked_small
+from fleetlens.operators.joins import checked_small, planned_bytes
 
 #: Partition column of the snapshot store: the day of ``CollectedAt``.
 SNAPSHOT_DATE = "snapshot_date"
+#: A history expected to be smaller than this is ranked in one pass; a larger
+#: one is first narrowed by a scan of its keys and times alone.
+ONE_PASS_BYTES = 256 * 2**20
+
+
+def _large(df: DataFrame) -> bool:
+    return not df.isStreaming and planned_bytes(df) > ONE_PASS_BYTES
 
 
 def _narrow(df: DataFrame, newest: DataFrame, keys, ts: str, carry=()):
@@ -45,20 +52,19 @@ def first_per_key(df: DataFrame, keys, *order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def latest_row(df: DataFrame, keys, ts: str = "CollectedAt", tie=(), narrow: bool = True) -> DataFrame:
+def latest_row(df: DataFrame, keys, ts: str = "CollectedAt", tie=(), narrow: bool | None = None) -> DataFrame:
     """The newest row per key; ``tie`` columns (descending) settle equal times.
 
-    ``narrow=False`` skips the cheap pre-pass for keys that are almost as many
-    as the rows.
+    ``narrow`` forces or forbids the cheap pre-pass; by default it is made for
+    large histories. Forbid it for keys that are almost as many as the rows.
     """
     keys, tie = list(keys), [tie] if isinstance(tie, str) else list(tie)
-    order = [F.desc(ts)] + [F.desc(c) for c in tie]
     source = df
-    if narrow and not df.isStreaming:
+    if _large(df) if narrow is None else narrow:
         newest = df.groupBy(*keys).agg(F.max(ts).alias(ts))
         source = _narrow(df, newest, keys, ts)
         source = df if source is None else source
-    return first_per_key(source, keys, *order)
+    return first_per_key(source, keys, F.desc(ts), *[F.desc(c) for c in tie])
 
 
 def at_cycles(df: DataFrame, cycles: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", carry=()) -> DataFrame:
@@ -74,7 +80,13 @@ def at_cycles(df: DataFrame, cycles: DataFrame, keys=("ServerName",), ts: str =
     return df.join(cycles.select(*keys, ts, *carry), [*keys, ts], "inner").select(*df.columns, *carry)
 
 
-def latest_cycle(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", cycles: DataFrame | None = None) -> DataFrame:
+def latest_cycle(
+    df: DataFrame,
+    keys=("ServerName",),
+    ts: str = "CollectedAt",
+    cycles: DataFrame | None = None,
+    narrow: bool | None = None,
+) -> DataFrame:
     """All rows of each key's newest collection cycle.
 
     A collector that finds nothing writes nothing, so by default the last
@@ -82,6 +94,9 @@ def latest_cycle(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", c
     from the collection log) an empty newest cycle yields no rows.
     """
     keys = list(keys)
+    if cycles is None and not (_large(df) if narrow is None else narrow):
+        w = Window.partitionBy(*keys).orderBy(F.desc(ts))
+        return df.withColumn("_r", F.rank().over(w)).filter("_r = 1").drop("_r")
     runs = df.select(*keys, ts)
     if cycles is not None:
         runs = runs.unionByName(cycles.select(*keys, ts))
@@ -97,11 +112,22 @@ def cycle_times(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", la
     return times.withColumn("CycleNo", F.row_number().over(w)).filter(F.col("CycleNo") <= last)
 
 
-def nth_cycle(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", n: int = 1) -> DataFrame:
-    """All rows of each key's n-th newest cycle."""
+def last_cycles(
+    df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", last: int = 2, narrow: bool | None = None
+) -> DataFrame:
+    """All rows of each key's ``last`` newest cycles, with their ``CycleNo``."""
     keys = list(keys)
-    times = cycle_times(df, keys, ts, n).filter(F.col("CycleNo") == n).drop("CycleNo")
-    return at_cycles(df, times, keys, ts)
+    if not (_large(df) if narrow is None else narrow):
+        w = Window.partitionBy(*keys).orderBy(F.desc(ts))
+        return df.withColumn("CycleNo", F.dense_rank().over(w)).filter(F.col("CycleNo") <= last)
+    return at_cycles(df, cycle_times(df, keys, ts, last), keys, ts, carry=["CycleNo"])
+
+
+def nth_cycle(
+    df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", n: int = 1, narrow: bool | None = None
+) -> DataFrame:
+    """All rows of each key's n-th newest cycle."""
+    return last_cycles(df, keys, ts, n, narrow).filter(F.col("CycleNo") == n).drop("CycleNo")
 
 
 def since(df: DataFrame, ts: str, cut) -> DataFrame:

@@ -32,8 +32,10 @@ def reconcile(
     * resolved rows: kept as history. A condition that returns gets a new row.
     """
     now = ts_lit(as_of)
-    cur = one_per_key(current, key, text)
-    cur = cur.select(*[F.col(c).alias(f"_c_{c}") for c in cur.columns])
+    types = {f.name: f.dataType for f in prev.schema.fields}
+    current = one_per_key(current, key, text)
+    given = current.columns
+    cur = current.select(*[F.col(c).alias(f"_c_{c}") for c in given])
     opened = prev.filter(~F.col("Resolved"))
     joined = opened.join(cur, F.col(key) == F.col(f"_c_{key}"), "full")
     seen, known = F.col(f"_c_{key}").isNotNull(), F.col(key).isNotNull()
@@ -45,14 +47,14 @@ def reconcile(
         "ResolvedAt": F.when(gone, now).otherwise(F.col("ResolvedAt")),
     }
     out = []
-    for c in prev.columns:
+    for c, kind in types.items():
         if c in special:
             value = special[c]
-        elif f"_c_{c}" not in cur.columns:
+        elif c not in given:
             value = F.col(c)
         elif c in refresh:
             value = F.when(seen, F.col(f"_c_{c}")).otherwise(F.col(c))
         else:
             value = F.when(known, F.col(c)).otherwise(F.col(f"_c_{c}"))
-        out.append(value.cast(prev.schema[c].dataType).alias(c))
+        out.append(value.cast(kind).alias(c))
     return joined.select(*out).unionByName(prev.filter(F.col("Resolved")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import constants as K
 from fleetlens.functions.expressions import boundary_diff, cat, percent_of, ts_lit, txt
 from fleetlens.operators.joins import join_unique
+from fleetlens.operators.latest import first_per_key
 from fleetlens.operators.ranking import top_k, total_per_key
 
 S = "ServerName"
@@ -130,21 +131,22 @@ def extract_job_failures(history: DataFrame, jobs: DataFrame, as_of, source_tz:
     )
 
 
-#: path of the value and of the time inside a ring-buffer record
+#: where a ring-buffer record keeps its value, and the time in its opening tag
 CPU_PATH = "/Record/SchedulerMonitorEvent/SystemHealth/ProcessUtilization"
-RECORD_TIME_PATH = "/Record/@time"
+RECORD_TIME = r"""<Record\b[^>]*\btime\s*=\s*["'](\d+)"""
 
 
 def extract_cpu_pct(ring_buffer: DataFrame) -> DataFrame:
-    """CPU use of the instance from the newest scheduler record."""
+    """CPU use of the instance from the newest scheduler record.
+
+    Only the newest record of a server is parsed as XML; the times are read
+    from the opening tags.
+    """
     records = ring_buffer.filter(
         (F.col("ring_buffer_type") == "RING_BUFFER_SCHEDULER_MONITOR") & F.col("record").contains("<SystemHealth>")
-    ).select(
-        S,
-        F.xpath_int("record", F.lit(CPU_PATH)).alias("_cpu"),
-        F.xpath_long("record", F.lit(RECORD_TIME_PATH)).alias("_time"),
-    )
-    return records.groupBy(S).agg(F.max_by("_cpu", "_time").cast("double").alias("cpu_pct"))
+    ).select(S, "record", F.regexp_extract("record", RECORD_TIME, 1).try_cast("bigint").alias("_time"))
+    newest = first_per_key(records, [S], F.desc_nulls_last("_time"))
+    return newest.select(S, F.xpath_int("record", F.lit(CPU_PATH)).cast("double").alias("cpu_pct"))
 
 
 def extract_vitals(

@@ -20,9 +20,8 @@ from fleetlens.functions.expressions import (
 )
 from fleetlens.operators.joins import join_unique
 from fleetlens.operators.latest import (
-    at_cycles,
-    cycle_times,
     first_per_key,
+    last_cycles,
     latest_cycle,
     latest_row,
 )
@@ -32,14 +31,16 @@ from fleetlens.schemas import ROW_KEYS
 
 def _tie(df: DataFrame, *names):
     """Tie columns that this source supplies."""
-    return [c for c in ("SnapshotID", *names) if c in df.columns]
+    have = df.columns
+    return [c for c in ("SnapshotID", *names) if c in have]
 
 
 def _pick(df: DataFrame, *columns) -> DataFrame:
     """Select columns; those an evidence source lacks are NULL text."""
+    have = df.columns
     return df.select(
         *[
-            (F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)) if isinstance(c, str) else c
+            (c if c in have else F.lit(None).cast("string").alias(c)) if isinstance(c, str) else c
             for c in columns
         ]
     )
@@ -195,11 +196,13 @@ def login_activity(logins: DataFrame, cycles: DataFrame | None = None) -> DataFr
 
 
 def spectrum_by_table(scans: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
-    tb = F.col("TBScanned")
+    # exact bytes again: a double times a price can fall on the wrong side of half a cent
+    tb = F.col("TBScanned").cast("decimal(28,12)")
+    price = F.lit(str(K.EXTERNAL_SCAN_USD_PER_TB)).cast("decimal(2,1)")
     return _pick(
         latest_cycle(scans, cycles=cycles), "ServerName", "ExternalTable", "QueryCount",
         tb.cast("decimal(12,4)").alias("TBScanned"),
-        (tb * K.EXTERNAL_SCAN_USD_PER_TB).cast("decimal(12,2)").alias("EstCostUSD"), "CollectedAt",
+        (tb * price).cast("decimal(12,2)").alias("EstCostUSD"), "CollectedAt",
     )
 
 
@@ -249,9 +252,7 @@ def counter_delta(counters: DataFrame, name: str, value: str, server: str = "Ser
     are left out.
     """
     ts = "CollectedAt"
-    rows = at_cycles(
-        counters.select(server, ts, name, value), cycle_times(counters, [server], ts), [server], ts, carry=["CycleNo"]
-    )
+    rows = last_cycles(counters.select(server, ts, name, value), [server], ts)
     before = F.max(F.when(F.col("CycleNo") == 2, F.col(value))).over(Window.partitionBy(server, name))
     grown = (
         rows.withColumn("_before", before)
@@ -489,7 +490,8 @@ def estate_health(
     ):
         stacked = stacked.unionByName(part)
     worst = stacked.groupBy("ServerName").pivot("Domain", K.DOMAINS).agg(F.min("Rank"))
-    rows = join_unique(servers.filter("IsActive"), worst, ["ServerName"], "left")
+    # one row per server on both sides
+    rows = servers.filter("IsActive").join(worst, "ServerName", "left")
 
     no_rows = "OK" if as_written else "NA"
 

@@ -551,12 +551,18 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in _SPARK_SQL and name not in BASE_TABLES:
+            raise AttributeError(name)
+        if name not in self._frames:
+            self._frames[name] = self._build(name)
+        return self._frames[name]
+
+    def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name not in _SPARK_SQL:
-            raise AttributeError(name)
         sql = _SPARK_SQL[name]
         used = {n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", sql))}
         return self.spark.sql(sql, **used)

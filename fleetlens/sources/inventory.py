@@ -27,20 +27,21 @@ def upsert_by_key(dim: DataFrame, rows: DataFrame, key, keep_if_null=(), on_inse
     keys = [key] if isinstance(key, str) else list(key)
     on_insert = on_insert or {}
     changes = last_change(rows, keys, order)
-    changes = changes.select(*[F.col(c).alias(f"_c_{c}") for c in changes.columns])
+    given = changes.columns
+    changes = changes.select(*[F.col(c).alias(f"_c_{c}") for c in given])
     cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_c_{k}") for k in keys])
     joined = dim.join(changes, cond, "full")
     stored, changed = F.col(keys[0]).isNotNull(), F.col(f"_c_{keys[0]}").isNotNull()
     out = []
-    for c in dim.columns:
-        new = F.col(f"_c_{c}") if f"_c_{c}" in changes.columns else None
+    for c, kind in [(f.name, f.dataType) for f in dim.schema.fields]:
+        new = F.col(f"_c_{c}") if c in given else None
         if new is None:
             value = F.when(stored, F.col(c)).otherwise(on_insert[c]) if c in on_insert else F.col(c)
         else:
             update = F.coalesce(new, F.col(c)) if c in keep_if_null else new
             insert = F.coalesce(new, on_insert[c]) if c in on_insert else new
             value = F.when(changed & stored, update).when(changed, insert).otherwise(F.col(c))
-        out.append(value.cast(dim.schema[c].dataType).alias(c))
+        out.append(value.cast(kind).alias(c))
     return joined.select(*out)
 
 
