@@ -18,6 +18,18 @@ def _large(df: DataFrame) -> bool:
     return not df.isStreaming and planned_bytes(df) > ONE_PASS_BYTES
 
 
+def _named(side: DataFrame, keys, ts: str, carry=()) -> DataFrame:
+    """The times to look for, under names that do not clash with the history."""
+    return side.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(ts).alias("_n_ts"), *carry)
+
+
+def _same_time(keys, ts: str):
+    cond = F.col(ts) == F.col("_n_ts")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
+    return cond
+
+
 def _narrow(df: DataFrame, newest: DataFrame, keys, ts: str, carry=()):
     """Rows of ``df`` standing at the time ``newest`` names for their key.
 
@@ -32,14 +44,12 @@ def _narrow(df: DataFrame, newest: DataFrame, keys, ts: str, carry=()):
     side = checked_small(side)
     if side is None:
         return None
-    side = side.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(ts).alias("_n_ts"), *carry)
-    cond = F.col(ts) == F.col("_n_ts")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
-    if SNAPSHOT_DATE in df.columns:
+    side, cond = _named(side, keys, ts, carry), _same_time(keys, ts)
+    columns = df.columns
+    if SNAPSHOT_DATE in columns:
         side = side.withColumn("_n_day", F.to_date("_n_ts"))
         cond = cond & (F.col(SNAPSHOT_DATE) == F.col("_n_day"))
-    return df.join(side, cond, "inner").select(*df.columns, *carry)
+    return df.join(side, cond, "inner").select(*columns, *carry)
 
 
 def first_per_key(df: DataFrame, keys, *order) -> DataFrame:
@@ -77,7 +87,8 @@ def at_cycles(df: DataFrame, cycles: DataFrame, keys=("ServerName",), ts: str =
     if found is not None:
         return found
     # keyed on time as well, so one server's history spreads over many tasks
-    return df.join(cycles.select(*keys, ts, *carry), [*keys, ts], "inner").select(*df.columns, *carry)
+    columns = df.columns
+    return df.join(_named(cycles, keys, ts, carry), _same_time(keys, ts), "inner").select(*columns, *carry)
 
 
 def latest_cycle(
