@@ -6,9 +6,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows may be broadcast (rows here are narrow:
-#: keys, a timestamp, a few numbers; 500,000 of them stay well under 100 MB).
+#: A side may be broadcast if it has at most so many rows and, counted, so many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 * 2**20
 #: Copies made of the unique side when a join has to spread hot keys.
 SALTS = 32
 
@@ -40,13 +40,20 @@ def checked_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame |
     if planned_bytes(df) <= auto_broadcast_bytes(df):
         return df
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.limit(max_rows + 1).count() <= max_rows:
+    # once the rows are counted, the plan of the kept frame states their real size
+    if kept.limit(max_rows + 1).count() <= max_rows and planned_bytes(kept) <= BROADCAST_BYTES:
         _kept.append(kept)
         return F.broadcast(kept)
     kept.unpersist()
     return None
 
 
+def computed_once(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A small intermediate result that several joins use, kept if it is costly; as it is if not small."""
+    side = checked_small(df, max_rows)
+    return df if side is None else side
+
+
 def release_kept() -> None:
     """Unpersist the small sides counted so far."""
     while _kept:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expressions import cat, nullif, status, txt
+from fleetlens.operators.joins import join_unique
 from fleetlens.operators.ranking import top_k
 
 S = "ServerName"
@@ -61,8 +62,7 @@ def config_rules(spark, rules=CONFIG_RULES) -> DataFrame:
 def audit_config(settings: DataFrame, rules: DataFrame) -> DataFrame:
     """Score (ServerName, ConfigItem, CurrentValue) rows against a rule table.
 
-    ``rules`` holds one row per item and is a literal table, so it is
-    broadcast. Settings without a rule are not reported.
+    ``rules`` holds one row per item. Settings without a rule are not reported.
     """
     value, bound = F.col("CurrentValue").cast("bigint"), F.col("Bound")
     holds = F.coalesce(
@@ -74,7 +74,7 @@ def audit_config(settings: DataFrame, rules: DataFrame) -> DataFrame:
         .when(F.col("Op") == ">", value > bound),
         F.lit(False),
     )
-    return settings.join(F.broadcast(rules), "ConfigItem", "inner").select(
+    return join_unique(settings, rules, ["ConfigItem"], "inner").select(
         S,
         "ConfigItem",
         value.cast("string").alias("CurrentValue"),

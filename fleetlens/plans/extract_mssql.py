@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import constants as K
 from fleetlens.functions.expressions import boundary_diff, cat, percent_of, ts_lit, txt
-from fleetlens.operators.joins import join_unique
+from fleetlens.operators.joins import computed_once, join_unique
 from fleetlens.operators.latest import first_per_key
 from fleetlens.operators.ranking import top_k, total_per_key
 
@@ -263,8 +263,8 @@ def extract_top_queries(stats: DataFrame, texts: DataFrame, as_of, n: int = 10)
     """
     recent = stats.filter(F.col("last_execution_time") > ts_lit(as_of, days=-1))
     known = recent.join(texts.select(S, "sql_handle"), [S, "sql_handle"], "left_semi")
-    top = top_k(known, n, F.desc("total_worker_time"), F.asc("sql_handle"))
-    rows = top.join(texts.select(S, "sql_handle", "database_name", "text"), [S, "sql_handle"], "inner")
+    top = computed_once(top_k(known, n, F.desc("total_worker_time"), F.asc("sql_handle")))
+    rows = texts.select(S, "sql_handle", "database_name", "text").join(top, [S, "sql_handle"], "inner")
 
     def per_run(c, then=""):
         return F.expr(f"{c} div nullif(execution_count, 0) {then}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import constants as K
 from fleetlens.functions.expressions import boundary_diff, nullif, ts_lit
-from fleetlens.operators.joins import join_unique
+from fleetlens.operators.joins import computed_once, join_unique
 from fleetlens.operators.ranking import top_k
 
 S = "ServerName"
@@ -51,6 +51,7 @@ def extract_freshness(inserts: DataFrame, queries: DataFrame, tables: DataFrame,
     recent = queries.filter(F.col("endtime") > ts_lit(as_of, days=-2)).select(S, "query", "endtime")
     per_table = (
         inserts.select(S, "query", "tbl")
+        .distinct()  # a load writes a table in many steps
         .join(recent, [S, "query"], "inner")
         .groupBy(S, F.col("tbl").alias("id"))
         .agg(F.max("endtime").alias("_last"))
@@ -202,7 +203,7 @@ def extract_query_cost(
             mib("_scan").alias("ScanMB"), mib("_s3").alias("SpectrumMB"), cost.alias("EstCostUSD"),
         )
     )
-    top = top_k(ran, n, F.desc("EstCostUSD"), F.desc("ScanMB"), F.asc("query"))
+    top = computed_once(top_k(ran, n, F.desc("EstCostUSD"), F.desc("ScanMB"), F.asc("query")))
     wanted = texts.join(top.select(S, "query"), [S, "query"], "left_semi")
     rows = top.join(joined_text(wanted), [S, "query"], "left")
     rows = join_unique(rows, users.select(S, F.col("usesysid").alias("userid"), "usename"), [S, "userid"], "left")

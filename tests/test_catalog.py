@@ -9,10 +9,7 @@ from tests.compare import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: too little data at this size for these to return rows
-MAY_BE_EMPTY = {
-    "alerts_cost", "extract_freshness", "extract_index_health", "extract_top_queries", "growth_series",
-    "report_cost_anomaly", "detect_cost_anomaly",
-}
+MAY_BE_EMPTY = {"alerts_table_health"}
 
 
 @pytest.fixture(scope="module")
