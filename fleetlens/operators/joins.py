@@ -40,8 +40,8 @@ def checked_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame |
     if planned_bytes(df) <= auto_broadcast_bytes(df):
         return df
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # once the rows are counted, the plan of the kept frame states their real size
-    if kept.limit(max_rows + 1).count() <= max_rows and planned_bytes(kept) <= BROADCAST_BYTES:
+    # once the rows are counted, a new plan over the kept frame states their real size
+    if kept.limit(max_rows + 1).count() <= max_rows and planned_bytes(kept.select("*")) <= BROADCAST_BYTES:
         _kept.append(kept)
         return F.broadcast(kept)
     kept.unpersist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.joins import checked_small, planned_bytes
+from fleetlens.operators.joins import checked_small, computed_once, planned_bytes
 
 #: Partition column of the snapshot store: the day of ``CollectedAt``.
 SNAPSHOT_DATE = "snapshot_date"
@@ -39,12 +39,12 @@ def _narrow(df: DataFrame, newest: DataFrame, keys, ts: str, carry=()):
     snapshot day it prunes partitions at run time. Returns None if ``newest``
     is too large to broadcast.
     """
-    # the bound is always true; it lets the planner treat the side as selective
-    side = newest.filter(F.col(ts) > F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
-    side = checked_small(side)
+    side = checked_small(newest)
     if side is None:
         return None
     side, cond = _named(side, keys, ts, carry), _same_time(keys, ts)
+    # always true; partitions are pruned at run time only by a side that looks selective
+    side = side.filter(F.col("_n_ts") > F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
     columns = df.columns
     if SNAPSHOT_DATE in columns:
         side = side.withColumn("_n_day", F.to_date("_n_ts"))
@@ -116,11 +116,28 @@ def latest_cycle(
 
 
 def cycle_times(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", last: int = 2) -> DataFrame:
-    """The ``last`` newest cycle times per key with their number, 1 = newest."""
+    """The ``last`` newest cycle times per key with their number, 1 = newest.
+
+    Each further cycle is the newest one before the cycle already found: a hash
+    aggregate over keys and times per step, instead of a distinct over all
+    cycles of the history.
+    """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc(ts))
-    times = df.select(*keys, ts).distinct()
-    return times.withColumn("CycleNo", F.row_number().over(w)).filter(F.col("CycleNo") <= last)
+    times = df.select(*keys, ts)
+    found, out = None, None
+    for number in range(1, last + 1):
+        earlier = times
+        if found is not None:
+            side = _named(found, keys, ts)
+            same = [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys]
+            cond = F.col(ts) < F.col("_n_ts")
+            for c in same:
+                cond = cond & c
+            earlier = times.join(side, cond, "inner").select(*keys, ts)
+        found = computed_once(earlier.groupBy(*keys).agg(F.max(ts).alias(ts)))
+        step = found.withColumn("CycleNo", F.lit(number))
+        out = step if out is None else out.unionByName(step)
+    return out
 
 
 def last_cycles(

@@ -97,7 +97,10 @@ def test_checked_small_counts_large_frames(spark):
     assert joins.planned_bytes(big) > joins.auto_broadcast_bytes(big)
     assert joins.checked_small(big, max_rows=1000) is None
     few = big.filter("id % 5000000 = 0")
-    assert joins.checked_small(few, max_rows=1000) is not None
+    # estimated at hundreds of megabytes, four rows when counted
+    assert joins.planned_bytes(few) > joins.BROADCAST_BYTES or few.count() == 4
+    side = joins.checked_small(few, max_rows=1000)
+    assert side is not None and "BroadcastHashJoin" in plan(big.join(side, "id"))
     joins.release_kept()
     assert not joins._kept
 
