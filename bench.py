@@ -3,7 +3,8 @@
 Each query runs once to warm up and then ``BENCH_RUNS`` times (default 3) into
 a sink that computes every row and stores nothing; the median counts.
 ``python bench.py --all`` times every registered query, ``--literal`` also the
-window-function form of the latest-row and latest-cycle reports.
+window-function form of the latest-row and latest-cycle reports. Names of
+queries restrict the run to them.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = make_session(cpus, os.environ.get("BENCH_MEMORY", "12g"))
-    names = list(QUERIES) if "--all" in sys.argv else HEADLINE
+    named = [a for a in sys.argv[1:] if not a.startswith("--")]
+    names = named or (list(QUERIES) if "--all" in sys.argv else HEADLINE)
     took = {n: timed(lambda n=n: QUERIES[n](spark, sf_dir), runs) for n in names}
     out = {
         "metric": f"sum of median query times over {len(took)} queries",
@@ -91,8 +93,7 @@ def main() -> None:
         "cpus": cpus,
     }
     if "--literal" in sys.argv:
-        fixtures = Fixtures(spark, sf_dir)
-        out["literal"] = {n: timed(lambda b=b: b(fixtures), runs) for n, b in LITERAL.items()}
+        out["literal"] = {n: timed(lambda b=b: b(Fixtures(spark, sf_dir)), runs) for n, b in LITERAL.items()}
     print(json.dumps(out))
 
 
