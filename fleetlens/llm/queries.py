@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import ann, chat, mixing, packing, sharding
+from fleetlens.llm import ann, chat, html_text, licences, mixing, packing, sharding
 from fleetlens.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op2_query(table(spark, sf_dir, "documents"))
 
 
+def op3_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op3_query(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op4_query(table(spark, sf_dir, "embeddings"))
 
@@ -24,6 +28,10 @@ def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op6_query(table(spark, sf_dir, "conversations"))
 
 
+def op8_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op8_query(table(spark, sf_dir, "pages"))
+
+
 def op9_shard_by_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9_query(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,10 @@ QUERIES = {
     for f in (
         op1_mix_sources,
         op2_pack_sequences,
+        op3_scan_licences,
         op4_nearest_neighbours,
         op6_chat_examples,
+        op8_extract_main_text,
         op9_shard_by_slots,
     )
 }
@@ -42,6 +52,7 @@ QUERIES = {
 ORACLE = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_pack_sequences": packing.ORACLE,
+    "op3_scan_licences": licences.ORACLE,
     "op4_nearest_neighbours": ann.ORACLE,
     "op6_chat_examples": chat.ORACLE,
 }
