@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import ann, chat, html_text, licences, mixing, packing, sharding
+from fleetlens.llm import ann, chat, html_text, licences, mixing, packing, quality, sharding
 from fleetlens.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op6_query(table(spark, sf_dir, "conversations"))
 
 
+def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7_query(table(spark, sf_dir, "documents"))
+
+
 def op8_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.op8_query(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ QUERIES = {
         op3_scan_licences,
         op4_nearest_neighbours,
         op6_chat_examples,
+        op7_quality_outliers,
         op8_extract_main_text,
         op9_shard_by_slots,
     )
