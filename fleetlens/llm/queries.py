@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import ann, chat, html_text, licences, mixing, packing, quality, sharding
+from fleetlens.llm import ann, chat, html_text, licences, mixing, near_dups, packing, quality, sharding
 from fleetlens.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op9_shard_by_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9_query(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.op10_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -51,6 +55,7 @@ QUERIES = {
         op7_quality_outliers,
         op8_extract_main_text,
         op9_shard_by_slots,
+        op10_near_duplicates,
     )
 }
 
