@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import ann, chat, html_text, licences, mixing, near_dups, packing, quality, sharding
+from fleetlens.llm import ann, chat, html_text, licences, mixing, near_dups, packing, quality, sharding, suffixes
 from fleetlens.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op4_query(table(spark, sf_dir, "embeddings"))
 
 
+def op5_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op5_query(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op6_query(table(spark, sf_dir, "conversations"))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op2_pack_sequences,
         op3_scan_licences,
         op4_nearest_neighbours,
+        op5_remove_repeats,
         op6_chat_examples,
         op7_quality_outliers,
         op8_extract_main_text,
