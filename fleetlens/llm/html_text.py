@@ -23,7 +23,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 BLOCKS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li link main menu meta nav ol option p pre section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
@@ -44,6 +44,8 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 PARTS = re.compile(r"[^a-z0-9]+")
 
 WORD, ASIDE_TOKEN = "word", "aside"
+#: Weight that any tag has at least against the content.
+LEAST = -0.05
 
 
 def is_aside(name: str, attrs: str) -> bool:
@@ -121,7 +123,7 @@ def weights_from(counts: Mapping[str, tuple[int, int]]) -> dict[str, float]:
     def odds(inside: int, outside: int) -> float:
         return math.log((inside + 1) / total_in) - math.log((outside + 1) / total_out)
 
-    found = {name: min(-0.05, odds(i, o)) for name, (i, o) in counts.items()}
+    found = {name: min(LEAST, odds(i, o)) for name, (i, o) in counts.items()}
     found[WORD] = max(0.1, odds(*counts.get(WORD, (0, 0))))
     found[ASIDE_TOKEN] = min(-1.0, odds(*counts.get(ASIDE_TOKEN, (0, 0))))
     found.setdefault("", -0.3)
@@ -144,17 +146,23 @@ def main_text(page: str, weights: Mapping[str, float]) -> str:
     """Blocks of the best region, one a line, white space inside made one space."""
     parts = list(items(page))
     word, aside, other = weights[WORD], weights[ASIDE_TOKEN], weights[""]
-    scores = []
+    scores, held = [], 0
     for kind, value in parts:
+        name = value.removeprefix("/")
         if kind == "text":
             scores.append(word * len(value.split()))
+        elif kind == "aside":  # one within the article is left out, but does not end it
+            scores.append(LEAST if held else aside)
         else:
-            scores.append(aside if kind == "aside" else weights.get(value.removeprefix("/"), other))
+            held = max(0, held + (name in ("article", "main")) * (-1 if value != name else 1))
+            scores.append(weights.get(name, other))
     start, end = best_region(scores)
     blocks, now = [], []
     for kind, value in [*parts[start:end], ("tag", "p")]:
         if kind == "text":
             now.append(value)
+        elif value == "br":
+            now.append(" ")
         elif value.removeprefix("/") in BLOCKS and now:
             if line := " ".join(entities.unescape("".join(now)).split()):
                 blocks.append(line)
