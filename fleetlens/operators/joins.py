@@ -1,80 +1,20 @@
-"""Joins against a smaller side whose size is checked before it is broadcast."""
+"""Joins against a side with one row per key."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side may be broadcast if it has at most so many rows and, counted, so many bytes.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 256 * 2**20
 #: Copies made of the unique side when a join has to spread hot keys.
 SALTS = 32
 
-_kept: list[DataFrame] = []
 
+def salted_join(big: DataFrame, small: DataFrame, on, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Join many rows to a side that has at most one row per key, spreading each key over ``salts`` tasks.
 
-def planned_bytes(df: DataFrame) -> int:
-    """Size the optimizer expects, before anything has run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def auto_broadcast_bytes(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    for suffix, size in (("kb", 2**10), ("mb", 2**20), ("gb", 2**30), ("b", 1)):
-        if raw.endswith(suffix):
-            return int(raw[: -len(suffix)]) * size
-    return int(raw)
-
-
-def checked_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` ready to be broadcast, or None when it is too large.
-
-    If the optimizer already expects less than the automatic threshold, Spark
-    broadcasts by itself and nothing runs here. Otherwise the rows are counted
-    once; the counted frame is kept so that the join does not compute it again.
-    """
-    if df.isStreaming:
-        return None
-    if planned_bytes(df) <= auto_broadcast_bytes(df):
-        return df
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # once the rows are counted, a new plan over the kept frame states their real size
-    if kept.limit(max_rows + 1).count() <= max_rows and planned_bytes(kept.select("*")) <= BROADCAST_BYTES:
-        _kept.append(kept)
-        return F.broadcast(kept)
-    kept.unpersist()
-    return None
-
-
-def computed_once(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A small intermediate result that several joins use, kept if it is costly; as it is if not small."""
-    side = checked_small(df, max_rows)
-    return df if side is None else side
-
-
-def release_kept() -> None:
-    """Unpersist the small sides counted so far."""
-    while _kept:
-        _kept.pop().unpersist()
-
-
-def join_unique(big: DataFrame, small: DataFrame, on, how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join many rows to a side that has at most one row per key.
-
-    Broadcast when the unique side is small enough. Beyond that both sides are
-    shuffled on key + salt, the unique side once per salt, so that a key that
-    holds a large share of ``big`` is spread over many tasks.
+    Adaptive execution splits skewed keys of a plain join by itself; ask for salts where it cannot, as before a
+    step that needs the partitioning of the join.
     """
-    on = list(on)
-    side = checked_small(small, max_rows)
-    if side is not None:
-        return big.join(side, on, how)
-    return salted_join(big, small, on, how)
-
-
-def salted_join(big: DataFrame, small: DataFrame, on, how: str = "left", salts: int = SALTS) -> DataFrame:
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
     on = list(on)

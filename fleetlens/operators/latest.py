@@ -1,103 +1,40 @@
-"""Newest row, newest cycle and n-th newest cycle of an append-only series."""
+"""Newest row, newest cycle and n-th newest cycle of an append-only series.
+
+One path at every size: a window whose rank is limited. Spark applies the limit in each map partition before the shuffle, so
+of a long history only the newest rows of each partition travel, and rows without a time sort last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.joins import checked_small, computed_once, planned_bytes
-
 #: Partition column of the snapshot store: the day of ``CollectedAt``.
 SNAPSHOT_DATE = "snapshot_date"
-#: A history expected to be smaller than this is ranked in one pass; a larger
-#: one is first narrowed by a scan of its keys and times alone.
-ONE_PASS_BYTES = 256 * 2**20
-
-
-def _large(df: DataFrame) -> bool:
-    return not df.isStreaming and planned_bytes(df) > ONE_PASS_BYTES
-
-
-def _named(side: DataFrame, keys, ts: str, carry=()) -> DataFrame:
-    """The times to look for, under names that do not clash with the history."""
-    return side.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(ts).alias("_n_ts"), *carry)
-
-
-def _same_time(keys, ts: str):
-    cond = F.col(ts) == F.col("_n_ts")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
-    return cond
-
-
-def _narrow(df: DataFrame, newest: DataFrame, keys, ts: str, carry=()):
-    """Rows of ``df`` standing at the time ``newest`` names for their key.
-
-    ``newest`` (keys + ts) comes from a hash aggregate over two or three
-    columns, far cheaper than sorting whole rows. Broadcast back, it filters
-    the wide scan without a shuffle, and where the table is partitioned by
-    snapshot day it prunes partitions at run time. Returns None if ``newest``
-    is too large to broadcast.
-    """
-    side = checked_small(newest)
-    if side is None:
-        return None
-    side, cond = _named(side, keys, ts, carry), _same_time(keys, ts)
-    # always true; partitions are pruned at run time only by a side that looks selective
-    side = side.filter(F.col("_n_ts") > F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
-    columns = df.columns
-    if SNAPSHOT_DATE in columns:
-        side = side.withColumn("_n_day", F.to_date("_n_ts"))
-        cond = cond & (F.col(SNAPSHOT_DATE) == F.col("_n_day"))
-    return df.join(side, cond, "inner").select(*columns, *carry)
 
 
 def first_per_key(df: DataFrame, keys, *order) -> DataFrame:
-    """One row per key, the first in the given order.
-
-    Spark limits each map partition to one row per key before the shuffle, so
-    a key that holds much of the table does not end up in one task.
-    """
+    """One row per key, the first in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def latest_row(df: DataFrame, keys, ts: str = "CollectedAt", tie=(), narrow: bool | None = None) -> DataFrame:
-    """The newest row per key; ``tie`` columns (descending) settle equal times.
+def latest_row(df: DataFrame, keys, ts: str = "CollectedAt", tie=()) -> DataFrame:
+    """The newest row per key; ``tie`` columns (descending) settle equal times."""
+    tie = [tie] if isinstance(tie, str) else list(tie)
+    return first_per_key(df, list(keys), F.desc(ts), *[F.desc(c) for c in tie])
 
-    ``narrow`` forces or forbids the cheap pre-pass; by default it is made for
-    large histories. Forbid it for keys that are almost as many as the rows.
-    """
-    keys, tie = list(keys), [tie] if isinstance(tie, str) else list(tie)
-    source = df
-    if _large(df) if narrow is None else narrow:
-        newest = df.groupBy(*keys).agg(F.max(ts).alias(ts))
-        source = _narrow(df, newest, keys, ts)
-        source = df if source is None else source
-    return first_per_key(source, keys, F.desc(ts), *[F.desc(c) for c in tie])
 
+def at_cycles(df: DataFrame, cycles: DataFrame, keys=("ServerName",), ts: str = "CollectedAt") -> DataFrame:
+    """Rows of ``df`` collected at one of ``cycles`` (keys + ts, one row each)."""
+    side = cycles.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(ts).alias("_n_ts"))
+    cond = F.col(ts).eqNullSafe(F.col("_n_ts"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
+    return df.join(side, cond, "left_semi")
 
-def at_cycles(df: DataFrame, cycles: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", carry=()) -> DataFrame:
-    """Rows of ``df`` collected at one of ``cycles`` (keys + ts, one row each).
 
-    ``carry`` names columns of ``cycles`` to keep.
-    """
-    keys = list(keys)
-    found = _narrow(df, cycles, keys, ts, carry)
-    if found is not None:
-        return found
-    # keyed on time as well, so one server's history spreads over many tasks
-    columns = df.columns
-    return df.join(_named(cycles, keys, ts, carry), _same_time(keys, ts), "inner").select(*columns, *carry)
-
-
-def latest_cycle(
-    df: DataFrame,
-    keys=("ServerName",),
-    ts: str = "CollectedAt",
-    cycles: DataFrame | None = None,
-    narrow: bool | None = None,
-) -> DataFrame:
+def latest_cycle(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", cycles: DataFrame | None = None) -> DataFrame:
     """All rows of each key's newest collection cycle.
 
     A collector that finds nothing writes nothing, so by default the last
@@ -105,62 +42,31 @@ def latest_cycle(
     from the collection log) an empty newest cycle yields no rows.
     """
     keys = list(keys)
-    if cycles is None and not (_large(df) if narrow is None else narrow):
+    if cycles is None:
         w = Window.partitionBy(*keys).orderBy(F.desc(ts))
         return df.withColumn("_r", F.rank().over(w)).filter("_r = 1").drop("_r")
-    runs = df.select(*keys, ts)
-    if cycles is not None:
-        runs = runs.unionByName(cycles.select(*keys, ts))
-    newest = runs.groupBy(*keys).agg(F.max(ts).alias(ts))
-    return at_cycles(df, newest, keys, ts)
-
+    runs = df.select(*keys, ts).unionByName(cycles.select(*keys, ts))
+    return at_cycles(df, runs.groupBy(*keys).agg(F.max(ts).alias(ts)), keys, ts)
 
-def cycle_times(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", last: int = 2) -> DataFrame:
-    """The ``last`` newest cycle times per key with their number, 1 = newest.
 
-    Each further cycle is the newest one before the cycle already found: a hash
-    aggregate over keys and times per step, instead of a distinct over all
-    cycles of the history.
-    """
-    keys = list(keys)
-    times = df.select(*keys, ts)
-    found, out = None, None
-    for number in range(1, last + 1):
-        earlier = times
-        if found is not None:
-            side = _named(found, keys, ts)
-            same = [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys]
-            cond = F.col(ts) < F.col("_n_ts")
-            for c in same:
-                cond = cond & c
-            earlier = times.join(side, cond, "inner").select(*keys, ts)
-        found = computed_once(earlier.groupBy(*keys).agg(F.max(ts).alias(ts)))
-        step = found.withColumn("CycleNo", F.lit(number))
-        out = step if out is None else out.unionByName(step)
-    return out
-
-
-def last_cycles(
-    df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", last: int = 2, narrow: bool | None = None
-) -> DataFrame:
-    """All rows of each key's ``last`` newest cycles, with their ``CycleNo``."""
-    keys = list(keys)
-    if not (_large(df) if narrow is None else narrow):
-        w = Window.partitionBy(*keys).orderBy(F.desc(ts))
-        return df.withColumn("CycleNo", F.dense_rank().over(w)).filter(F.col("CycleNo") <= last)
-    return at_cycles(df, cycle_times(df, keys, ts, last), keys, ts, carry=["CycleNo"])
+def last_cycles(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", last: int = 2) -> DataFrame:
+    """All rows of each key's ``last`` newest cycles, with their ``CycleNo``, 1 = newest."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(ts))
+    return df.withColumn("CycleNo", F.dense_rank().over(w)).filter(F.col("CycleNo") <= last)
 
 
-def nth_cycle(
-    df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", n: int = 1, narrow: bool | None = None
-) -> DataFrame:
+def nth_cycle(df: DataFrame, keys=("ServerName",), ts: str = "CollectedAt", n: int = 1) -> DataFrame:
     """All rows of each key's n-th newest cycle."""
-    return last_cycles(df, keys, ts, n, narrow).filter(F.col("CycleNo") == n).drop("CycleNo")
+    return last_cycles(df, keys, ts, n).filter(F.col("CycleNo") == n).drop("CycleNo")
 
 
-def since(df: DataFrame, ts: str, cut) -> DataFrame:
-    """Rows not older than ``cut``, with the matching partition filter."""
+def since(df: DataFrame, ts: str, cut, until=None) -> DataFrame:
+    """Rows not older than ``cut`` nor newer than ``until``, with the matching partition filter."""
     out = df.filter(F.col(ts) >= cut)
+    if until is not None:
+        out = out.filter(F.col(ts) <= until)
     if ts == "CollectedAt" and SNAPSHOT_DATE in df.columns:
         out = out.filter(F.col(SNAPSHOT_DATE) >= F.to_date(cut))
+        if until is not None:
+            out = out.filter(F.col(SNAPSHOT_DATE) <= F.to_date(until))
     return out

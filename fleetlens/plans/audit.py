@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expressions import cat, nullif, status, txt
-from fleetlens.operators.joins import join_unique
 from fleetlens.operators.ranking import top_k
 
 S = "ServerName"
@@ -74,7 +73,7 @@ def audit_config(settings: DataFrame, rules: DataFrame) -> DataFrame:
         .when(F.col("Op") == ">", value > bound),
         F.lit(False),
     )
-    return join_unique(settings, rules, ["ConfigItem"], "inner").select(
+    return settings.join(rules, ["ConfigItem"], "inner").select(
         S,
         "ConfigItem",
         value.cast("string").alias("CurrentValue"),

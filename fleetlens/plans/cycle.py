@@ -7,15 +7,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.expressions import severity_rank
-from fleetlens.operators.joins import release_kept
+from fleetlens.functions.expressions import severity_rank, ts_lit
 from fleetlens.operators.ranking import access_rank
 from fleetlens.plans import reports as R
 from fleetlens.plans.alerts import evaluate_alerts
 from fleetlens.plans.anomaly import cost_anomaly
 from fleetlens.plans.findings import generate_findings
 from fleetlens.plans.forecast import disk_forecast
-from fleetlens.plans.retention import apply_compaction, apply_retention
+from fleetlens.plans.retention import apply_compaction, apply_retention, merge_loads
+from fleetlens.sources.ingest import log_step
 
 
 def _by_status(*then, column="Status"):
@@ -220,10 +220,12 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
     step reads what the step before has written.
     """
     store.write_state(disk_forecast(store.read("DiskUsage"), as_of), "DiskForecast")
+    log_step(store, store.read_state("DiskForecast"), "forecast", as_of)
 
     known = store.read_state("CostAnomaly")
     found = cost_anomaly(store.read("RedshiftCost"), known, as_of)
     store.write_state(known.unionByName(found), "CostAnomaly")
+    log_step(store, store.read_state("CostAnomaly").filter(F.col("DetectedAt") == ts_lit(as_of)), "anomaly", as_of)
 
     store.write_state(generate_findings(store.read("LockWait"), store.read_state("Finding"), as_of), "Finding")
 
@@ -234,7 +236,7 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
         disk=store.read_state("DiskForecast"),
         ag=reports.frame("AGSyncStatus"),
         lag=reports.frame("DataLag"),
-        cost=reports.frame("CostAnomaly"),
+        cost=store.read_state("CostAnomaly"),  # all of it: the report lists the newest 500
         backup=reports.frame("BackupHealth"),
         jobs=reports.frame("JobFailures"),
         vitals=reports.frame("InstanceVitals"),
@@ -243,7 +245,7 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
     )
     store.write_state(alerts, "AlertHistory")
 
-    apply_compaction(store, as_of)
+    apply_compaction(store)
+    merge_loads(store, as_of)
     apply_retention(store, as_of, retention_days)
-    release_kept()
     return Reports(store, as_of)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import constants as K
 from fleetlens.functions.expressions import boundary_diff, cat, percent_of, ts_lit, txt
-from fleetlens.operators.joins import computed_once, join_unique
 from fleetlens.operators.latest import first_per_key
 from fleetlens.operators.ranking import top_k, total_per_key
 
@@ -29,7 +28,7 @@ def extract_ag_sync(states: DataFrame, replicas: DataFrame, groups: DataFrame) -
     """Availability-group replica states with names and role."""
     named = replicas.join(groups.withColumnRenamed("name", "AGName"), [S, "group_id"], "inner")
     named = named.select(S, "replica_id", "AGName", F.col("replica_server_name").alias("ReplicaServer"))
-    rows = join_unique(states, named, [S, "replica_id"], "inner")
+    rows = states.join(named, [S, "replica_id"], "inner")
     return rows.select(
         S,
         "AGName",
@@ -48,10 +47,13 @@ def extract_ag_sync(states: DataFrame, replicas: DataFrame, groups: DataFrame) -
 
 
 def extract_ag_lag(ag_sync: DataFrame) -> DataFrame:
-    """Seconds each secondary is behind the primary of its group and database."""
-    keys = ["AGName", "DatabaseName"]
+    """Seconds each secondary is behind the primary of its group and database, as one instance reports both.
+
+    Names of groups repeat across clusters, so rows of different instances are never paired.
+    """
+    keys = [S, "AGName", "DatabaseName"]
     primary = ag_sync.filter("IsPrimary").groupBy(*keys).agg(F.max("LastCommitTime").alias("_primary"))
-    rows = join_unique(ag_sync.filter(~F.col("IsPrimary")), primary, keys, "inner")
+    rows = ag_sync.filter(~F.col("IsPrimary")).join(primary, keys, "inner")
     return rows.select(
         S,
         cat(txt("AG:"), "DatabaseName", txt("@"), "ReplicaServer").alias("ObjectName"),
@@ -64,7 +66,7 @@ def extract_ag_lag(ag_sync: DataFrame) -> DataFrame:
 def extract_disk(files: DataFrame, volume_stats: DataFrame) -> DataFrame:
     """The distinct volumes that hold database files."""
     keys = [S, "database_id", "file_id"]
-    rows = join_unique(files.select(*keys), volume_stats, keys, "inner")
+    rows = files.select(*keys).join(volume_stats, keys, "inner")
     return rows.select(
         S,
         F.col("volume_mount_point").alias("VolumeName"),
@@ -107,7 +109,7 @@ def extract_backup(databases: DataFrame, backupset: DataFrame, source_tz: str =
         F.col("recovery_model_desc").alias("RecoveryModel"),
         F.col("state_desc").alias("StateDesc"),
         *[_to_utc(F.col(c), source_tz).alias(c) for c in ("LastFullBackup", "LastDiffBackup", "LastLogBackup")],
-        F.col("last_good_checkdb").alias("LastGoodCheckDb"),
+        _to_utc(F.col("last_good_checkdb"), source_tz).alias("LastGoodCheckDb"),
         F.col("page_verify_option_desc").alias("PageVerify"),
         F.col("is_auto_shrink_on").alias("IsAutoShrink"),
     )
@@ -125,7 +127,7 @@ def extract_job_failures(history: DataFrame, jobs: DataFrame, as_of, source_tz:
         .withColumn("RunAt", _to_utc(agent_time("run_date", "run_time"), source_tz))
         .filter(F.col("RunAt") > ts_lit(as_of, hours=-24))
     )
-    rows = join_unique(failed, jobs.select(S, "job_id", F.col("name").alias("JobName")), [S, "job_id"], "inner")
+    rows = failed.join(jobs.select(S, "job_id", F.col("name").alias("JobName")), [S, "job_id"], "inner")
     return rows.select(
         S, "JobName", F.col("step_name").alias("StepName"), "RunAt", F.substring("message", 1, 600).alias("Message")
     )
@@ -223,15 +225,17 @@ def extract_vitals(
     return long.withColumn("Detail", F.lit(None).cast("string"))
 
 
-def extract_activity(requests: DataFrame, sessions: DataFrame, texts: DataFrame, as_of) -> DataFrame:
-    """Requests of user sessions that are blocked or run longer than a minute."""
-    running = boundary_diff("second", "start_time", ts_lit(as_of))
+def extract_activity(
+    requests: DataFrame, sessions: DataFrame, texts: DataFrame, as_of, source_tz: str = "UTC"
+) -> DataFrame:
+    """Requests of user sessions that are blocked or run longer than a minute; ``start_time`` is local to ``source_tz``."""
+    running = boundary_diff("second", _to_utc(F.col("start_time"), source_tz), ts_lit(as_of))
     picked = requests.withColumn("DurationSec", running).filter(
         (F.col("blocking_session_id") != 0) | (F.col("DurationSec") > 60)
     )
     users = sessions.filter("is_user_process").select(S, "session_id", "login_name", "host_name", "program_name")
     rows = picked.join(users, [S, "session_id"], "inner")
-    rows = join_unique(rows, texts.select(S, "sql_handle", "text"), [S, "sql_handle"], "left")
+    rows = rows.join(texts.select(S, "sql_handle", "text"), [S, "sql_handle"], "left")
     return rows.select(
         S,
         F.col("session_id").alias("SessionID"),
@@ -256,14 +260,15 @@ def extract_waits(wait_stats: DataFrame, n: int = 10, benign=K.BENIGN_WAITS) ->
     return ranked.withColumn("WaitPct", percent_of("WaitTimeMs", "_total", 5, 1)).drop("_total")
 
 
-def extract_top_queries(stats: DataFrame, texts: DataFrame, as_of, n: int = 10) -> DataFrame:
+def extract_top_queries(stats: DataFrame, texts: DataFrame, as_of, n: int = 10, source_tz: str = "UTC") -> DataFrame:
     """The ``n`` statements per server with most CPU among those run in the last day.
 
     Ranked on numbers and handles alone; texts are fetched for the winners.
     """
+    stats = stats.withColumn("last_execution_time", _to_utc(F.col("last_execution_time"), source_tz))
     recent = stats.filter(F.col("last_execution_time") > ts_lit(as_of, days=-1))
     known = recent.join(texts.select(S, "sql_handle"), [S, "sql_handle"], "left_semi")
-    top = computed_once(top_k(known, n, F.desc("total_worker_time"), F.asc("sql_handle")))
+    top = top_k(known, n, F.desc("total_worker_time"), F.asc("sql_handle"))
     rows = texts.select(S, "sql_handle", "database_name", "text").join(top, [S, "sql_handle"], "inner")
 
     def per_run(c, then=""):
@@ -282,12 +287,13 @@ def extract_top_queries(stats: DataFrame, texts: DataFrame, as_of, n: int = 10)
     )
 
 
-def extract_failed_logins(logs, as_of) -> DataFrame:
+def extract_failed_logins(logs, as_of, source_tz: str = "UTC") -> DataFrame:
     """Failed logins of the last 24 hours from the current and the previous error log.
 
     Leave out a log that cannot be read; it contributes no rows.
     """
     rows = reduce(DataFrame.unionByName, [log.select(S, "LogDate", "LogText") for log in logs])
+    rows = rows.withColumn("LogDate", _to_utc(F.col("LogDate"), source_tz))
     rows = rows.filter(F.col("LogText").contains("Login failed") & (F.col("LogDate") > ts_lit(as_of, hours=-24)))
     return rows.select(S, F.col("LogDate").alias("EventTime"), F.substring("LogText", 1, 500).alias("Message"))
 

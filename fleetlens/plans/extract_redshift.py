@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import constants as K
 from fleetlens.functions.expressions import boundary_diff, nullif, ts_lit
-from fleetlens.operators.joins import computed_once, join_unique
 from fleetlens.operators.ranking import top_k
 
 S = "ServerName"
@@ -203,10 +202,10 @@ def extract_query_cost(
             mib("_scan").alias("ScanMB"), mib("_s3").alias("SpectrumMB"), cost.alias("EstCostUSD"),
         )
     )
-    top = computed_once(top_k(ran, n, F.desc("EstCostUSD"), F.desc("ScanMB"), F.asc("query")))
+    top = top_k(ran, n, F.desc("EstCostUSD"), F.desc("ScanMB"), F.asc("query"))
     wanted = texts.join(top.select(S, "query"), [S, "query"], "left_semi")
     rows = top.join(joined_text(wanted), [S, "query"], "left")
-    rows = join_unique(rows, users.select(S, F.col("usesysid").alias("userid"), "usename"), [S, "userid"], "left")
+    rows = rows.join(users.select(S, F.col("usesysid").alias("userid"), "usename"), [S, "userid"], "left")
     return rows.select(
         S, F.col("query").alias("QueryId"), F.trim("usename").alias("UserName"), "StartTime", "ElapsedSec", "ScanMB",
         "SpectrumMB", "EstCostUSD", F.substring(F.trim("text"), 1, 500).alias("QueryText"),
@@ -249,7 +248,7 @@ def extract_lock_waits(
     blocker = F.when(F.col("first.pid") != F.col("pid"), F.col("first")).when(
         F.col("second.pid") != F.col("pid"), F.col("second")
     )
-    pairs = join_unique(waiters, holders, relation, "inner").withColumn("b", blocker).filter("b IS NOT NULL")
+    pairs = waiters.join(holders, relation, "inner").withColumn("b", blocker).filter("b IS NOT NULL")
     pairs = pairs.withColumn("blocker_pid", F.col("b.pid"))
 
     running = (
@@ -264,10 +263,10 @@ def extract_lock_waits(
         .agg(F.count(F.lit(1)).alias("_conflicts"))
     )
     names = classes.select(S, F.col("oid").alias("relation"), "relname")
-    pairs = join_unique(pairs, names, relation, "left")
-    pairs = join_unique(pairs, running, [S, "pid"], "left")
-    pairs = join_unique(pairs, active, [S, "blocker_pid"], "left")
-    pairs = join_unique(pairs, aborted, relation, "left")
+    pairs = pairs.join(names, relation, "left")
+    pairs = pairs.join(running, [S, "pid"], "left")
+    pairs = pairs.join(active, [S, "blocker_pid"], "left")
+    pairs = pairs.join(aborted, relation, "left")
     return pairs.select(
         S,
         F.col("pid").alias("WaiterPid"),

@@ -20,15 +20,17 @@ def disk_forecast(
     replaces the previous forecast as a whole.
     """
     now = ts_lit(as_of)
-    recent = since(usage, "CollectedAt", ts_lit(as_of, days=-lookback))
+    recent = since(usage, "CollectedAt", ts_lit(as_of, days=-lookback), now)
     if "UsedPct" not in recent.columns:
         recent = recent.withColumn("UsedPct", used_pct())
     # days relative to as_of: small numbers, so the sums keep their digits
     x = boundary_diff("second", now, "CollectedAt") / F.lit(86400.0)
     volumes = recent.groupBy("Platform", "ServerName", "VolumeName").agg(
         F.regr_slope(F.col("UsedBytes").cast("double"), x).alias("_slope"),
-        *[F.max_by(c, "CollectedAt").alias(c) for c in ("TotalBytes", "UsedBytes", "UsedPct")],
+        # one newest row gives all three values; of equal times the fuller volume
+        F.max(F.struct("CollectedAt", "UsedBytes", "TotalBytes", "UsedPct")).alias("_last"),
     )
+    volumes = volumes.select("*", *[F.col(f"_last.{c}").alias(c) for c in ("TotalBytes", "UsedBytes", "UsedPct")])
     growing = F.col("_slope") > 0
     free = (F.col("TotalBytes") - F.col("UsedBytes")).cast("double")
     days = F.when(growing, (free / F.col("_slope")).try_cast("int"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expressions import nullif
-from fleetlens.operators.joins import join_unique
 from fleetlens.operators.latest import first_per_key
 
 
@@ -65,8 +64,8 @@ def servers_with_owners(servers: DataFrame, owners: DataFrame) -> DataFrame:
         "ServerName", F.col("AppName").alias("FirstApp"), F.col("PrimaryOwner").alias("FirstOwner")
     )
     counts = owners.groupBy("ServerName").agg(F.count(F.lit(1)).alias("_n"))
-    rows = join_unique(servers, first, ["ServerName"], "left")
-    rows = join_unique(rows, counts, ["ServerName"], "left")
+    rows = servers.join(first, ["ServerName"], "left")
+    rows = rows.join(counts, ["ServerName"], "left")
     return rows.withColumn("MoreOwners", F.coalesce(F.col("_n") - 1, F.lit(0))).drop("_n")
 
 

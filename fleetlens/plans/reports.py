@@ -18,7 +18,6 @@ from fleetlens.functions.expressions import (
     ts_lit,
     txt,
 )
-from fleetlens.operators.joins import join_unique
 from fleetlens.operators.latest import (
     first_per_key,
     last_cycles,
@@ -430,7 +429,7 @@ def servers_report(servers: DataFrame, log: DataFrame) -> DataFrame:
         F.col("Status").alias("LastStatus"),
         F.col("Message").alias("LastMessage"),
     )
-    rows = join_unique(servers, last, ["ServerName"], "left")
+    rows = servers.join(last, ["ServerName"], "left")
     return _pick(
         rows, "ServerID", "ServerName", "Platform", "Environment", "FriendlyName", "IsActive", "CreatedAt", "Host",
         "Port", "DatabaseName", "AuthType", "UserName", "HasPassword", "LastCollectedAt", "LastStatus", "LastMessage",
@@ -448,7 +447,7 @@ def active_alerts(alerts: DataFrame, owners: DataFrame) -> DataFrame:
     who = first_owner(owners).select(
         "ServerName", F.col("PrimaryOwner").alias("Owner"), F.col("Email").alias("OwnerEmail")
     )
-    rows = join_unique(alerts.filter(~F.col("Resolved")), who, ["ServerName"], "left")
+    rows = alerts.filter(~F.col("Resolved")).join(who, ["ServerName"], "left")
     return rows.select(
         "AlertKey", "Category", "Severity", "ServerName", "Message", "FirstSeen", "LastSeen", "NotifiedAt", "Owner",
         "OwnerEmail",

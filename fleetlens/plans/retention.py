@@ -60,18 +60,37 @@ def apply_retention(store, as_of, days: int = 90) -> None:
     for table in [*AGED, "CollectionLog"]:
         store.drop_days_before(table, day)
         if day in store.days(table) and cut.time() != cut.min.time():
-            store.rewrite_days(table, retain_rows(store.read(table), table, as_of, days), [day])
+            store.rewrite_days(table, lambda t=table: retain_rows(store.read(t), t, as_of, days), [day])
     store.write_state(retain_rows(store.read_state("Finding"), "Finding", as_of, days), "Finding")
 
 
-def apply_compaction(store, as_of, look_back_days: int = 2) -> None:
-    """Collapse events that were read again, on the newest days only.
+def _event_keys(df: DataFrame, table: str) -> DataFrame:
+    return df.withColumn("_day", F.to_date("LastScanned")) if "_day" in EVENT_KEYS[table] else df
 
-    A run reads the last 24 hours, so an event can repeat on two days.
+
+def apply_compaction(store) -> None:
+    """Collapse events that were read more than once, however far apart.
+
+    The keys of the whole table are scanned (key columns alone); only the days
+    that hold an event more than once are rewritten.
     """
-    first = (moment(as_of) - timedelta(days=look_back_days)).date().isoformat()
-    for table in EVENT_KEYS:
-        days = [d for d in store.days(table) if d >= first]
+    for table, keys in EVENT_KEYS.items():
+        events = _event_keys(store.read(table), table).groupBy(*keys)
+        events = events.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.col(SNAPSHOT_DATE).cast("string")).alias("days"))
+        repeated = events.filter("n > 1").select(F.explode("days")).distinct()
+        days = sorted(r[0] for r in repeated.collect())  # days of the calendar
+        if days:
+
+            def newest(t=table, days=days):
+                return compact(store.read(t).filter(F.col(SNAPSHOT_DATE).cast("string").isin(days)), t)
+
+            store.rewrite_days(table, newest, days)
+
+
+def merge_loads(store, as_of) -> None:
+    """One load instead of many for each day that is over, in every series: fewer directories to list."""
+    today = moment(as_of).date().isoformat()
+    for table in [*SERIES, "CollectionLog"]:
+        days = [d for d in store.days(table) if d < today and len(store.loads(table, d)) > 1]
         if days:
-            recent = store.read(table).filter(F.col(SNAPSHOT_DATE) >= F.lit(first).cast("date"))
-            store.rewrite_days(table, compact(recent, table), days)
+            store.rewrite_days(table, lambda t=table: store.read(t), days)

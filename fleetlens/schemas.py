@@ -8,80 +8,148 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_SHORT = {
-    "s": "string",
-    "t": "timestamp_ntz",
-    "d": "date",
-    "b": "boolean",
-    "i": "int",
-    "l": "bigint",
-    "y": "tinyint",
-    "f": "double",
+# Tables with the names, types and order of their columns, as DDL.
+LAYOUT: dict[str, str] = {
+    "AGSyncStatus": (
+        "CollectedAt timestamp_ntz, ServerName string, AGName string, DatabaseName string, ReplicaServer string, "
+        "IsPrimary boolean, Role string, SyncState string, SyncHealth string, LogSendQueueKB bigint, "
+        "RedoQueueKB bigint, LastCommitTime timestamp_ntz, LastHardenedTime timestamp_ntz, "
+        "LastRedoneTime timestamp_ntz"
+    ),
+    "DataLag": (
+        "CollectedAt timestamp_ntz, Platform string, ServerName string, ObjectName string, LagSeconds bigint, "
+        "Metric string, Detail string"
+    ),
+    "DiskUsage": (
+        "CollectedAt timestamp_ntz, Platform string, ServerName string, VolumeName string, TotalBytes bigint, "
+        "UsedBytes bigint, FreeBytes bigint, UsedPct decimal(5,2)"
+    ),
+    "ObjectSize": (
+        "CollectedAt timestamp_ntz, Platform string, ServerName string, ObjectType string, ObjectName string, "
+        "SizeBytes bigint"
+    ),
+    "BackupStatus": (
+        "CollectedAt timestamp_ntz, ServerName string, DatabaseName string, RecoveryModel string, "
+        "StateDesc string, LastFullBackup timestamp_ntz, LastDiffBackup timestamp_ntz, "
+        "LastLogBackup timestamp_ntz, LastGoodCheckDb timestamp_ntz, PageVerify string, IsAutoShrink boolean"
+    ),
+    "JobFailure": (
+        "CollectedAt timestamp_ntz, ServerName string, JobName string, StepName string, RunAt timestamp_ntz, "
+        "Message string"
+    ),
+    "HealthMetric": (
+        "CollectedAt timestamp_ntz, Platform string, ServerName string, MetricName string, MetricValue double, "
+        "Detail string"
+    ),
+    "QuerySnapshot": (
+        "CollectedAt timestamp_ntz, Platform string, ServerName string, SessionID bigint, BlockedBy bigint, "
+        "Status string, WaitType string, DurationSec bigint, DatabaseName string, LoginName string, "
+        "HostName string, ProgramName string, QueryText string"
+    ),
+    "WaitStats": (
+        "CollectedAt timestamp_ntz, ServerName string, WaitType string, WaitTimeMs bigint, WaitPct decimal(5,1)"
+    ),
+    "TableHealth": (
+        "CollectedAt timestamp_ntz, ServerName string, TableName string, UnsortedPct decimal(5,1), "
+        "StatsOffPct decimal(5,1), TableRows bigint"
+    ),
+    "TopQueries": (
+        "CollectedAt timestamp_ntz, ServerName string, DatabaseName string, QueryText string, ExecCount bigint, "
+        "TotalCpuMs bigint, AvgCpuMs bigint, AvgDurMs bigint, AvgReads bigint, LastExec timestamp_ntz"
+    ),
+    "FailedLogin": (
+        "CollectedAt timestamp_ntz, Platform string, ServerName string, EventTime timestamp_ntz, Message string"
+    ),
+    "LoginActivity": (
+        "CollectedAt timestamp_ntz, ServerName string, LoginName string, HostName string, ProgramName string, "
+        "SessionCount bigint, LastLogin timestamp_ntz"
+    ),
+    "RedshiftCost": (
+        "CollectedAt timestamp_ntz, ServerName string, MetricName string, MetricValue double, MetricUnit string"
+    ),
+    "TableScan": (
+        "CollectedAt timestamp_ntz, ServerName string, TableName string, LastScanned timestamp_ntz"
+    ),
+    "SpectrumScan": (
+        "CollectedAt timestamp_ntz, ServerName string, ExternalTable string, QueryCount bigint, TBScanned double"
+    ),
+    "LockWait": (
+        "CollectedAt timestamp_ntz, ServerName string, WaiterPid bigint, WaiterUser string, Relation string, "
+        "WaitMinutes bigint, WaiterQuery string, BlockerPid bigint, BlockerUser string, BlockerLockMode string, "
+        "BlockerIdleInTxn tinyint, BlockerQuery string, ConflictCount24h bigint"
+    ),
+    "ServerInfo": (
+        "CollectedAt timestamp_ntz, ServerName string, ProductVersion string, ProductLevel string, "
+        "ProductUpdateLevel string, Edition string, ProductMajor string, HostPlatform string, OSVersion string, "
+        "IsClustered boolean, IsHadrEnabled boolean, StartTime timestamp_ntz, CpuCount int, "
+        "PhysicalMemoryMB bigint"
+    ),
+    "ConfigAudit": (
+        "CollectedAt timestamp_ntz, ServerName string, ConfigItem string, CurrentValue string, "
+        "RecommendedValue string, Status string, Detail string"
+    ),
+    "SecurityPrincipal": (
+        "CollectedAt timestamp_ntz, ServerName string, PrincipalName string, PrincipalType string, "
+        "AccessType string, ServerRoles string, IsDisabled boolean, CreateDate timestamp_ntz, "
+        "LastModified timestamp_ntz"
+    ),
+    "IndexHealth": (
+        "CollectedAt timestamp_ntz, ServerName string, DatabaseName string, Kind string, ObjectName string, "
+        "IndexName string, Metric string, Recommendation string"
+    ),
+    "FileIOStats": (
+        "CollectedAt timestamp_ntz, ServerName string, DatabaseName string, FileType string, "
+        "ReadLatencyMs decimal(10,1), WriteLatencyMs decimal(10,1), AvgLatencyMs decimal(10,1), SizeMB bigint, "
+        "TotalReadMB bigint, TotalWriteMB bigint"
+    ),
+    "AutoGrowth": (
+        "CollectedAt timestamp_ntz, ServerName string, EventTime timestamp_ntz, DatabaseName string, "
+        "FileType string, GrowthMB decimal(10,1), DurationMs bigint"
+    ),
+    "QueryCost": (
+        "CollectedAt timestamp_ntz, ServerName string, QueryId bigint, UserName string, StartTime timestamp_ntz, "
+        "ElapsedSec bigint, ScanMB decimal(18,1), SpectrumMB decimal(18,1), EstCostUSD decimal(12,2), "
+        "QueryText string"
+    ),
+    "DiskForecast": (
+        "Platform string, ServerName string, VolumeName string, TotalBytes bigint, UsedBytes bigint, "
+        "UsedPct decimal(5,2), GrowthBytesPerDay bigint, DaysToFull int, ProjectedFullDate date, "
+        "RecommendedAddGB int, Severity string, ComputedAt timestamp_ntz"
+    ),
+    "CostAnomaly": (
+        "ServerName string, MetricName string, MetricUnit string, ObservedDay date, Value double, Baseline double, "
+        "StdDev double, ZScore decimal(10,2), PctAboveBaseline decimal(10,1), Severity string, "
+        "DetectedAt timestamp_ntz"
+    ),
+    "AlertHistory": (
+        "AlertKey string, Category string, Severity string, ServerName string, Message string, "
+        "FirstSeen timestamp_ntz, LastSeen timestamp_ntz, NotifiedAt timestamp_ntz, Resolved boolean, "
+        "ResolvedAt timestamp_ntz"
+    ),
+    "Finding": (
+        "FindingKey string, Platform string, Category string, Severity string, ServerName string, Title string, "
+        "Symptom string, RootCause string, Recommendation string, Prevention string, Evidence string, "
+        "FirstSeen timestamp_ntz, LastSeen timestamp_ntz, Resolved boolean, ResolvedAt timestamp_ntz"
+    ),
+    "Servers": (
+        "ServerID bigint, ServerName string, Platform string, Environment string, FriendlyName string, "
+        "IsActive boolean, CreatedAt timestamp_ntz, Host string, Port int, DatabaseName string, AuthType string, "
+        "UserName string, HasPassword boolean"
+    ),
+    "AppOwners": (
+        "AppOwnerID bigint, ServerName string, DatabaseName string, AppName string, Criticality string, "
+        "PrimaryOwner string, SecondaryOwner string, Team string, Email string, OnCallPhone string, Notes string, "
+        "UpdatedBy string, UpdatedAt timestamp_ntz"
+    ),
+    "CollectionLog": (
+        "RunAt timestamp_ntz, Collector string, ServerName string, Status string, RowsLoaded bigint, "
+        "Message string"
+    ),
 }
 
-
-def _columns(text: str) -> dict[str, str]:
-    out = {}
-    for item in text.split():
-        name, kind = item.split(":")
-        out[name] = _SHORT.get(kind, f"decimal({kind})")
-    return out
-
-
-_HEAD = "CollectedAt:t ServerName:s "
-_PLATFORM = "CollectedAt:t Platform:s ServerName:s "
-
 #: table -> {column: type}; the order of columns is the stored order
 TABLES: dict[str, dict[str, str]] = {
-    name: _columns(text)
-    for name, text in {
-        "AGSyncStatus": _HEAD + "AGName:s DatabaseName:s ReplicaServer:s IsPrimary:b Role:s SyncState:s SyncHealth:s "
-        "LogSendQueueKB:l RedoQueueKB:l LastCommitTime:t LastHardenedTime:t LastRedoneTime:t",
-        "DataLag": _PLATFORM + "ObjectName:s LagSeconds:l Metric:s Detail:s",
-        "DiskUsage": _PLATFORM + "VolumeName:s TotalBytes:l UsedBytes:l FreeBytes:l UsedPct:5,2",
-        "ObjectSize": _PLATFORM + "ObjectType:s ObjectName:s SizeBytes:l",
-        "BackupStatus": _HEAD + "DatabaseName:s RecoveryModel:s StateDesc:s LastFullBackup:t LastDiffBackup:t "
-        "LastLogBackup:t LastGoodCheckDb:t PageVerify:s IsAutoShrink:b",
-        "JobFailure": _HEAD + "JobName:s StepName:s RunAt:t Message:s",
-        "HealthMetric": _PLATFORM + "MetricName:s MetricValue:f Detail:s",
-        "QuerySnapshot": _PLATFORM + "SessionID:l BlockedBy:l Status:s WaitType:s DurationSec:l DatabaseName:s "
-        "LoginName:s HostName:s ProgramName:s QueryText:s",
-        "WaitStats": _HEAD + "WaitType:s WaitTimeMs:l WaitPct:5,1",
-        "TableHealth": _HEAD + "TableName:s UnsortedPct:5,1 StatsOffPct:5,1 TableRows:l",
-        "TopQueries": _HEAD + "DatabaseName:s QueryText:s ExecCount:l TotalCpuMs:l AvgCpuMs:l AvgDurMs:l AvgReads:l "
-        "LastExec:t",
-        "FailedLogin": _PLATFORM + "EventTime:t Message:s",
-        "LoginActivity": _HEAD + "LoginName:s HostName:s ProgramName:s SessionCount:l LastLogin:t",
-        "RedshiftCost": _HEAD + "MetricName:s MetricValue:f MetricUnit:s",
-        "TableScan": _HEAD + "TableName:s LastScanned:t",
-        "SpectrumScan": _HEAD + "ExternalTable:s QueryCount:l TBScanned:f",
-        "LockWait": _HEAD + "WaiterPid:l WaiterUser:s Relation:s WaitMinutes:l WaiterQuery:s BlockerPid:l "
-        "BlockerUser:s BlockerLockMode:s BlockerIdleInTxn:y BlockerQuery:s ConflictCount24h:l",
-        "ServerInfo": _HEAD + "ProductVersion:s ProductLevel:s ProductUpdateLevel:s Edition:s ProductMajor:s "
-        "HostPlatform:s OSVersion:s IsClustered:b IsHadrEnabled:b StartTime:t CpuCount:i PhysicalMemoryMB:l",
-        "ConfigAudit": _HEAD + "ConfigItem:s CurrentValue:s RecommendedValue:s Status:s Detail:s",
-        "SecurityPrincipal": _HEAD + "PrincipalName:s PrincipalType:s AccessType:s ServerRoles:s IsDisabled:b "
-        "CreateDate:t LastModified:t",
-        "IndexHealth": _HEAD + "DatabaseName:s Kind:s ObjectName:s IndexName:s Metric:s Recommendation:s",
-        "FileIOStats": _HEAD + "DatabaseName:s FileType:s ReadLatencyMs:10,1 WriteLatencyMs:10,1 AvgLatencyMs:10,1 "
-        "SizeMB:l TotalReadMB:l TotalWriteMB:l",
-        "AutoGrowth": _HEAD + "EventTime:t DatabaseName:s FileType:s GrowthMB:10,1 DurationMs:l",
-        "QueryCost": _HEAD + "QueryId:l UserName:s StartTime:t ElapsedSec:l ScanMB:18,1 SpectrumMB:18,1 "
-        "EstCostUSD:12,2 QueryText:s",
-        "DiskForecast": "Platform:s ServerName:s VolumeName:s TotalBytes:l UsedBytes:l UsedPct:5,2 "
-        "GrowthBytesPerDay:l DaysToFull:i ProjectedFullDate:d RecommendedAddGB:i Severity:s ComputedAt:t",
-        "CostAnomaly": "ServerName:s MetricName:s MetricUnit:s ObservedDay:d Value:f Baseline:f StdDev:f "
-        "ZScore:10,2 PctAboveBaseline:10,1 Severity:s DetectedAt:t",
-        "AlertHistory": "AlertKey:s Category:s Severity:s ServerName:s Message:s FirstSeen:t LastSeen:t "
-        "NotifiedAt:t Resolved:b ResolvedAt:t",
-        "Finding": "FindingKey:s Platform:s Category:s Severity:s ServerName:s Title:s Symptom:s RootCause:s "
-        "Recommendation:s Prevention:s Evidence:s FirstSeen:t LastSeen:t Resolved:b ResolvedAt:t",
-        "Servers": "ServerID:l ServerName:s Platform:s Environment:s FriendlyName:s IsActive:b CreatedAt:t Host:s "
-        "Port:i DatabaseName:s AuthType:s UserName:s HasPassword:b",
-        "AppOwners": "AppOwnerID:l ServerName:s DatabaseName:s AppName:s Criticality:s PrimaryOwner:s "
-        "SecondaryOwner:s Team:s Email:s OnCallPhone:s Notes:s UpdatedBy:s UpdatedAt:t",
-        "CollectionLog": "RunAt:t Collector:s ServerName:s Status:s RowsLoaded:l Message:s",
-    }.items()
+    name: dict(column.split(" ") for column in ddl.split(", ")) for name, ddl in LAYOUT.items()
 }
 
 #: columns computed at ingest; a source may not supply them

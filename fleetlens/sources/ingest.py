@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expressions import moment, ts_lit
 from fleetlens.operators.latest import SNAPSHOT_DATE
 from fleetlens.plans.forecast import used_pct
-from fleetlens.schemas import COMPUTED, TABLES, struct
+from fleetlens.schemas import COMPUTED, TABLES, empty
 
 
 class UnmatchedColumns(ValueError):
@@ -70,24 +71,51 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return with_computed(renamed, table).select(*[F.col(c).cast(t) for c, t in TABLES[table].items()])
 
 
-def load_sources(store, sources: Mapping[str, Callable[[], DataFrame]], as_of, collector: str = "fleet") -> DataFrame:
-    """Append each source to its table; a failing source is logged and skipped.
+def load_sources(
+    store,
+    sources: Mapping[str, Callable[[], DataFrame]],
+    as_of,
+    collector: str = "fleet",
+    servers: Mapping[str, list[str]] | None = None,
+) -> DataFrame:
+    """Append each source to its table and the outcome to the collection log; a failing source is logged and skipped.
 
-    ``sources`` maps table name to a function that returns its frame. The row
-    counts of the returned log are observed while the rows are written, not
-    counted in a second pass.
+    ``sources`` maps table name to a function that returns its frame. A load
+    that worked is logged per server with its rows, counted from the files it
+    wrote; one that failed is logged for the ``servers`` the source should have
+    covered, or once without a name. Returns what was logged.
     """
     spark: SparkSession = store.spark
-    rows = []
+    logged = empty(spark, "CollectionLog")
     for table, source in sources.items():
         try:
-            seen = Observation(f"load_{table}")
-            frame = source().observe(seen, F.count(F.lit(1)).alias("rows"))
-            store.append(frame, table)
-            rows.append((moment(as_of), collector, None, "OK", int(seen.get["rows"]), table))
+            load = uuid.uuid4().hex
+            store.append(source(), table, load=load)
+            per_server = store.read_load(table, load).groupBy("ServerName").agg(F.count(F.lit(1)).alias("RowsLoaded"))
+            rows = _log_rows(per_server, collector, as_of, "OK", table)
         except Exception as error:  # noqa: BLE001 - one source must not stop the run
-            rows.append((moment(as_of), collector, None, "ERROR", 0, f"{table}: {error}"[:2000]))
-    return spark.createDataFrame(rows, struct("CollectionLog"))
+            names = [(n, 0) for n in (servers or {}).get(table, [None])]
+            failed = spark.createDataFrame(names, "ServerName string, RowsLoaded long")
+            rows = _log_rows(failed, collector, as_of, "ERROR", f"{table}: {error}"[:2000])
+        logged = logged.unionByName(rows)
+    load = uuid.uuid4().hex
+    store.append(logged, "CollectionLog", load=load)
+    return store.read_load("CollectionLog", load)
+
+
+def _log_rows(counts: DataFrame, collector: str, as_of, outcome: str, message: str) -> DataFrame:
+    """Rows of the collection log from ServerName and RowsLoaded."""
+    values = {
+        "RunAt": F.lit(moment(as_of)), "Collector": F.lit(collector), "ServerName": F.col("ServerName"),
+        "Status": F.lit(outcome), "RowsLoaded": F.col("RowsLoaded"), "Message": F.lit(message),
+    }
+    return counts.select(*[values[c].cast(t).alias(c) for c, t in TABLES["CollectionLog"].items()])
+
+
+def log_step(store, result: DataFrame, step: str, as_of) -> None:
+    """Log what a step of the cycle computed, per server."""
+    counts = result.groupBy("ServerName").agg(F.count(F.lit(1)).alias("RowsLoaded"))
+    store.append(_log_rows(counts, step, as_of, "OK", step), "CollectionLog", load=f"{step}-{moment(as_of):%Y%m%dT%H%M%S}")
 
 
 def partitioned(df: DataFrame) -> DataFrame:

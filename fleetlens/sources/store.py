@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ class Files:
 
 
 class SnapshotStore:
-    """Tables of one fleet below ``root``. One writer at a time."""
+    """Tables of one fleet below ``root``. Any number of appenders, one process that runs cycles."""
 
     def __init__(self, spark: SparkSession, root: str, versions_kept: int = 2):
         self.spark, self.root, self.versions_kept = spark, root.rstrip("/"), versions_kept
@@ -68,6 +69,14 @@ class SnapshotStore:
         schema = struct(table).add(SNAPSHOT_DATE, "date").add(LOAD, "string")
         return self.spark.read.schema(schema).parquet(self.series_path(table)).drop(LOAD)
 
+    def read_load(self, table: str, load: str) -> DataFrame:
+        """The rows of one load."""
+        if not self._has_rows(table):
+            return empty(self.spark, table)
+        schema = struct(table).add(SNAPSHOT_DATE, "date").add(LOAD, "string")
+        rows = self.spark.read.schema(schema).parquet(self.series_path(table))
+        return rows.filter(F.col(LOAD) == load).select(*TABLES[table])
+
     def _has_rows(self, table: str) -> bool:
         return any(name.startswith(SNAPSHOT_DATE) for name in self.files.children(self.series_path(table)))
 
@@ -82,22 +91,30 @@ class SnapshotStore:
             self.files.delete(f"{self.series_path(table)}/{SNAPSHOT_DATE}={d}")
         return old
 
-    def rewrite_days(self, table: str, rows: DataFrame, days) -> None:
-        """Replace the given days by ``rows``.
+    def loads(self, table: str, day: str) -> list[str]:
+        """Names of the load directories of a day."""
+        return self.files.children(f"{self.series_path(table)}/{SNAPSHOT_DATE}={day}")
+
+    def rewrite_days(self, table: str, rows: Callable[[], DataFrame], days) -> None:
+        """Replace the given days by what ``rows`` makes of them.
 
-        The new files are complete before the old ones go: a crash in between
-        leaves duplicates, which the next compaction removes, and no loss.
+        ``rows`` is called after the loads have been listed and should read the
+        table then; exactly the listed loads are deleted, so one that arrives
+        meanwhile stays. The new files are complete before the old ones go: a
+        crash in between leaves duplicates, which the next compaction removes,
+        and no loss.
         """
+        days = [*days]
+        listed = {day: self.loads(table, day) for day in days}
         new = f"compact-{uuid.uuid4().hex}"
-        kept = rows.filter(F.col(SNAPSHOT_DATE).isin([*days])).select(*TABLES[table])
+        kept = rows().filter(F.col(SNAPSHOT_DATE).isin(days)).select(*TABLES[table])
         partitioned(kept).withColumn(LOAD, F.lit(new)).write.mode("append").partitionBy(SNAPSHOT_DATE, LOAD).parquet(
             self.series_path(table)
         )
-        for day in days:
+        for day, names in listed.items():
             base = f"{self.series_path(table)}/{SNAPSHOT_DATE}={day}"
-            for name in self.files.children(base):
-                if name != f"{LOAD}={new}":
-                    self.files.delete(f"{base}/{name}")
+            for name in names:
+                self.files.delete(f"{base}/{name}")
             if not self.files.children(base):
                 self.files.delete(base)
 

@@ -41,11 +41,15 @@ def stream_cycle(
         tagged = one if tagged is None else tagged.unionByName(one, allowMissingColumns=True)
 
     def process(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.max("CollectedAt")).first()[0]
-        if newest is None:
-            return
-        for table in landing:
-            store.append(batch.filter(F.col("_table") == table).select(f"{table}.*"), table, load=f"batch-{number}")
+        batch.persist()  # within the batch alone: its maximum and every table read it
+        try:
+            newest = batch.agg(F.max("CollectedAt")).first()[0]
+            if newest is None:
+                return
+            for table in landing:
+                store.append(batch.filter(F.col("_table") == table).select(f"{table}.*"), table, load=f"batch-{number}")
+        finally:
+            batch.unpersist()
         run_cycle(store, as_of or newest, retention_days)
 
     writer = tagged.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

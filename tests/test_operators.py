@@ -1,4 +1,4 @@
-"""Operators against brute force, including hot keys and both read strategies."""
+"""Operators against brute force, including hot keys."""
 
 import random
 from datetime import datetime, timedelta
@@ -44,46 +44,53 @@ def ids(df):
     return sorted(r.SnapshotID for r in df.select("SnapshotID").collect())
 
 
-@pytest.mark.parametrize("narrow", [True, False, None])
-def test_latest_row(series, dated, narrow):
+def test_latest_row(series, dated):
     keys = ["ServerName", "MetricName"]
     want = brute_latest(series.collect(), keys)
     for df in (series, dated):
-        got = latest.latest_row(df, keys, tie="SnapshotID", narrow=narrow)
+        got = latest.latest_row(df, keys, tie="SnapshotID")
         assert got.columns == df.columns
         assert ids(got) == want
 
 
-@pytest.mark.parametrize("narrow", [True, False, None])
-def test_latest_cycle(series, dated, narrow):
+def test_latest_cycle(series, dated):
     rows = series.collect()
     newest = {}
     for r in rows:
         newest[r.ServerName] = max(newest.get(r.ServerName, START), r.CollectedAt)
     want = sorted(r.SnapshotID for r in rows if r.CollectedAt == newest[r.ServerName])
-    assert ids(latest.latest_cycle(series, narrow=narrow)) == want
-    assert ids(latest.latest_cycle(dated, narrow=narrow)) == want
+    assert ids(latest.latest_cycle(series)) == want
+    assert ids(latest.latest_cycle(dated)) == want
 
 
-@pytest.mark.parametrize("narrow", [True, False])
 @pytest.mark.parametrize("n", [1, 2, 3])
-def test_nth_cycle(dated, narrow, n):
+def test_nth_cycle(dated, n):
     rows = dated.collect()
     times = {}
     for r in rows:
         times.setdefault(r.ServerName, set()).add(r.CollectedAt)
     nth = {k: sorted(v, reverse=True)[n - 1] for k, v in times.items()}
     want = sorted(r.SnapshotID for r in rows if r.CollectedAt == nth[r.ServerName])
-    assert ids(latest.nth_cycle(dated, n=n, narrow=narrow)) == want
+    assert ids(latest.nth_cycle(dated, n=n)) == want
 
 
-def test_too_large_to_broadcast(spark, series, monkeypatch):
-    """Beyond the checked size the same rows come from a shuffle."""
-    keys = ["ServerName", "MetricName"]
-    want_rows, want_cycle = ids(latest.latest_row(series, keys, tie="SnapshotID")), ids(latest.latest_cycle(series))
-    monkeypatch.setattr(latest, "checked_small", lambda df: None)
-    assert ids(latest.latest_row(series, keys, tie="SnapshotID", narrow=True)) == want_rows
-    assert ids(latest.latest_cycle(series, narrow=True)) == want_cycle
+def test_rows_without_a_time_come_last(spark):
+    """A key whose times are all NULL keeps its row; NULL never beats a time."""
+    rows = [(1, None, "a"), (2, START, "a"), (3, None, "b")]
+    df = spark.createDataFrame(rows, "SnapshotID bigint, CollectedAt timestamp_ntz, ServerName string")
+    assert ids(latest.latest_row(df, ["ServerName"], tie="SnapshotID")) == [2, 3]
+    assert ids(latest.latest_cycle(df)) == [2, 3]
+
+
+@pytest.mark.parametrize("threshold", ["64m", "-1", "10485760b"])
+def test_any_broadcast_setting_gives_the_same_rows(spark, series, threshold):
+    want = ids(latest.latest_cycle(series))
+    runs = series.select("ServerName", "CollectedAt")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert ids(latest.latest_cycle(series, cycles=runs)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_empty_newest_cycle(spark, series):
@@ -92,19 +99,6 @@ def test_empty_newest_cycle(spark, series):
     assert "a" not in got and {"b", "c", "hot"} <= got
 
 
-def test_checked_small_counts_large_frames(spark):
-    big = spark.range(20_000_000).withColumn("x", F.col("id") * 2)
-    assert joins.planned_bytes(big) > joins.auto_broadcast_bytes(big)
-    assert joins.checked_small(big, max_rows=1000) is None
-    few = big.filter("id % 5000000 = 0")
-    # estimated at hundreds of megabytes, four rows when counted
-    assert joins.planned_bytes(few) > joins.BROADCAST_BYTES or few.count() == 4
-    side = joins.checked_small(few, max_rows=1000)
-    assert side is not None and "BroadcastHashJoin" in plan(big.join(side, "id"))
-    joins.release_kept()
-    assert not joins._kept
-
-
 def test_salted_join_equals_join(spark, series):
     small = spark.createDataFrame([("hot", 1), ("a", 2), ("zzz", 3)], "ServerName string, w int")
     for how in ("inner", "left", "left_semi", "left_anti"):
@@ -206,12 +200,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_narrowed_read_is_a_hash_aggregate_and_a_broadcast(dated):
-    text = plan(latest.latest_row(dated, ["ServerName", "MetricName"], tie="SnapshotID", narrow=True))
-    assert "BroadcastHashJoin" in text and "HashAggregate" in text and "SortAggregate" not in text
-
-
 def test_one_pass_read_limits_before_the_shuffle(dated):
-    text = plan(latest.latest_row(dated, ["ServerName"], tie="SnapshotID", narrow=False))
+    text = plan(latest.latest_row(dated, ["ServerName"], tie="SnapshotID"))
     exchange = text.index("Exchange")
     assert "WindowGroupLimit" in text[exchange:], "the partial limit runs on the map side"

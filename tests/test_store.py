@@ -91,7 +91,6 @@ def test_load_sources_isolates_failures(spark, store):
     got = {r.Status: (r.RowsLoaded, r.Message) for r in log.collect()}
     assert got["OK"] == (2, "HealthMetric")
     assert got["ERROR"][0] == 0 and "unreachable" in got["ERROR"][1]
-    store.append(log, "CollectionLog")
     assert store.read("CollectionLog").count() == 2
 
 
@@ -133,7 +132,7 @@ def test_compaction(spark, store):
     for i, at in enumerate((ago(hours=29), ago(hours=10), NOW)):
         store.append(table(spark, "JobFailure", failure("a", at, f"m{i}"), failure(None, at)), "JobFailure")
     store.append(table(spark, "JobFailure", {**failure("z", ago(days=40)), "RunAt": ago(days=40)}), "JobFailure")
-    retention.apply_compaction(store, NOW)
+    retention.apply_compaction(store)
     got = {(r.StepName, r.CollectedAt, r.Message) for r in store.read("JobFailure").collect()}
     assert got == {("a", NOW, "m2"), (None, NOW, "m"), ("z", ago(days=40), "m")}
     assert store.read("JobFailure").count() == 3
@@ -182,17 +181,65 @@ def test_cycle_and_contract(spark, store):
         Reports(store, NOW).report("nonsense")
 
 
-def test_day_partitions_are_pruned_at_run_time(spark, store):
-    """The newest rows are found from keys and times; only their days are read in full."""
-    rows = [{"MetricValue": float(d), "CollectedAt": ago(days=d)} for d in range(20)]
-    store.append(vitals(spark, *rows), "HealthMetric")
+def test_rows_of_another_writer_are_seen(spark, store, tmp_path):
+    """Nothing is kept between reads: what another process appends shows in the next report."""
     keys = ["Platform", "ServerName", "MetricName"]
-    for df in (
-        latest_row(store.read("HealthMetric"), keys, narrow=True),
-        latest_cycle(store.read("HealthMetric"), narrow=True),
-    ):
-        assert [r.MetricValue for r in df.collect()] == [0.0]
-        assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
+    store.append(vitals(spark, {"MetricValue": 1.0, "CollectedAt": ago(hours=1)}), "HealthMetric")
+    assert [r.MetricValue for r in latest_row(store.read("HealthMetric"), keys).collect()] == [1.0]
+    other = SnapshotStore(spark.newSession(), store.root)
+    other.append(vitals(other.spark, {"MetricValue": 99.0}), "HealthMetric")
+    assert [r.MetricValue for r in latest_row(store.read("HealthMetric"), keys).collect()] == [99.0]
+    assert [r.MetricValue for r in latest_cycle(store.read("HealthMetric")).collect()] == [99.0]
+
+
+def test_load_that_arrives_during_a_rewrite_is_kept(spark, store):
+    store.append(vitals(spark, {"MetricValue": 1.0}), "HealthMetric", load="early")
+    day = NOW.date().isoformat()
+
+    def rows():
+        read = store.read("HealthMetric")
+        store.append(vitals(spark, {"MetricValue": 2.0}), "HealthMetric", load="late")
+        return read
+
+    store.rewrite_days("HealthMetric", rows, [day])
+    assert sorted(r.MetricValue for r in store.read("HealthMetric").collect()) == [1.0, 2.0]
+
+
+def test_loads_of_closed_days_are_merged(spark, store):
+    for d in (0, 1):
+        for i in range(3):
+            store.append(vitals(spark, {"MetricValue": float(i), "CollectedAt": ago(days=d)}), "HealthMetric")
+    retention.merge_loads(store, NOW)
+    loads = {d: len(store.loads("HealthMetric", d)) for d in store.days("HealthMetric")}
+    assert sorted(loads.values()) == [1, 3] and store.read("HealthMetric").count() == 6
+
+
+def test_every_anomaly_of_a_day_raises_an_alert(spark, store):
+    """The report lists 500; the alerts come from the whole table."""
+    costs = [
+        {"CollectedAt": ago(days=d), "ServerName": "c", "MetricName": f"m{m}", "MetricValue": 900.0 if d == 0 else 100.0, "MetricUnit": "TB"}
+        for m in range(600) for d in range(4)
+    ]
+    store.append(table(spark, "RedshiftCost", *costs), "RedshiftCost")
+    reports = run_cycle(store, NOW)
+    assert store.read_state("AlertHistory").filter("Category = 'Cost' AND NOT Resolved").count() == 600
+    assert reports.frame("CostAnomaly").count() == 500
+
+
+def test_collection_log_is_stored_per_server(spark, store):
+    fill(spark, store)
+    good = vitals(spark, {"MetricValue": 1.0}, {"MetricValue": 2.0, "ServerName": "t"})
+
+    def bad():
+        raise OSError("no route")
+
+    log = ingest.load_sources(store, {"HealthMetric": lambda: good, "DataLag": bad}, NOW, servers={"DataLag": ["c"]})
+    assert sorted((r.ServerName or "", r.Status, r.RowsLoaded) for r in log.collect()) == [("c", "ERROR", 0), ("s", "OK", 1), ("t", "OK", 1)]
+    shown = {r.ServerName: r for r in Reports(store, NOW).report("Servers").collect()}
+    assert (shown["s"].LastStatus, shown["c"].LastStatus) == ("OK", "ERROR")
+    run_cycle(store, NOW)
+    steps = {r.Collector for r in store.read("CollectionLog").collect()}
+    assert {"fleet", "forecast", "anomaly"} <= steps
 
 
 def test_stream_cycle_equals_one_batch(spark, tmp_path):
