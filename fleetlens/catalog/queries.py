@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlens.catalog.oracle import E, GIB, L, O, assemble, half_up, sev
+from fleetlens.catalog.oracle import E, GIB, PIECES, L, O, assemble, half_up, sev, threshold_case
 from fleetlens.functions.expressions import boundary_diff, cat, number_text, severity_rank, ts_lit, txt
 from fleetlens.operators.latest import latest_cycle, latest_row, nth_cycle
 from fleetlens.operators.ranking import order_by_access, order_by_severity, top_k
@@ -19,11 +19,16 @@ from fleetlens.plans import extract_mssql as M
 from fleetlens.plans import extract_redshift as X
 from fleetlens.plans import measures, reports, retention
 from fleetlens.plans.anomaly import cost_anomaly
+from fleetlens.plans.cycle import Reports, run_cycle
 from fleetlens.plans.findings import generate_findings, lock_findings
 from fleetlens.plans.forecast import disk_forecast
+from fleetlens.plans.retention import apply_compaction
+from fleetlens.schemas import TABLES
 from fleetlens.sources import ingest, inventory
 from fleetlens.sources.fixtures import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF, Fixtures
-from fleetlens.streaming.streams import stream_dedup
+from fleetlens.sources.ingest import load_sources, read_evidence
+from fleetlens.sources.store import SnapshotStore
+from fleetlens.streaming.streams import stream_cycle, stream_dedup
 
 EV, OR, LI = EVENTS_AS_OF, ORDERS_AS_OF, LINEITEM_AS_OF
 
@@ -346,12 +351,28 @@ simple(
         number_text(F.col("SnapshotID") / 8).alias("Number"),
     ),
 )
+
+
+def placed(ordered: DataFrame) -> DataFrame:
+    """An ordered list with the position of each row among those of its server, as listed."""
+    listed = ordered.withColumn("_n", F.monotonically_increasing_id())
+    position = F.row_number().over(Window.partitionBy("ServerName").orderBy("_n"))
+    return listed.withColumn("Position", position).drop("_n")
+
+
 simple(
     "order_by_severity",
-    "SELECT * FROM v_vitals",
-    lambda f: order_by_severity(vitals(f), "Status", "ServerName", "MetricName"),
+    """SELECT *, row_number() OVER (PARTITION BY ServerName ORDER BY
+       CASE Status WHEN 'CRIT' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, MetricName, Platform) AS Position FROM v_vitals""",
+    lambda f: placed(order_by_severity(vitals(f), "Status", "ServerName", "MetricName", "Platform")),
+)
+simple(
+    "order_by_access",
+    """SELECT *, row_number() OVER (PARTITION BY ServerName ORDER BY CASE AccessType WHEN 'Sysadmin' THEN 0 WHEN 'Security admin'
+       THEN 1 WHEN 'Elevated' THEN 2 WHEN 'Standard' THEN 3 WHEN 'Connect-only' THEN 4 ELSE 5 END, AccessType) AS Position
+       FROM v_access""",
+    lambda f: placed(order_by_access(access(f), "AccessType")),
 )
-simple("order_by_access", "SELECT * FROM v_access", lambda f: order_by_access(access(f)))
 simple(
     "top_k_per_server",
     "SELECT * FROM fx_query_cost QUALIFY row_number() OVER (PARTITION BY ServerName ORDER BY EstCostUSD DESC, QueryId) <= 25",
@@ -952,3 +973,121 @@ def _(f):
     writer = unique.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
     writer.option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
     return f.spark.read.schema(events.schema).parquet(f"{root}/out")
+
+
+# ----------------------------------------------------------------------- store
+
+
+def fresh_store(f: Fixtures, name: str) -> SnapshotStore:
+    return SnapshotStore(f.spark, scratch(f.spark, name))
+
+
+@query(
+    "store_append_and_read",
+    "SELECT CollectedAt, Platform, ServerName, MetricName, MetricValue, Detail, CAST(CollectedAt AS DATE) AS snapshot_date FROM fx_health_metric",
+)
+def _(f):
+    """Evidence appended in two loads, one of them repeated, read back with its day."""
+    store = fresh_store(f, "append")
+    rows = f.fx_health_metric.drop("SnapshotID")
+    late = F.col("ServerName") > "srv3"
+    store.append(rows.filter(late), "HealthMetric", load="b")
+    store.append(rows.filter(~late), "HealthMetric", load="a")
+    store.append(rows.filter(~late), "HealthMetric", load="a")
+    return store.read("HealthMetric")
+
+
+@query(
+    "load_sources_log",
+    f"""SELECT {E} AS RunAt, 'fleet' AS Collector, ServerName, 'OK' AS Status, count(*) AS RowsLoaded, 'HealthMetric' AS Message
+        FROM fx_health_metric GROUP BY ServerName
+        UNION ALL SELECT {E}, 'fleet', 'unreachable', 'ERROR', 0, 'DataLag: no route to source'""",
+)
+def _(f):
+    """The outcome per server of a source that works and one that does not."""
+
+    def broken():
+        raise OSError("no route to source")
+
+    store = fresh_store(f, "load")
+    sources = {"DataLag": broken, "HealthMetric": lambda: f.fx_health_metric.drop("SnapshotID")}
+    load_sources(store, sources, EV, servers={"DataLag": ["unreachable"]})
+    return store.read("CollectionLog").drop("snapshot_date")
+
+
+@query("read_landed_json", "SELECT Platform, ServerName, EventTime, Message FROM fx_failed_login")
+def _(f):
+    """Evidence landed as JSON lines, read with its schema."""
+    path = scratch(f.spark, "landed")
+    events = f.fx_failed_login.select("Platform", "ServerName", "EventTime", "Message")
+    events.write.json(path)
+    return read_evidence(f.spark, "json", path, schema=events.schema)
+
+
+STORED_VITALS = """(SELECT * FROM fx_health_metric QUALIFY row_number() OVER (PARTITION BY Platform, ServerName, MetricName
+    ORDER BY CollectedAt DESC, MetricValue DESC NULLS LAST, Detail DESC NULLS LAST) = 1)"""
+CYCLE_ALERTS = f"""WITH stored AS (
+  SELECT *, {threshold_case()} AS Status FROM {STORED_VITALS}
+), raised AS (
+  {PIECES["v_a_vitals"].replace("v_vitals", "stored")}
+), one AS (
+  SELECT * FROM raised QUALIFY row_number() OVER
+    (PARTITION BY AlertKey ORDER BY CASE Severity WHEN 'CRIT' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, Message) = 1
+)"""
+
+
+@query(
+    "cycle_alerts",
+    f"""{CYCLE_ALERTS} SELECT AlertKey, Category, Severity, ServerName, Message, {E} AS FirstSeen, {E} AS LastSeen,
+        CAST(NULL AS TIMESTAMP) AS NotifiedAt, false AS Resolved, CAST(NULL AS TIMESTAMP) AS ResolvedAt FROM one""",
+)
+def _(f):
+    """The alerts a first cycle leaves in a store that holds the vitals."""
+    store = fresh_store(f, "cycle")
+    store.append(f.fx_health_metric.drop("SnapshotID"), "HealthMetric")
+    run_cycle(store, EV)
+    return store.read_state("AlertHistory")
+
+
+@query(
+    "stream_cycle_alerts",
+    f"{CYCLE_ALERTS} SELECT AlertKey, Severity, ServerName, Message FROM one",
+)
+def _(f):
+    """The open alerts after the vitals arrived as a stream, in two micro-batches."""
+    root = scratch(f.spark, "stream")
+    f.fx_health_metric.drop("SnapshotID").repartition(2, "MetricName", "ServerName").write.parquet(f"{root}/landing")
+    store = SnapshotStore(f.spark, f"{root}/store")
+    run = stream_cycle(
+        f.spark, {"HealthMetric": f"{root}/landing"}, store, f"{root}/checkpoint", as_of=EV, maxFilesPerTrigger=1
+    )
+    run.awaitTermination()
+    return store.read_state("AlertHistory").filter("NOT Resolved").select("AlertKey", "Severity", "ServerName", "Message")
+
+
+@query(
+    "contract_instance_vitals",
+    f"""SELECT Platform, ServerName, MetricName, MetricValue, Detail, CollectedAt, Status, row_number() OVER
+        (PARTITION BY ServerName ORDER BY CASE Status WHEN 'CRIT' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, MetricName) AS Position
+        FROM (SELECT *, {threshold_case()} AS Status FROM {STORED_VITALS}) WHERE Platform = 'MSSQL'""",
+)
+def _(f):
+    """A report of the contract over a store: filtered, and in its order."""
+    store = fresh_store(f, "contract")
+    store.append(f.fx_health_metric.drop("SnapshotID"), "HealthMetric")
+    return placed(Reports(store, EV).report("InstanceVitals", Platform="MSSQL"))
+
+
+@query(
+    "store_compaction",
+    """SELECT CollectedAt, ServerName, JobName, StepName, RunAt, Message FROM fx_job_failure QUALIFY row_number() OVER
+       (PARTITION BY ServerName, JobName, StepName, RunAt ORDER BY CollectedAt DESC, Message DESC) = 1""",
+)
+def _(f):
+    """Job failures read again on later days, collapsed in the store however far apart."""
+    store = fresh_store(f, "compact")
+    rows = f.fx_job_failure.select(*TABLES["JobFailure"])
+    store.append(rows, "JobFailure")
+    store.append(rows.withColumn("CollectedAt", F.col("CollectedAt") - F.expr("INTERVAL 5 DAY")), "JobFailure")
+    apply_compaction(store)
+    return store.read("JobFailure").drop("snapshot_date")

@@ -19,6 +19,7 @@ from fleetlens.functions.expressions import (
     txt,
 )
 from fleetlens.operators.latest import (
+    SNAPSHOT_DATE,
     first_per_key,
     last_cycles,
     latest_cycle,
@@ -29,9 +30,11 @@ from fleetlens.schemas import ROW_KEYS
 
 
 def _tie(df: DataFrame, *names):
-    """Tie columns that this source supplies."""
+    """Columns that settle equal times: an identity the source supplies, or else every other column in its order."""
     have = df.columns
-    return [c for c in ("SnapshotID", *names) if c in have]
+    if "SnapshotID" in have:
+        return [c for c in ("SnapshotID", *names) if c in have]
+    return [c for c in have if c not in ("CollectedAt", SNAPSHOT_DATE)]
 
 
 def _pick(df: DataFrame, *columns) -> DataFrame:
@@ -422,8 +425,11 @@ def app_owners(owners: DataFrame) -> DataFrame:
 
 def servers_report(servers: DataFrame, log: DataFrame) -> DataFrame:
     """Inventory with the outcome of each server's last collection."""
-    tie = [c for c in ("LogID",) if c in log.columns]
-    last = latest_row(log.filter("ServerName IS NOT NULL"), ["ServerName"], ts="RunAt", tie=tie).select(
+    # of one run a failure counts, whatever else worked
+    failed = F.coalesce(F.col("Status") != "OK", F.lit(True))
+    tie = ["LogID"] if "LogID" in log.columns else ["_failed", "Collector", "Message"]
+    named = log.filter("ServerName IS NOT NULL").withColumn("_failed", failed)
+    last = latest_row(named, ["ServerName"], ts="RunAt", tie=tie).select(
         "ServerName",
         F.col("RunAt").alias("LastCollectedAt"),
         F.col("Status").alias("LastStatus"),

@@ -45,7 +45,8 @@ def compact(df: DataFrame, table: str, *tie) -> DataFrame:
     """The newest row per event."""
     keys = EVENT_KEYS[table]
     rows = df.withColumn("_day", F.to_date("LastScanned")) if "_day" in keys else df
-    order = [F.desc(c) for c in (tie or ("CollectedAt",))]
+    rest = [c for c in ("Message", "GrowthMB", "DurationMs") if c in df.columns and c not in keys]
+    order = [F.desc(c) for c in (tie or ("CollectedAt", *rest))]
     return first_per_key(rows, keys, *order).drop("_day")
 
 

@@ -26,17 +26,18 @@ def stream_cycle(
     retention_days: int = 90,
     available_now: bool = True,
     interval: str = "15 minutes",
+    **options,
 ):
     """Append each micro-batch to the store, then run the cycle on it.
 
     ``landing`` maps evidence tables to directories. The batch number is the
     load id, so a batch that is repeated after a failure is stored once, and
     the state steps give the same result when repeated. ``as_of`` defaults to
-    the newest time in the batch.
+    the newest time in the batch. ``options`` go to the landing streams.
     """
     tagged = None
     for table, path in landing.items():
-        rows = landing_stream(spark, path, table)
+        rows = landing_stream(spark, path, table, **options)
         one = rows.select(F.lit(table).alias("_table"), F.col("CollectedAt"), F.struct(*rows.columns).alias(table))
         tagged = one if tagged is None else tagged.unionByName(one, allowMissingColumns=True)
 
