@@ -725,46 +725,45 @@ simple(
 _COST_DAY = "TIMESTAMP '1999-01-01 00:00:00' - INTERVAL 1 DAY"
 simple(
     "extract_query_cost",
-    f"""SELECT q.ServerName, q.query AS QueryId, trim(u.usename) AS UserName, q.starttime AS StartTime,
-        date_diff('second', q.starttime, q.endtime) AS ElapsedSec, {half_up("coalesce(n.b, 0)", "1048576", 1)} AS ScanMB,
-        {half_up("coalesce(s.b, 0)", "1048576", 1)} AS SpectrumMB,
-        {half_up("coalesce(s.b, 0) * 5", "1000000000000", 2)} AS EstCostUSD, left(trim(t.text), 500) AS QueryText
-        FROM raw_rs_queries q
-        LEFT JOIN (SELECT ServerName, query, sum(s3_scanned_bytes) AS b FROM raw_s3 WHERE starttime > {_COST_DAY} GROUP BY 1, 2) s
-          ON s.ServerName = q.ServerName AND s.query = q.query
-        LEFT JOIN (SELECT ServerName, query, sum(bytes) AS b FROM raw_query_scans WHERE starttime > {_COST_DAY} AND userid > 1 GROUP BY 1, 2) n
-          ON n.ServerName = q.ServerName AND n.query = q.query
-        LEFT JOIN (SELECT ServerName, query, string_agg(text, '' ORDER BY sequence) AS text FROM raw_querytext GROUP BY 1, 2) t
-          ON t.ServerName = q.ServerName AND t.query = q.query
-        LEFT JOIN raw_users u ON u.ServerName = q.ServerName AND u.usesysid = q.userid
-        WHERE q.starttime > {_COST_DAY} AND q.userid > 1 AND (coalesce(s.b, 0) > 0 OR coalesce(n.b, 0) > 0)
-        QUALIFY row_number() OVER (PARTITION BY q.ServerName ORDER BY EstCostUSD DESC, ScanMB DESC, q.query) <= 200""",
+    f"""WITH read_bytes AS (
+          SELECT ServerName, query, sum(far) AS far, sum(near) AS near FROM (
+            SELECT ServerName, query, s3_scanned_bytes AS far, 0 AS near FROM raw_s3 WHERE starttime > {_COST_DAY}
+            UNION ALL SELECT ServerName, query, 0, bytes FROM raw_query_scans WHERE starttime > {_COST_DAY} AND userid > 1)
+          GROUP BY ALL HAVING sum(far) + sum(near) > 0)
+        SELECT ServerName, query AS QueryId,
+          (SELECT max(trim(usename)) FROM raw_users u WHERE u.ServerName = q.ServerName AND u.usesysid = q.userid) AS UserName,
+          starttime AS StartTime, date_diff('second', starttime, endtime) AS ElapsedSec, {half_up("near", "1048576", 1)} AS ScanMB,
+          {half_up("far", "1048576", 1)} AS SpectrumMB, {half_up("far * 5", "1000000000000", 2)} AS EstCostUSD,
+          (SELECT left(trim(string_agg(t.text, '' ORDER BY t.sequence)), 500) FROM raw_querytext t
+            WHERE t.ServerName = q.ServerName AND t.query = q.query) AS QueryText
+        FROM raw_rs_queries q JOIN read_bytes USING (ServerName, query) WHERE starttime > {_COST_DAY} AND userid > 1
+        QUALIFY row_number() OVER (PARTITION BY ServerName ORDER BY EstCostUSD DESC, ScanMB DESC, query) <= 200""",
     lambda f: X.extract_query_cost(
         f.raw_s3, f.raw_query_scans, f.raw_rs_queries, f.raw_querytext, f.raw_users, "1999-01-01 00:00:00", n=200
     ),
 )
 simple(
     "extract_lock_waits",
-    f"""SELECT p.ServerName, p.pid AS WaiterPid, trim(p.owner) AS WaiterUser,
-        coalesce(trim(c.relname), CAST(p.relation AS VARCHAR)) AS Relation, date_diff('minute', p.w_start, {O}) AS WaitMinutes,
-        left(trim(rw.query), 500) AS WaiterQuery, p.b_pid AS BlockerPid, trim(p.b_owner) AS BlockerUser,
-        trim(p.b_mode) AS BlockerLockMode, CAST(CASE WHEN bi.pid IS NULL THEN 1 ELSE 0 END AS BIGINT) AS BlockerIdleInTxn,
-        left(trim(bi.text), 500) AS BlockerQuery, coalesce(cf.cnt, 0) AS ConflictCount24h
-        FROM (SELECT w.ServerName, w.pid, w.relation, w.txn_start AS w_start, w.txn_owner AS owner, b.pid AS b_pid,
-                     b.txn_owner AS b_owner, b.lock_mode AS b_mode
-              FROM raw_transactions w JOIN raw_transactions b
-                ON b.ServerName = w.ServerName AND b.relation = w.relation AND b.granted AND b.pid <> w.pid
-              WHERE NOT w.granted
-              QUALIFY row_number() OVER (PARTITION BY w.ServerName, w.pid, w.relation
-                      ORDER BY w.txn_start, w.txn_owner, b.txn_start, b.pid, b.txn_owner, b.lock_mode) = 1) p
-        LEFT JOIN raw_classes c ON c.ServerName = p.ServerName AND c.oid = p.relation
-        LEFT JOIN (SELECT ServerName, pid, max(query) AS query FROM raw_lock_recents WHERE trim(status) = 'Running' GROUP BY 1, 2) rw
-          ON rw.ServerName = p.ServerName AND rw.pid = p.pid
-        LEFT JOIN (SELECT ServerName, pid, max(text) AS text FROM raw_inflight GROUP BY 1, 2) bi
-          ON bi.ServerName = p.ServerName AND bi.pid = p.b_pid
-        LEFT JOIN (SELECT ServerName, table_id, count(*) AS cnt FROM raw_conflicts WHERE xact_start_ts > {O} - INTERVAL 1 DAY GROUP BY 1, 2) cf
-          ON cf.ServerName = p.ServerName AND cf.table_id = p.relation
-        WHERE date_diff('minute', p.w_start, {O}) >= 5""",
+    f"""WITH waiting AS (
+          SELECT ServerName, relation, pid, min({{'since': txn_start, 'who': txn_owner}}) AS me
+          FROM raw_transactions WHERE NOT granted GROUP BY ALL HAVING date_diff('minute', min(txn_start), {O}) >= 5
+        ), held AS (
+          SELECT *, (SELECT min({{'since': h.txn_start, 'pid': h.pid, 'who': h.txn_owner, 'mode': h.lock_mode}}) FROM raw_transactions h
+            WHERE h.granted AND h.ServerName = x.ServerName AND h.relation = x.relation AND h.pid <> x.pid) AS it FROM waiting x
+        )
+        SELECT ServerName, pid AS WaiterPid, trim(me.who) AS WaiterUser,
+          coalesce((SELECT max(trim(relname)) FROM raw_classes k WHERE k.ServerName = held.ServerName AND k.oid = held.relation),
+                   CAST(relation AS VARCHAR)) AS Relation, date_diff('minute', me.since, {O}) AS WaitMinutes,
+          (SELECT left(trim(max(query)), 500) FROM raw_lock_recents r WHERE trim(r.status) = 'Running'
+            AND r.ServerName = held.ServerName AND r.pid = held.pid) AS WaiterQuery,
+          it.pid AS BlockerPid, trim(it.who) AS BlockerUser, trim(it.mode) AS BlockerLockMode,
+          CAST(NOT EXISTS (SELECT 1 FROM raw_inflight i WHERE i.ServerName = held.ServerName AND i.pid = held.it.pid) AS BIGINT)
+            AS BlockerIdleInTxn,
+          (SELECT left(trim(max(text)), 500) FROM raw_inflight i WHERE i.ServerName = held.ServerName AND i.pid = held.it.pid)
+            AS BlockerQuery,
+          (SELECT count(*) FROM raw_conflicts c WHERE c.ServerName = held.ServerName AND c.table_id = held.relation
+            AND c.xact_start_ts > {O} - INTERVAL 1 DAY) AS ConflictCount24h
+        FROM held WHERE it IS NOT NULL""",
     lambda f: X.extract_lock_waits(
         f.raw_transactions, f.raw_classes, f.raw_lock_recents, f.raw_inflight, f.raw_conflicts, OR
     ),
