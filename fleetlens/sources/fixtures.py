@@ -154,7 +154,7 @@ SELECT event_id AS SnapshotID, {at} AS CollectedAt,
        concat('obj', user_id) AS ObjectName,
        CASE WHEN event_type = 'view' THEN 'load_freshness' ELSE 'ag_redo_lag' END AS Metric,
        CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST(floor(value * 20) AS BIGINT) END AS LagSeconds, props AS Detail
-FROM {{events}} WHERE event_type IN ('view', 'click')""",
+FROM {{events}}""",
         "fx_ag": f"""
 SELECT event_id AS SnapshotID, {at} AS CollectedAt, concat('ag', user_id % 5) AS AGName,
        concat('db', user_id % 20) AS DatabaseName, {instance} AS ReplicaServer,
@@ -171,7 +171,7 @@ SELECT event_id AS SnapshotID, {d.hour("ts")} AS CollectedAt, 'MSSQL' AS Platfor
        'running' AS Status, upper(event_type) AS WaitType, CAST(floor(value * 20) AS BIGINT) AS DurationSec,
        concat('db', user_id % 20) AS DatabaseName, concat('u', user_id) AS LoginName,
        concat('host', user_id % 9) AS HostName, event_type AS ProgramName, props AS QueryText
-FROM {{events}} WHERE event_type IN ('error', 'click', 'view')""",
+FROM {{events}}""",
         "fx_wait_stats": f"""
 SELECT CollectedAt, ServerName, WaitType, run % 20000 AS WaitTimeMs,
        CAST(CAST(run % 1000 AS DOUBLE) / 10 AS DECIMAL(5,1)) AS WaitPct
@@ -191,14 +191,14 @@ FROM (SELECT event_id, user_id, props, seen, ServerName, step, {d.each(0, 1, 2)}
 SELECT event_id * 2 + rerun AS SnapshotID, seen + rerun * INTERVAL '15' MINUTE AS CollectedAt, 'MSSQL' AS Platform,
        ServerName, seen AS EventTime, concat('Login failed for user u', user_id) AS Message
 FROM (SELECT event_id, user_id, {at} AS seen, {instance} AS ServerName, {d.each(0, 1)} AS rerun
-      FROM {{events}} WHERE event_type = 'signup') a""",
+      FROM {{events}}) a""",
         "fx_autogrowth": f"""
 SELECT event_id * 2 + rerun AS SnapshotID, seen + rerun * INTERVAL '15' MINUTE AS CollectedAt, ServerName,
        seen AS EventTime, concat('db', user_id % 20) AS DatabaseName,
        CASE WHEN event_id % 2 = 0 THEN 'ROWS' ELSE 'LOG' END AS FileType,
        CAST(event_id % 640 AS DOUBLE) / 10 AS GrowthMB, CAST(floor(value * 20) AS BIGINT) AS DurationMs
 FROM (SELECT event_id, user_id, value, {at} AS seen, {instance} AS ServerName, {d.each(0, 1)} AS rerun
-      FROM {{events}} WHERE event_type = 'purchase') a""",
+      FROM {{events}}) a""",
         "fx_redshift_cost": f"""
 SELECT event_id AS SnapshotID, {at} AS CollectedAt, {srv("user_id % 10")} AS ServerName, event_type AS MetricName,
        value AS MetricValue, CASE WHEN event_type = 'view' THEN 'GB' ELSE 'TB' END AS MetricUnit FROM {{events}}""",
@@ -225,7 +225,7 @@ FROM (SELECT l_shipdate AS CollectedAt, {by_table} AS ServerName, concat('public
 SELECT l_shipdate AS CollectedAt, {by_table} AS ServerName,
        concat(CASE WHEN l_partkey % 9 = 0 THEN 'dropped.t' ELSE 'public.t' END, l_partkey) AS TableName,
        max(l_shipdate) AS LastScanned
-FROM {{lineitem}} WHERE l_returnflag = 'R' GROUP BY 1, 2, 3""",
+FROM {{lineitem}} GROUP BY 1, 2, 3""",
         "fx_backup": f"""
 SELECT {d.ts(ORDERS_AS_OF)} AS CollectedAt, {srv("c_nationkey")} AS ServerName,
        CASE WHEN c_custkey % 31 = 0 THEN 'master' ELSE c_name END AS DatabaseName, c_custkey AS SnapshotID,
@@ -416,11 +416,12 @@ SELECT DISTINCT {srv("l_suppkey")} AS ServerName,
 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
         "raw_error_log": f"""
 SELECT {instance} AS ServerName, {at} AS LogDate,
-       CASE WHEN event_id % 3 = 0 THEN 'Backup done' ELSE concat('Login failed for user u', user_id) END AS LogText
-FROM {{events}} WHERE event_type = 'signup'""",
+       CASE WHEN event_type = 'signup' THEN concat('Login failed for user u', user_id) ELSE 'Backup done' END AS LogText
+FROM {{events}}""",
         "raw_error_log_previous": f"""
-SELECT {instance} AS ServerName, {at} AS LogDate, concat('Login failed for user v', user_id) AS LogText
-FROM {{events}} WHERE event_type = 'error'""",
+SELECT {instance} AS ServerName, {at} AS LogDate,
+       CASE WHEN event_type = 'error' THEN concat('Login failed for user v', user_id) ELSE 'Log rotated' END AS LogText
+FROM {{events}}""",
         # ---------------------------------------------------- raw logs, Redshift
         "raw_partitions": f"""
 SELECT {srv("l_suppkey % 10 * 4")} AS ServerName, {quantity} * 3 AS capacity, {quantity} AS used,
@@ -492,7 +493,7 @@ SELECT {by_table} AS ServerName, CASE WHEN l_suppkey % 3 = 0 THEN l_orderkey * 1
        concat('select ', l_suppkey) AS text FROM {{lineitem}}""",
         "raw_conflicts": f"""
 SELECT {by_table} AS ServerName, l_partkey AS table_id, l_shipdate AS xact_start_ts
-FROM {{lineitem}} WHERE l_returnflag = 'R'""",
+FROM {{lineitem}}""",
         # --------------------------------------------------------- raw logs, audit
         "raw_properties": f"""
 SELECT {srv("s_suppkey")} AS ServerName,
