@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from fleetlens.operators import joins, latest
 from fleetlens.operators.ranking import top_k, total_per_key
 from fleetlens.operators.reconcile import one_per_key, reconcile
+from fleetlens.plans.extract_mssql import extract_activity, extract_ag_lag
+from fleetlens.plans.forecast import disk_forecast
 from fleetlens.schemas import struct
 
 START = datetime(2024, 1, 1)
@@ -204,3 +206,61 @@ def test_one_pass_read_limits_before_the_shuffle(dated):
     text = plan(latest.latest_row(dated, ["ServerName"], tie="SnapshotID"))
     exchange = text.index("Exchange")
     assert "WindowGroupLimit" in text[exchange:], "the partial limit runs on the map side"
+
+
+# --------------------------------------------------------------- clusters, zones, replays
+
+
+def test_lag_pairs_replicas_of_one_instance(spark):
+    """Two clusters with one group and database name: each secondary against its own primary."""
+    rows = [
+        ("c1", "AG1", "App", "r1", True, START, 0), ("c1", "AG1", "App", "r2", False, START - timedelta(seconds=2), 5),
+        ("c2", "AG1", "App", "r3", True, START + timedelta(hours=3), 0),
+        ("c2", "AG1", "App", "r4", False, START + timedelta(hours=3) - timedelta(seconds=7), 0),
+    ]
+    schema = (
+        "ServerName string, AGName string, DatabaseName string, ReplicaServer string, IsPrimary boolean, "
+        "LastCommitTime timestamp_ntz, RedoQueueKB bigint"
+    )
+    got = {r.ServerName: r.LagSeconds for r in extract_ag_lag(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"c1": 2, "c2": 7}
+
+
+def test_local_times_of_servers_become_utc(spark):
+    """A server five hours behind UTC: its request has run for ninety seconds, not for five hours."""
+    local = START - timedelta(hours=5)
+    requests = spark.createDataFrame(
+        [("s", 1, 0, "running", "x", local - timedelta(seconds=90), "db", 7)],
+        "ServerName string, session_id bigint, blocking_session_id bigint, status string, wait_type string, "
+        "start_time timestamp_ntz, database_name string, sql_handle bigint",
+    )
+    sessions = spark.createDataFrame(
+        [("s", 1, True, "l", "h", "p")],
+        "ServerName string, session_id bigint, is_user_process boolean, login_name string, host_name string, program_name string",
+    )
+    texts = spark.createDataFrame([("s", 7, "select 1")], "ServerName string, sql_handle bigint, text string")
+    got = extract_activity(requests, sessions, texts, START, source_tz="America/Bogota").collect()
+    assert [r.DurationSec for r in got] == [90]
+
+
+def test_forecast_of_a_past_day_does_not_see_later_rows(spark):
+    rows = [(START + timedelta(days=d), "MSSQL", "s", "c:", 1000 * 2**30, (100 + d) * 2**30) for d in range(-10, 10)]
+    schema = "CollectedAt timestamp_ntz, Platform string, ServerName string, VolumeName string, TotalBytes bigint, UsedBytes bigint"
+    got = disk_forecast(spark.createDataFrame(rows, schema), START).first()
+    assert got.UsedBytes == 100 * 2**30 and got.DaysToFull == 900
+
+
+def test_building_a_query_runs_no_job(spark):
+    """But the reading of file schemas: stages already run stay the only ones."""
+    from fleetlens.catalog.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("report_overview", "extract_lock_waits", "extract_query_cost", "audit_config", "report_wait_delta"):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        QUERIES[name](spark, folder)
+        jobs = tracker.getJobIdsForGroup(f"build-{name}")
+        stages = [s for j in jobs for s in tracker.getJobInfo(j).stageIds]
+        assert all(tracker.getStageInfo(s).numTasks == 1 for s in stages), name
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
