@@ -20,7 +20,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a repeated string, and of the grams whose hashes choose the triggers.
@@ -158,20 +159,38 @@ def _parse(parts: list[tuple[int, int, bytes]]) -> Parse:
     return Parse(data, rolling, offset, text, low, high, at[low], _mixed(grams[at[low]]))
 
 
+#: Text bytes per slot of documents: what a task holds when it reads answers.
+SLOT_BYTES = 8 << 20
+
 ASK = "bucket int, kind string, docs binary, counts binary, keys binary, extra binary"
-TOLD = "doc_id long, kind string, keys binary"
-_TYPES = {"trigger": np.uint32, "phrase": np.uint64, "border": np.uint32, "string": np.uint64}
+TOLD = "slot int, kind string, docs binary, counts binary, keys binary, extra binary"
+_TYPES = {"trigger": np.uint32, "phrase": np.uint64, "border": np.uint32, "string": np.uint64, "span": np.uint64}
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _slot_column(doc_id: Column, slots: int) -> Column:
+    folded = doc_id.bitwiseXOR(F.shiftright(doc_id, 15)).bitwiseXOR(F.shiftright(doc_id, 31))
+    return F.pmod(folded, F.lit(slots)).cast("int")
+
+
+def _slot_of(docs: np.ndarray, slots: int) -> np.ndarray:
+    return (docs ^ (docs >> 15) ^ (docs >> 31)) % slots
 
 
 def _low32(x: np.ndarray) -> np.ndarray:
     return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _by_document(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order of documents: documents, how many of each, keys."""
-    order = np.argsort(doc, kind="stable")
-    docs, counts = np.unique(doc, return_counts=True)
-    return docs, counts, keys[order]
+def _fingerprint(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
+def _six(x: np.ndarray) -> np.ndarray:
+    """The six high bytes of each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
 
 
 def _ask(kind: str, bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, extra: np.ndarray | None = None) -> list[tuple]:
@@ -191,20 +210,30 @@ def _ask(kind: str, bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, extra
     return rows
 
 
-def _tell(kind: str, doc: np.ndarray, keys: np.ndarray) -> list[tuple]:
-    """One row per document with the fingerprints it is told about."""
-    docs, counts, keys = _by_document(doc, keys)
-    ends = np.cumsum(counts)
-    return [(int(d), kind, keys[e - n : e].tobytes()) for d, n, e in zip(docs, counts, ends, strict=True)]
+def _tell(kind: str, doc: np.ndarray, keys: np.ndarray, slots: int, extra: np.ndarray | None = None) -> list[tuple]:
+    """One row per slot with its documents and the fingerprints they are told about."""
+    order = np.lexsort((doc, _slot_of(doc, slots)))
+    doc, keys = doc[order], keys[order]
+    extra = extra[order] if extra is not None else None
+    slot = _slot_of(doc, slots)
+    cuts = np.concatenate([[0], np.nonzero(np.diff(slot))[0] + 1, [len(slot)]])
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            docs, counts = np.unique(doc[a:b], return_counts=True)
+            more = extra[a:b].tobytes() if extra is not None else b""
+            rows.append((int(slot[a]), kind, docs.tobytes(), counts.astype(np.int32).tobytes(), keys[a:b].tobytes(), more))
+    return rows
 
 
-def _known(kind: str, doc: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple]:
+def _known(kind: str, doc: np.ndarray, keys: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> list[tuple]:
     """What a task finds out on its own, sent along as told already."""
     if not len(doc):
         return []
-    docs, counts, keys = _by_document(doc, keys)
-    bucket = int(docs[0] % buckets)
-    return [(bucket, f"{kind}!", docs.astype(np.int64).tobytes(), counts.astype(np.int32).tobytes(), keys.tobytes(), b"")]
+    order = np.argsort(doc, kind="stable")
+    docs, counts = np.unique(doc, return_counts=True)
+    more = extra[order].tobytes() if extra is not None else b""
+    return [(int(docs[0] % buckets), f"{kind}!", docs.tobytes(), counts.astype(np.int32).tobytes(), keys[order].tobytes(), more)]
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,25 +310,39 @@ def _ask_phrases(docs: np.ndarray, texts: list[bytes], told: list[dict], buckets
     send = (here == start) | (here == end)
     rows += _known("border", d[(start != end) & ~send], _low32(h[(start != end) & ~send]), buckets)
     d, h, c = d[send], h[send], c[send]
-    return rows + _ask("border", ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), d, _low32(h), c >> np.uint64(16))
+    return rows + _ask("border", ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), d, _low32(h), _six(c))
 
 
 def _ask_strings(docs: np.ndarray, texts: list[bytes], told: list[dict], buckets: int) -> list[tuple]:
-    found: list[tuple] = []
+    """Also sends along the spans of the phrases that repeat whole."""
+    found, spans, rows = [], [], []
     for piece in parsed(texts):
-        which = _borders(piece, told)
-        if len(which):
-            phrase, _, w, w2 = piece.strings(which)
+        whole, borders = _whole_and_borders(piece, told)
+        if len(whole):
+            offset = piece.offset[whole]
+            spans.append((piece.text[whole], piece.low[whole] + offset, piece.high[whole] + offset + LENGTH))
+        if len(borders):
+            phrase, _, w, w2 = piece.strings(borders)
             found.append((docs[piece.text[phrase]], w, w2))
-    if not found:
-        return []
-    d, w, w2 = (np.concatenate(x) for x in zip(*found, strict=True))
-    order, new = _groups(w, d)
-    d, w, w2 = d[order][new], w[order][new], w2[order][new]
-    first, _ = _groups_start(w)
-    more = first != np.arange(len(w))
-    rows = _known("string", d[more], w[more], buckets)
-    return rows + _ask("string", (w2[~more] % np.uint64(buckets)).astype(np.int64), d[~more], w[~more])
+    if spans:
+        text, start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+        # spans that touch become one; texts come in order, and ends grow with starts
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (start[1:] > end[:-1])
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], len(text)) - 1
+        keys = start[first].astype(np.uint64) << np.uint64(32) | end[last].astype(np.uint64)
+        owner = np.array([_fingerprint(texts[i]) for i in text[first]], np.uint64)  # as rows may share a doc_id
+        rows += _known("span", docs[text[first]], keys, buckets, owner)
+    if found:
+        d, w, w2 = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, new = _groups(w, d)
+        d, w, w2 = d[order][new], w[order][new], w2[order][new]
+        first, _ = _groups_start(w)
+        more = first != np.arange(len(w))
+        rows += _known("string", d[more], w[more], buckets)
+        rows += _ask("string", (w2[~more] % np.uint64(buckets)).astype(np.int64), d[~more], w[~more])
+    return rows
 
 
 def _told_mask(piece: Parse, told: list[dict], kind: str, keys: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
@@ -315,87 +358,115 @@ def _told_mask(piece: Parse, told: list[dict], kind: str, keys: np.ndarray, rows
     return mask
 
 
-def _borders(piece: Parse, told: list[dict]) -> np.ndarray:
-    """Phrases that differ from others at their trigger and are not repeated whole."""
-    low = _low32(piece.trigger)
-    which = np.nonzero(_told_mask(piece, told, "trigger", low) & _told_mask(piece, told, "border", low))[0]
+def _whole_and_borders(piece: Parse, told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that smaller documents have whole, and others whose trigger stands in other phrases too."""
+    texts = np.unique(piece.text)
+    asked = texts[[bool(told[i]) for i in texts]]
+    which = np.nonzero(np.isin(piece.text, asked))[0]
     if not len(which):
-        return which
+        return which, which
     c, _ = piece.phrases(which)
-    return which[~_told_mask(piece, told, "phrase", c, which)]
+    whole = _told_mask(piece, told, "phrase", c, which)
+    rest = which[~whole]
+    return which[whole], rest[_told_mask(piece, told, "border", _low32(piece.trigger[rest]), rest)]
+
+
+def _told(rows: pd.DataFrame) -> dict[int, dict[str, np.ndarray]]:
+    """What each document of a slot was told: sorted fingerprints per kind."""
+    out: dict[int, dict[str, np.ndarray]] = {}
+    for kind, own in rows.groupby("kind"):
+        docs, counts = (np.frombuffer(b"".join(own[c]), t) for c, t in (("docs", np.int64), ("counts", np.int32)))
+        keys = np.frombuffer(b"".join(own["keys"]), _TYPES[kind])
+        doc = np.repeat(docs, counts)
+        order = np.lexsort((keys, doc))
+        doc, keys = doc[order], keys[order]
+        if kind == "span":
+            keys = np.stack([keys, np.frombuffer(b"".join(own["extra"]), np.uint64)[order]], axis=1)
+        cuts = np.concatenate([[0], np.nonzero(np.diff(doc))[0] + 1, [len(doc)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                out.setdefault(int(doc[a]), {})[kind] = keys[a:b]
+    return out
 
 
-def _told(kinds: list, keys: list) -> dict[str, np.ndarray]:
-    """What a document was told: sorted fingerprints per kind."""
-    by: dict[str, list[bytes]] = {}
-    for kind, key in zip(kinds, keys, strict=True):
-        by.setdefault(kind, []).append(key)
-    return {k: np.unique(np.frombuffer(b"".join(v), _TYPES[k])) for k, v in by.items()}
+@dataclass
+class Sizes:
+    """Buckets of fingerprints and slots of documents: both follow the bytes of the corpus."""
 
+    buckets: int
+    slots: int
 
-def _read(batch: pd.DataFrame) -> Iterator[tuple[object, bytes, dict]]:
-    for doc_id, text, answers in zip(batch["doc_id"], batch["text"], batch["told"], strict=True):
-        pairs = answers if answers is not None else []
-        yield doc_id, text or b"", _told([p["kind"] for p in pairs], [p["keys"] for p in pairs])
 
+def _requests(docs: list, texts: list, told: list, ask, sizes: Sizes) -> pd.DataFrame:
+    rows = ask(np.array(docs, np.int64), texts, told, sizes.buckets) if docs else []
+    return pd.DataFrame(rows, columns=_names(ASK))
 
-def _asked(frame: DataFrame, ask, needs: str | None, buckets: int) -> DataFrame:
-    """Requests of the documents (which were told ``needs``) and the answers of the buckets: doc_id, kind, keys."""
 
+def _first_requests(sizes: Sizes):
     def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, texts, told, size = [], [], [], 0
-
-        def sent() -> pd.DataFrame:
-            rows = ask(np.array(docs, np.int64), texts, told, buckets)
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in ASK.split(", ")])
-
+        docs, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text, answers in _read(batch):
-                if len(text) < LENGTH or (needs is not None and needs not in answers):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                if text is None or len(text) < LENGTH:
                     continue
                 docs.append(doc_id)
                 texts.append(text)
-                told.append(answers)
                 size += len(text)
                 if size >= BATCH:
-                    yield sent()
-                    docs, texts, told, size = [], [], [], 0
-        if docs:
-            yield sent()
+                    yield _requests(docs, texts, [], _ask_triggers, sizes)
+                    docs, texts, size = [], [], 0
+        yield _requests(docs, texts, [], _ask_triggers, sizes)
+
+    return requests
 
-    asked = frame.mapInPandas(requests, ASK).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    return asked.mapInPandas(_answers, TOLD)
 
+def _next_requests(ask, sizes: Sizes):
+    """The documents of a slot that were told something ask again."""
 
-def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def requests(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        told = _told(answers)
+        rows = [(d, t, told[d]) for d, t in zip(texts["doc_id"], texts["text"], strict=True) if d in told and t is not None]
+        rows = [r for r in rows if len(r[1]) >= LENGTH]
+        return _requests(*([r[i] for r in rows] for i in range(3)), ask, sizes)
+
+    return requests
+
+
+def _answers(slots: int):
     """Over requests sorted by bucket and kind: one bucket's fingerprints of one kind at a time."""
-    now, held = None, []
 
-    def done() -> pd.DataFrame:
-        return pd.DataFrame(_answered(now[1], held), columns=["doc_id", "kind", "keys"])
+    def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
 
-    for batch in batches:
-        for bucket, kind, *row in batch.itertuples(index=False):
-            if kind.endswith("!"):
-                docs, counts = np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.int32)
-                keys = np.frombuffer(row[2], _TYPES[kind[:-1]])
-                yield pd.DataFrame(_tell(kind[:-1], np.repeat(docs, counts), keys), columns=["doc_id", "kind", "keys"])
-                continue
-            if now != (bucket, kind):
-                if held:
-                    yield done()
-                now, held = (bucket, kind), []
-            held.append(row)
-    if held:
-        yield done()
+        def done(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=_names(TOLD))
+
+        for batch in batches:
+            for bucket, kind, *row in batch.itertuples(index=False):
+                if kind.endswith("!"):
+                    docs, counts = np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.int32)
+                    keys = np.frombuffer(row[2], _TYPES[kind[:-1]])
+                    extra = np.frombuffer(row[3], np.uint64) if row[3] else None
+                    yield done(_tell(kind[:-1], np.repeat(docs, counts), keys, slots, extra))
+                    continue
+                if now != (bucket, kind):
+                    if held:
+                        yield done(_answered(now[1], held, slots))
+                    now, held = (bucket, kind), []
+                held.append(row)
+        if held:
+            yield done(_answered(now[1], held, slots))
+
+    return answers
 
 
-def _answered(kind: str, held: list) -> list[tuple]:
+def _answered(kind: str, held: list, slots: int) -> list[tuple]:
     doc = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n, _, _ in held])
     key = np.frombuffer(b"".join(k for _, _, k, _ in held), _TYPES[kind])
     second = doc
     if kind == "border":
-        second = np.frombuffer(b"".join(e for _, _, _, e in held), np.uint64)
+        six = np.frombuffer(b"".join(e for _, _, _, e in held), np.uint8).reshape(-1, 6)
+        second = np.ascontiguousarray(np.pad(six, ((0, 0), (2, 0)))).view("<u8").ravel()
     order, _ = _groups(key, second)
     key, second, doc = key[order], second[order], doc[order]
     first, last = _groups_start(key)
@@ -403,71 +474,60 @@ def _answered(kind: str, held: list) -> list[tuple]:
         yes = second[first] != second[last]
     else:  # in a smaller document
         yes = doc[first] < doc
-    return _tell(kind, doc[yes], key[yes])
-
-
-def _gathered(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "keys")).alias("told"))
+    return _tell(kind, doc[yes], key[yes], slots)
 
 
 def _removed(text: bytes, told: dict[str, np.ndarray]) -> np.ndarray:
-    """Mask of the bytes that repeat from smaller documents."""
+    """Mask of the bytes that repeat from smaller documents: spans of phrases, and single strings."""
     edges = np.zeros(len(text) + 1, np.int32)
-    if "phrase" in told or "string" in told:
-        for piece in parsed([text]):
-            which = np.nonzero(_told_mask(piece, [told], "trigger", _low32(piece.trigger)))[0]
-            c, _ = piece.phrases(which)
-            whole = _told_mask(piece, [told], "phrase", c, which)
-            full = which[whole]
-            np.add.at(edges, piece.low[full] + piece.offset[full], 1)
-            np.add.at(edges, piece.high[full] + piece.offset[full] + LENGTH, -1)
-            rest = which[~whole]
-            rest = rest[_told_mask(piece, [told], "border", _low32(piece.trigger[rest]), rest)]
-            if len(rest) and "string" in told:
-                phrase, start, w, _ = piece.strings(rest)
-                again = _told_mask(piece, [told], "string", w, phrase)
-                start = (start + piece.offset[phrase])[again]
-                np.add.at(edges, start, 1)
-                np.add.at(edges, start + LENGTH, -1)
+    if "span" in told:
+        spans = told["span"][told["span"][:, 1] == np.uint64(_fingerprint(text)), 0]
+        np.add.at(edges, (spans >> np.uint64(32)).astype(np.int64), 1)
+        np.add.at(edges, (spans & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
+    if "string" in told:
+        for at in range(0, len(text) - LENGTH + 1, PIECE):
+            data = np.frombuffer(text[at : at + PIECE + LENGTH - 1], np.uint8)
+            start = np.nonzero(np.isin(_mixed(Rolling(data, _BASES[0]).grams(LENGTH)), told["string"]))[0] + at
+            np.add.at(edges, start, 1)
+            np.add.at(edges, start + LENGTH, -1)
     return np.cumsum(edges)[:-1] > 0
 
 
-def repeated_bytes(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All rows of ``docs`` with ``_bytes`` (the text as UTF-8) and ``told``, to be read with ``remaining``.
+def with_removed(docs: DataFrame, schema: str, finish, bucket_bytes: int = BUCKET_BYTES, slot_bytes: int = SLOT_BYTES) -> DataFrame:
+    """Per row of ``docs``: doc_id and what ``finish(bytes, mask of the bytes to remove)`` makes of its text.
 
     A byte goes if a 50-byte string over it also starts in a document of smaller doc_id. Null and short texts lose
     nothing; rows without doc_id neither lose bytes nor make others lose any; rows sharing a doc_id are parts of one
-    document. An empty table gives none.
+    document. Only doc_id and text are read. An empty table gives none.
 
     Fingerprints have 64 bits beside the bucket, which is chosen by independent bits and grows with the corpus.
     """
-    docs = docs.drop("_id", "_bytes", "told").withColumn("_id", F.col("doc_id").cast("long"))
-    docs = docs.withColumn("_bytes", F.col("text").cast("string").cast("binary"))
-    total = docs.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    read = docs.select(F.col("_id").alias("doc_id"), F.col("_bytes").alias("text"))
-    placed = read.repartition("doc_id")  # one shuffle of the texts for both joins below
-    fresh = read.where("doc_id IS NOT NULL").withColumn("told", F.lit(None).cast("array<struct<kind:string,keys:binary>>"))
-    answers = _asked(fresh, _ask_triggers, None, buckets)
-    for ask, needs in ((_ask_phrases, "trigger"), (_ask_strings, "border")):
-        known = placed.join(_gathered(answers), "doc_id")
-        answers = answers.union(_asked(known, ask, needs, buckets))
-    told = _gathered(answers).withColumnRenamed("doc_id", "_id")
-    return docs.join(told, "_id", "left").drop("_id")
-
-
-def remaining(texts: DataFrame, column: str, schema: str, finish) -> DataFrame:
-    """Adds to the rows of ``repeated_bytes`` the struct that ``finish(bytes, removed mask)`` makes."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def rows(text: pd.Series, told: pd.Series) -> pd.DataFrame:
-        out = []
-        for raw, pairs in zip(text, told, strict=True):
-            raw, pairs = raw or b"", pairs if pairs is not None else []
-            out.append(finish(raw, _removed(raw, _told([p["kind"] for p in pairs], [p["keys"] for p in pairs]))))
-        return pd.DataFrame(out, columns=names)
-
-    return texts.withColumn(column, F.pandas_udf(rows, schema)("_bytes", "told"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    sizes = Sizes(max(1, -(-total // bucket_bytes)), max(1, -(-total // slot_bytes)))
+    known = read.where("doc_id IS NOT NULL").withColumn("slot", _slot_column(F.col("doc_id"), sizes.slots))
+    placed = known.groupBy("slot")  # one shuffle of the texts, used by the three steps that read answers
+
+    def answered(asked: DataFrame) -> DataFrame:
+        dealt = asked.repartition(sizes.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        return dealt.mapInPandas(_answers(sizes.slots), TOLD)
+
+    told = answered(read.where("doc_id IS NOT NULL").mapInPandas(_first_requests(sizes), ASK))
+    for ask in (_ask_phrases, _ask_strings):
+        told = answered(placed.cogroup(told.groupBy("slot")).applyInPandas(_next_requests(ask, sizes), ASK))
+    names = _names(schema)
+
+    def finished(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        told = _told(answers)
+        made = [(d, *finish(t or b"", _removed(t or b"", told.get(d, {})))) for d, t in zip(texts["doc_id"], texts["text"], strict=True)]
+        return pd.DataFrame(made, columns=["doc_id", *names])
+
+    def untouched(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([finish(t or b"", np.zeros(len(t or b""), bool)) for t in texts], columns=names)
+
+    out = placed.cogroup(told.groupBy("slot")).applyInPandas(finished, f"doc_id long, {schema}")
+    nameless = read.where("doc_id IS NULL").withColumn("r", F.pandas_udf(untouched, schema)("text")).select("doc_id", "r.*")
+    return out.unionByName(nameless)
 
 
 def _digest(text: bytes, removed: np.ndarray) -> tuple:
@@ -489,25 +549,27 @@ def whole_characters(removed: np.ndarray, text: bytes) -> np.ndarray:
 def _cut(text: bytes, removed: np.ndarray) -> tuple:
     gone = whole_characters(removed, text)
     if not gone.any():
-        return None, False
-    return np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "replace"), True
+        return None, None
+    return hashlib.md5(text).hexdigest(), np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "replace")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` and ``n_chars`` set to what is left.
 
     Characters are cut whole or not at all. Documents of which nothing is left go; those that were null or empty before
-    stay. Other columns stay as they are; ``_r``, ``_bytes``, ``_id`` and ``told`` are taken for columns of this operator.
+    stay. Other columns stay as they are; ``_id``, ``_md5`` and ``_text`` are taken for columns of this operator.
     """
-    out = remaining(repeated_bytes(docs.drop("_r")), "_r", "text string, cut boolean", _cut)
-    out = out.where("NOT _r.cut OR _r.text <> ''")
-    out = out.withColumn("text", F.when(F.col("_r.cut"), F.col("_r.text")).otherwise(F.col("text")))
+    docs = docs.drop("_id", "_md5", "_text")
+    made = with_removed(docs, "_md5 string, _text string", _cut).where("_md5 IS NOT NULL")
+    made = made.withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_md5"])
+    same_text = F.md5(docs["text"].cast("string").cast("binary")) == made["_md5"]
+    out = docs.join(made, (docs["doc_id"].cast("long") == made["_id"]) & same_text, "left")
+    out = out.where("_text IS NULL OR _text <> ''")
     if "n_chars" in docs.columns:
-        left = F.length("_r.text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_r.cut"), left).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in docs.columns if c in out.columns])
+        left = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_text").isNotNull(), left).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce("_text", "text")).select(*docs.columns)
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
-    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return remaining(repeated_bytes(docs.select("doc_id", "text")), "r", schema, _digest).select("doc_id", "r.*")
+    return with_removed(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", _digest)
