@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import stored
+from fleetlens.llm.common import WORD, stored
 from fleetlens.llm.components import components
 
 WORDS = 5
@@ -76,7 +77,7 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-FEATURES = "doc_id long, n long, print binary, bands array<long>, samples binary, bitmap binary"
+FEATURES = "doc_id long, md5 string, n long, print binary, bands array<long>, samples binary, bitmap binary"
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64)
 _SAMPLE = np.arange(1, SAMPLES + 1, dtype=np.uint64)
 
@@ -91,17 +92,17 @@ def features(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 hashes = shingle_hashes(words_of(text), cache)
                 if not len(hashes):
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, "", 0, None, None, None, None))
                     continue
                 least = min_hashes(hashes)
                 keys = _BAND * _PRIME
                 for part in least.reshape(BANDS, ROWS).T:
                     keys = _mixed(keys ^ part) * _PRIME
                 rows.append((
-                    doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), keys.astype(np.int64),
+                    doc_id, hashlib.md5(text).hexdigest(), len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), keys.astype(np.int64),
                     parity(_mixed(least + _SAMPLE * _PRIME), SAMPLE_BITS), parity(hashes, SET_BITS),
                 ))
-                if len(cache) > 500_000:
+                if len(cache) > 100_000:
                     cache = {}
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
@@ -218,8 +219,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        too: links inside a component change nothing, so no others are needed, and a group of near copies costs about
        one confirmation a member. Comparing sketches grows with the square of a bucket, in tiles dealt over tasks.
 
-    Null, empty or blank text: no shingles, its own component, kept. Rows without doc_id: no component, kept. Rows
-    that share a doc_id are one document. Extra columns are not read. An empty table gives none.
+    Null, empty or blank text: no shingles, its own component, kept. Rows without doc_id: no component, kept. Of
+    rows that share a doc_id but not the text, the text of smallest MD5 stands for the document among others; equal sets
+    are found by any. Extra columns are not read. An empty table gives none.
     """
     made = stored(features(docs))
     classes = made.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
@@ -229,9 +231,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     spread = stored(spread.join(shared, "key"))
     suspects = spread.select("doc_id").distinct()
-    sketches = stored(made.join(suspects, "doc_id").select("doc_id", "n", "samples", "bitmap").dropDuplicates(["doc_id"]))
+    first = F.min(F.struct("md5", "n", "samples", "bitmap")).alias("first")  # of rows that share a doc_id
+    sketches = made.where("n > 0").join(suspects, "doc_id").groupBy("doc_id").agg(first)
+    sketches = stored(sketches.select("doc_id", "first.n", "first.samples", "first.bitmap"))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    texts = stored(read.join(sketches.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
+    # merged at every size: the suspects are a share of the corpus, so broadcasting them would only ever suit small ones
+    read = read.where(F.col("text").cast("string").rlike(WORD)).join(sketches.select("doc_id").hint("merge"), "doc_id")
+    read = read.groupBy("doc_id").agg(F.min(F.struct(F.md5("text").alias("md5"), "text")).alias("first"))
+    texts = stored(read.select("doc_id", "first.text"))
 
     parts = F.ceil(F.col("members") / PART).cast("int")
     members = spread.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
