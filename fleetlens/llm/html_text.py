@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled pages, in the order of a hash of page_id, give the weights.
+#: So many labelled pages on average, those of lowest page_id hash, give the weights; all of them if there are fewer.
 LABELLED_PAGES = 2000
 
 #: Elements whose content is never shown as text.
@@ -171,9 +171,13 @@ def main_text(page: str, weights: Mapping[str, float]) -> str:
 
 
 def fit(pages: DataFrame, limit: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from pages that label their content by an article or main element, ``limit`` of them at most."""
+    """Weights from pages that label their content by an article or main element, about ``limit`` of them.
+
+    The hash of page_id is cut where that many are expected below it, so the sample is taken where the pages lie.
+    """
     labelled = pages.where(F.coalesce(F.col("html").rlike("(?i)<(article|main)[\\s>]"), F.lit(False)))
-    labelled = labelled.orderBy(F.xxhash64("page_id"), "page_id").limit(limit).select("html")
+    share = min(1.0, limit / max(1, labelled.count()))
+    labelled = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
