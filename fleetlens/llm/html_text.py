@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,11 +17,16 @@ from pyspark.sql import functions as F
 LABELLED_PAGES = 2000
 
 #: Elements whose content is never shown as text.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title"
+RAW = frozenset(
+    "script style noscript template svg math iframe object canvas audio video textarea select title".split()
+)
+#: Those whose content is code: without an end tag they run to the end of the page. The others are then only a tag.
+CODE = frozenset("script style".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""",
-    re.S | re.I,
+    re.S,
 )
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -40,6 +46,29 @@ ASIDE_PARTS = frozenset(
 #: These hold the page or the article, whatever their class says.
 HOLDERS = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Open elements that a start tag ends, and those beyond which it looks for none.
+_ENDS_P = BLOCKS - set("body caption head html link meta option tbody td tfoot th thead tr".split())
+_ROWS, _CELLS = frozenset("tbody thead tfoot".split()), frozenset("td th caption".split())
+ENDED_BY = {name: [(frozenset(["p"]), frozenset("td th caption table button".split()))] for name in _ENDS_P}
+ENDED_BY["li"] = [(frozenset(["li"]), frozenset("ul ol menu dir td th table".split())), *ENDED_BY["li"]]
+for _name in ("dd", "dt"):
+    ENDED_BY[_name] = [(frozenset(["dd", "dt"]), frozenset("dl td th table".split())), *ENDED_BY[_name]]
+for _name in ("td", "th"):
+    ENDED_BY[_name] = [(_CELLS, frozenset(["tr", "table"]))]
+ENDED_BY["tr"] = [(_CELLS | {"tr"}, _ROWS | {"table"})]
+for _name in _ROWS:
+    ENDED_BY[_name] = [(_CELLS | _ROWS | {"tr"}, frozenset(["table"]))]
+ENDED_BY["option"] = [(frozenset(["option"]), frozenset(["datalist"]))]
+ENDED_BY["body"] = [(frozenset(["head"]), frozenset())]
+#: Elements that may end without a tag of their own.
+OPTIONAL_END = frozenset("html head body p li dd dt td th tr tbody thead tfoot caption option".split())
+IN_HEAD = frozenset("base basefont bgsound link meta head html".split()) | RAW
+#: An end tag of none of TABLE ends nothing outside of the nearest of these; one of a list item, nothing outside of its list.
+SCOPES = frozenset("td th caption table html".split())
+TABLE = frozenset("table tbody thead tfoot tr td th caption body html".split())
+LISTS = {"li": frozenset("ul ol menu dir".split()), "dd": frozenset(["dl"]), "dt": frozenset(["dl"])}
+#: So many open elements at most are looked through, as browsers nest no deeper.
+DEEPEST = 512
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -61,38 +90,128 @@ def is_aside(name: str, attrs: str) -> bool:
     )
 
 
-def items(page: str) -> Iterator[tuple[str, str]]:
-    """The page as ("text", raw text), ("tag", name with / if it ends) and ("aside", name), in order.
+@dataclass(slots=True)
+class Element:
+    """An aside: its tokens from the start tag on, and the first block tag in it."""
+
+    name: str
+    start: int
+    end: int = -1
+    block: int = -1
 
-    An aside stands for its whole element. One that is never closed ends before the next block.
+
+def elements(page: str) -> tuple[list[tuple[str, str]], list[Element]]:
+    """All of the page as ("text", raw text) and ("tag", name with / if it ends), in order, and its asides by their start.
+
+    Elements end where HTML ends them: at their own tag, at that of an element around them, and, as p or li, at the next of
+    their kind or block. An aside that has no end tag and needs one ends before its first block.
     """
-    at, skip, depth, open_ended = 0, "", 0, False
-    low = ""
-    for found in TOKEN.finditer(page):
-        if not skip and found.start() > at:
-            yield "text", page[at : found.start()]
+    tokens: list[tuple[str, str]] = []
+    asides: list[Element] = []
+    stack: list[tuple[str, Element | None]] = []
+    opened: Counter = Counter()  # names on the stack
+    endless: set[str] = set()  # raw names without an end tag in the rest of the page
+    waiting: list[Element] = []  # asides on the stack that have no block yet
+
+    def close(depth: int, own: bool) -> None:
+        """Take the stack down to ``depth``; ``own`` if the last one taken has its own end tag, which is the next token."""
+        while len(stack) > depth:
+            name, aside = stack.pop()
+            opened[name] -= 1
+            if aside:
+                ended = (own and len(stack) == depth) or name in OPTIONAL_END or aside.block < 0
+                aside.end = len(tokens) if ended else aside.block
+
+    def find(names: frozenset, beyond: frozenset) -> int:
+        """The outermost open element of ``names`` on this side of ``beyond``, or -1."""
+        found = -1
+        if any(opened[name] for name in names):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
+                if stack[i][0] in names:
+                    found = i
+                elif stack[i][0] in beyond:
+                    break
+        return found
+
+    at = 0
+    while found := TOKEN.search(page, at):
+        if found.start() > at:
+            if opened["head"] and page[at : found.start()].strip():
+                close(find(frozenset(["head"]), frozenset()), False)
+            tokens.append(("text", page[at : found.start()]))
         at = found.end()
-        name = found["name"]
-        if name is None:
+        if found["name"] is None:
             continue
-        name, ending = name.lower(), bool(found["end"])
-        if skip and open_ended and name in BLOCKS:
-            skip = ""
-        if skip:
-            if name == skip and not found["attrs"].endswith("/"):
-                depth += -1 if ending else 1
-                if depth == 0:
-                    skip = ""
+        name, ending, attrs = found["name"].lower(), bool(found["end"]), found["attrs"]
+        if name in RAW and attrs[:1].strip() in ("", "/"):
+            if not (ending or name in endless or (name in ("svg", "math") and attrs.endswith("/"))):
+                if last := RAW_END[name].search(page, at):
+                    at = last.end()
+                elif name in CODE:
+                    at = len(page)
+                else:
+                    endless.add(name)
             continue
-        if not ending and is_aside(name, found["attrs"]):
-            yield "aside", name
-            if name not in VOID and not found["attrs"].endswith("/"):
-                low = low or page.lower()
-                skip, depth, open_ended = name, 1, low.find(f"</{name}", at) < 0
+        if ending:
+            if opened[name]:
+                if name in BLOCKS:
+                    beyond = frozenset() if name in TABLE else SCOPES | LISTS.get(name, frozenset())
+                    if name in TABLE and name not in ("table", "body", "html"):
+                        beyond = frozenset(["table"])
+                else:
+                    beyond = BLOCKS
+                for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
+                    if stack[i][0] == name:
+                        close(i, True)
+                        break
+                    if stack[i][0] in beyond:
+                        break
+        else:
+            if opened["head"] and name not in IN_HEAD:
+                close(find(frozenset(["head"]), frozenset()), False)
+            for names, beyond in ENDED_BY.get(name, ()):
+                if (i := find(names, beyond)) >= 0:
+                    close(i, False)
+        if name in BLOCKS and waiting:
+            for aside in waiting:
+                if aside.end < 0:
+                    aside.block = len(tokens)
+            waiting.clear()
+        if not ending:
+            aside = Element(name, len(tokens)) if is_aside(name, attrs) else None
+            if aside:
+                asides.append(aside)
+            if name in VOID or attrs.endswith("/"):
+                if aside:
+                    aside.end = len(tokens) + 1
+            else:
+                stack.append((name, aside))
+                opened[name] += 1
+                if aside:
+                    waiting.append(aside)
+        tokens.append(("tag", f"/{name}" if ending else name))
+    if at < len(page):
+        tokens.append(("text", page[at:]))
+    close(0, False)
+    return tokens, asides
+
+
+def items(page: str) -> Iterator[tuple[str, str]]:
+    """The page as ("text", raw text), ("tag", name with / if it ends) and ("aside", name), in order.
+
+    An aside stands for its whole element.
+    """
+    tokens, asides = elements(page)
+    at = 0
+    for aside in asides:
+        if aside.start < at:
             continue
-        yield "tag", f"/{name}" if ending else name
-    if not skip and at < len(page):
-        yield "text", page[at:]
+        yield from tokens[at : aside.start]
+        yield "aside", aside.name
+        at = aside.end
+        if at < len(tokens) and tokens[at] == ("tag", f"/{aside.name}"):
+            at += 1
+    yield from tokens[at:]
 
 
 def token_counts(page: str) -> tuple[Counter, Counter]:
