@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -35,7 +36,8 @@ BLOCKS = frozenset(
 )
 #: Elements that are not the article, wherever they stand.
 ASIDE = frozenset("head nav header footer aside form menu button dialog label input option datalist".split())
-#: Parts of a class, id or role (split at anything but letters and digits) that say the same of any element.
+#: Parts of a class, id or role (split at anything but letters and digits) that count against the words of any element. They
+#: take nothing away: the words inside score minus a word's weight, and stay if the best region spans them.
 ASIDE_PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promoted promotion banner sidebar "
     "aside complementary menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo header masthead topbar cookie cookies "
@@ -72,36 +74,39 @@ DEEPEST = 512
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
 
-WORD, ASIDE_TOKEN = "word", "aside"
+WORD, ASIDE_TOKEN, SUSPECT_WORD = "word", "aside", "suspect word"
+#: An element of at least this share of the words of the page, or of the article around it, is no aside, from so many words on.
+LARGE_SHARE, LARGE_WORDS = 1 / 3, 5
+#: Beside articles of at least this share of the page, a large element outside of them stays an aside (comments).
+ARTICLES_SHARE = 0.1
 #: Weight that any tag has at least against the content.
 LEAST = -0.05
 
 
-def is_aside(name: str, attrs: str) -> bool:
-    if name in ASIDE:
-        return True
-    if not attrs or name in HOLDERS:
-        return False
-    low = attrs.lower()
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", low):
-        return True
-    return any(
-        not ASIDE_PARTS.isdisjoint(PARTS.split(value)) for found in NAMED.findall(low) for value in found if value
+def hides(attrs: str) -> bool:
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs.lower()))
+
+
+def is_suspect(name: str, attrs: str) -> bool:
+    """Whether class, id or role name an aside."""
+    return bool(attrs) and name not in HOLDERS and any(
+        not ASIDE_PARTS.isdisjoint(PARTS.split(value)) for found in NAMED.findall(attrs.lower()) for value in found if value
     )
 
 
 @dataclass(slots=True)
 class Element:
-    """An aside: its tokens from the start tag on, and the first block tag in it."""
+    """An aside, article or main: its tokens from the start tag to before the end tag, and the first block tag in it."""
 
     name: str
     start: int
+    kind: str  # "aside", "hidden", "suspect" or "content"
     end: int = -1
     block: int = -1
 
 
 def elements(page: str) -> tuple[list[tuple[str, str]], list[Element]]:
-    """All of the page as ("text", raw text) and ("tag", name with / if it ends), in order, and its asides by their start.
+    """All of the page as ("text", raw text) and ("tag", name with / if it ends), in order, and its asides and articles by their start.
 
     Elements end where HTML ends them: at their own tag, at that of an element around them, and, as p or li, at the next of
     their kind or block. An aside that has no end tag and needs one ends before its first block.
@@ -119,7 +124,7 @@ def elements(page: str) -> tuple[list[tuple[str, str]], list[Element]]:
             name, aside = stack.pop()
             opened[name] -= 1
             if aside:
-                ended = (own and len(stack) == depth) or name in OPTIONAL_END or aside.block < 0
+                ended = (own and len(stack) == depth) or name in OPTIONAL_END or name in HOLDERS or aside.block < 0
                 aside.end = len(tokens) if ended else aside.block
 
     def find(names: frozenset, beyond: frozenset) -> int:
@@ -178,8 +183,15 @@ def elements(page: str) -> tuple[list[tuple[str, str]], list[Element]]:
                     aside.block = len(tokens)
             waiting.clear()
         if not ending:
-            aside = Element(name, len(tokens)) if is_aside(name, attrs) else None
-            if aside:
+            aside = None
+            if name in ("article", "main"):
+                kind = "content"
+            elif attrs and name not in HOLDERS and hides(attrs):
+                kind = "hidden"
+            else:
+                kind = "aside" if name in ASIDE else "suspect" if is_suspect(name, attrs) else ""
+            if kind:
+                aside = Element(name, len(tokens), kind)
                 asides.append(aside)
             if name in VOID or attrs.endswith("/"):
                 if aside:
@@ -196,35 +208,89 @@ def elements(page: str) -> tuple[list[tuple[str, str]], list[Element]]:
     return tokens, asides
 
 
-def items(page: str) -> Iterator[tuple[str, str]]:
-    """The page as ("text", raw text), ("tag", name with / if it ends) and ("aside", name), in order.
+def judged(tokens: list[tuple[str, str]], found: list[Element]) -> list[Element]:
+    """The hidden and aside elements of ``found`` that are such by what they hold.
 
-    An aside stands for its whole element.
+    No suspect (nor a form, which may wrap a page) is one if it holds main or an article of at least half the words of the
+    longest, or itself a large share of the words.
     """
-    tokens, asides = elements(page)
-    at = 0
-    for aside in asides:
-        if aside.start < at:
+    if all(element.kind == "content" for element in found):
+        return []
+
+    def counted(without: list[Element]) -> list[int]:
+        before, left_out = [0], iter(sorted(without, key=lambda e: e.start))
+        out = next(left_out, None)
+        for i, (kind, value) in enumerate(tokens):
+            while out and out.end <= i:
+                out = next(left_out, None)
+            gone = out and out.start <= i
+            before.append(before[-1] + (len(value.split()) if kind == "text" and not gone else 0))
+        return before
+
+    kept = [e for e in found if e.kind == "hidden" or (e.kind == "aside" and e.name != "form")]
+    before = counted(kept)
+
+    def words(element: Element) -> int:
+        return before[element.end] - before[element.start]
+
+    contents = [e for e in found if e.kind == "content"]
+    longest = max(map(words, contents), default=0)
+    weighty = [e.start for e in contents if 2 * words(e) >= longest]
+    in_articles, reach = 0, -1
+    for e in contents:
+        if e.start >= reach:
+            in_articles, reach = in_articles + words(e), e.end
+    around: list[Element] = []
+    for e in found:
+        while around and around[-1].end <= e.start:
+            around.pop()
+        if e.kind == "content":
+            around.append(e)
+        elif e.kind == "suspect" or (e.kind == "aside" and e.name == "form"):
+            i = bisect_left(weighty, e.start)
+            if i < len(weighty) and weighty[i] < e.end:
+                continue
+            of = words(around[-1]) if around else before[-1]
+            if words(e) >= max(LARGE_WORDS, LARGE_SHARE * of) and (around or in_articles < ARTICLES_SHARE * before[-1]):
+                continue
+            kept.append(e)
+    return sorted(kept, key=lambda e: e.start)
+
+
+def items(page: str) -> Iterator[tuple[str, str, bool]]:
+    """The page as ("text", raw text), ("tag", name with / if it ends) and ("aside", name), in order, with whether it is suspect.
+
+    An aside stands for its whole element. Tokens of an element that only its class, id or role call an aside are suspect.
+    """
+    tokens, found = elements(page)
+    at = suspect = 0
+    for element in [*judged(tokens, found), None]:
+        start = element.start if element else len(tokens)
+        if start < at:
             continue
-        yield from tokens[at : aside.start]
-        yield "aside", aside.name
-        at = aside.end
-        if at < len(tokens) and tokens[at] == ("tag", f"/{aside.name}"):
-            at += 1
-    yield from tokens[at:]
+        for i in range(at, start):
+            yield *tokens[i], i < suspect
+        at = start
+        if element and element.kind == "suspect":
+            suspect = max(suspect, element.end)
+        elif element:
+            yield "aside", element.name, start < suspect
+            at = element.end
+            if at < len(tokens) and tokens[at] == ("tag", f"/{element.name}"):
+                at += 1
 
 
 def token_counts(page: str) -> tuple[Counter, Counter]:
-    """Tokens inside and outside of the labelled content: the first article or main element of the page."""
+    """Tokens inside and outside of the labelled content: the article or main elements of the page."""
     inside, outside, now = Counter(), Counter(), 0
-    for kind, value in items(page):
+    for kind, value, suspect in items(page):
         name = value.removeprefix("/")
-        if kind == "tag" and name in ("article", "main"):
+        if kind == "tag" and name in ("article", "main") and (now or not suspect):
             now = max(0, now + (-1 if value[0] == "/" else 1))
             continue
         to = inside if now else outside
         if kind == "text":
-            to[WORD] += len(value.split())
+            to[SUSPECT_WORD if suspect else WORD] += len(value.split())
         else:
             to[ASIDE_TOKEN if kind == "aside" else name] += 1
     return inside, outside
@@ -233,6 +299,7 @@ def token_counts(page: str) -> tuple[Counter, Counter]:
 def weights_from(counts: Mapping[str, tuple[int, int]]) -> dict[str, float]:
     """Log-odds of each token inside against outside, with one added to each count; words at least 0.1, tags at most -0.05.
 
+    A suspect word counts as much against the region as another for it.
     "" is the weight of a tag that no labelled page has.
     """
     kinds = len(counts) + 2
@@ -245,6 +312,7 @@ def weights_from(counts: Mapping[str, tuple[int, int]]) -> dict[str, float]:
     found = {name: min(LEAST, odds(i, o)) for name, (i, o) in counts.items()}
     found[WORD] = max(0.1, odds(*counts.get(WORD, (0, 0))))
     found[ASIDE_TOKEN] = min(-1.0, odds(*counts.get(ASIDE_TOKEN, (0, 0))))
+    found[SUSPECT_WORD] = -found[WORD]
     found.setdefault("", -0.3)
     return found
 
@@ -261,23 +329,37 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def main_text(page: str, weights: Mapping[str, float]) -> str:
-    """Blocks of the best region, one a line, white space inside made one space."""
-    parts = list(items(page))
+def scored(parts: list[tuple[str, str, bool]], weights: Mapping[str, float]) -> list[float]:
     word, aside, other = weights[WORD], weights[ASIDE_TOKEN], weights[""]
-    scores, held = [], 0
-    for kind, value in parts:
+    scores, held, last = [], 0, False
+    for kind, value, suspect in parts:
         name = value.removeprefix("/")
-        if kind == "text":
-            scores.append(word * len(value.split()))
+        if held and suspect:  # does not end the article it lies in
+            scores.append(0.0 if last else LEAST)
+        elif kind == "text":
+            scores.append((weights[SUSPECT_WORD] if suspect else word) * len(value.split()))
         elif kind == "aside":  # one within the article is left out, but does not end it
             scores.append(LEAST if held else aside)
         else:
-            held = max(0, held + (name in ("article", "main")) * (-1 if value != name else 1))
             scores.append(weights.get(name, other))
-    start, end = best_region(scores)
+        if kind == "tag" and name in ("article", "main") and (held or not suspect):
+            held = max(0, held + (-1 if value != name else 1))
+        last = suspect
+    return scores
+
+
+def main_text(page: str, weights: Mapping[str, float]) -> str:
+    """Blocks of the best region, one a line, white space inside made one space.
+
+    If no region is positive, suspect words count as any others, as long as there are a few of them.
+    """
+    parts = list(items(page))
+    start, end = best_region(scored(parts, weights))
+    if not end and sum(len(value.split()) for kind, value, suspect in parts if suspect and kind == "text") >= LARGE_WORDS:
+        parts = [(kind, value, False) for kind, value, _ in parts]
+        start, end = best_region(scored(parts, weights))
     blocks, now = [], []
-    for kind, value in [*parts[start:end], ("tag", "p")]:
+    for kind, value, _ in [*parts[start:end], ("tag", "p", False)]:
         if kind == "text":
             now.append(value)
         elif value == "br":
@@ -314,7 +396,7 @@ def fit(pages: DataFrame, limit: int = LABELLED_PAGES) -> dict[str, float]:
 def extract(pages: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` for every page: the article, from the whole html.
 
-    Null or empty html, and pages without a word outside of asides, give an empty text. Repeated rows are repeated. Extra
+    Null or empty html, and pages without a word outside of asides and fewer than LARGE_WORDS suspect ones, give an empty text. Repeated rows are repeated. Extra
     columns are not read. An empty table gives none.
     """
     weights = dict(weights)

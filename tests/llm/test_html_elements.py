@@ -33,3 +33,33 @@ def test_parsing_is_linear():
     for page in ("<div class=ad>" * 50_000, "<video>" * 50_000, "<ul><li>" * 50_000, "<b><p class=ad>x" * 50_000, "<li>" + "<div><li></p></x>" * 50_000):
         html_text.elements(page)
     assert time.monotonic() - began < 60
+
+
+BODY = "<h1>Title here</h1><p>one two three four five six</p><p>seven eight nine ten</p>"
+SHOWN = "Title here\none two three four five six\nseven eight nine ten"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *((f'<body><nav>Home</nav><div class="{c}"><article>{BODY}</article></div><footer>f</footer>', SHOWN) for c in (
+            "content has-sidebar", "no-sidebar", "site has-header", "post-with-comments", "search", "form")),
+        *((f'<body><nav>Home</nav><div class="{c}">{BODY}</div><footer>f</footer>', SHOWN) for c in ("content has-sidebar", "post-with-comments")),
+        (f"<body><nav>{'menu ' * 100}</nav><section class=no-sidebar>{BODY}</section>", SHOWN),
+        (f"<body id=social><section class=notice><p>{LONG}</p></section><section class=alert><p>{LONG}</p></section><section class=form><p>{LONG}</p></section>"
+         f"<section class=share><p>{LONG}</p></section>", "\n".join([LONG] * 4)),
+        ("<article><p>one two three</p><p class=notice>of note</p><p>four five six</p></article>", "one two three\nof note\nfour five six"),
+        (f"<article class=post>{BODY}<div class=share>Share</div></article><div class=comments><article class=comment>{'c ' * 6}</article></div>", SHOWN),
+        (f"<article>{BODY}</article><div class=comments>{'c ' * 60}</div>", SHOWN),
+        (f"<form id=aspnet><nav>Home</nav><main>{BODY}</main></form>", SHOWN),
+        (f"<body><div class=ad>Buy now</div><section>{BODY}</section><section class=related>More like this</section>", SHOWN),
+        (f"<div hidden>{BODY}</div><p>one</p>", "one"),
+    ],
+)
+def test_class_words_take_no_page_away(page, want):
+    assert html_text.main_text(page, WEIGHTS) == want
+
+
+def test_labelled_words_in_named_wrappers_count():
+    inside, outside = html_text.token_counts(f'<div class="content has-sidebar"><article>{BODY}</article></div><div class=ad>Buy now</div>')
+    assert inside["word"] == 12 and outside["word"] == 0 and outside["suspect word"] == 2
