@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-#: Every template holds one of these terms, so a line without any has no template to match.
+#: Every template holds one of these terms. Only the comparison SQL selects by them; the scan takes every unit that can reach the threshold.
 CUES = (
     "licensed", "license", "licenced", "licence", "released", "spdx-license-identifier", "permission", "redistribution",
     "redistribute", "cc0", "domain",
@@ -86,6 +88,44 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> Data
     return stored(frame.groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def needed_terms(weights: dict[str, dict[str, float]], least: float) -> set[str]:
+    """Terms of which a unit holds one if its cosine to any template is ``least`` or more.
+
+    The cosine is at most the length of the template's part on shared terms over its whole length. So the lightest terms of
+    each template are left out as long as they alone stay below ``least``.
+    """
+    needed: set[str] = set()
+    for own in weights.values():
+        room = least * least * (1 - 1e-9) * sum(w * w for w in own.values())
+        light = 0.0
+        for term, w in sorted(own.items(), key=lambda x: (x[1], x[0])):
+            light += w * w
+            if light >= room:
+                needed.add(term)
+    return needed
+
+
+def may_reach(units_terms: Column, needed: set[str], idf: dict[str, float], unseen: float, least: float) -> Column:
+    """False only for units (their terms, with repeats) whose cosine to every template is below ``least``.
+
+    Beside a needed term, enough of the unit's own length has to lie on terms of templates.
+    """
+    weights = F.map_from_arrays(F.lit(list(idf)), F.lit(list(idf.values())))
+    room = least * least * (1 - 1e-9)
+
+    def enough(found: Column) -> Column:
+        def square(term: Column) -> Column:
+            return F.pow(F.size(F.filter(found, lambda x: x == term)) * F.element_at(weights, term), F.lit(2.0))
+
+        shared = F.array_intersect(found, F.lit(list(idf)))
+        on = F.aggregate(F.transform(shared, square), F.lit(0.0), lambda total, x: total + x)
+        off = F.size(F.array_except(found, F.lit(list(idf)))) * F.lit(unseen * unseen)
+        return on >= F.lit(room) * (on + off)
+
+    once = F.element_at(F.transform(F.array(units_terms), enough), 1)
+    return F.arrays_overlap(units_terms, F.lit(sorted(needed))) & once
+
+
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The licence each file states itself, and the one it inherits.
 
@@ -95,7 +135,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
     the term)) + 1 over the N lines of all files; terms that no template has
     count as never seen. The template of greatest cosine wins (ties: by name), if
     it reaches ``threshold``; the best unit gives ``own_licence`` and ``score``
-    (rounded to 4 places). Lines are scored once however often they occur.
+    (rounded to 4 places). Units that cannot reach it are told by exact bounds and not joined. Lines are scored once however often they occur.
 
     A file without a licence of its own takes that of the nearest directory
     above (its own first) with a licence file that states one; of several, the
@@ -108,15 +148,16 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
     """
     spark = files.sparkSession
     known = template_table(spark, templates or TEMPLATES)
-    vocabulary = sorted(r[0] for r in known.select("term").distinct().collect())  # of the templates alone
+    of_templates = known.collect()  # of the templates alone
+    vocabulary = sorted({r.term for r in of_templates})
     files = files.select("doc_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
 
     lines = files.select(F.explode(F.split(text_of("text"), "\n")).alias("line"))
     held = F.array_intersect(terms(F.col("line")), F.lit(vocabulary))
     counted = lines.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("term"))  # "" counts the lines themselves
     seen = stored(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    n_lines = seen.where("term = ''").first()
-    n = float(n_lines[1]) if n_lines else 0.0
+    counts = {r.term: r.df for r in seen.collect()}  # one row per term of the templates
+    n = float(counts.get("", 0))
 
     def idf(df: Column) -> Column:
         return F.log(F.lit(1.0 + n) / (1.0 + df)) + 1.0
@@ -124,11 +165,15 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
     base = F.lower(F.element_at(F.split("path", "/"), -1))
     is_file = F.coalesce(base.isin(*LICENCE_FILES), F.lit(False))
     units = F.split(text_of("text"), "\n")
-    cue = F.arrays_overlap(terms(F.col("unit")), F.lit(list(CUES)))
-    quick = F.lower(F.col("unit")).rlike("|".join(sorted({c.replace("-", ".") for c in CUES})))
+    idfs = {term: math.log((1.0 + n) / (1.0 + counts.get(term, 0))) + 1.0 for term in vocabulary}
+    by_template: dict[str, dict[str, float]] = {}
+    for r in of_templates:
+        by_template.setdefault(r.template, {})[r.term] = r.tf * idfs[r.term]
+    least = max(0.0, threshold - 1e-4)  # scores are rounded to 4 places
+    near = may_reach(terms(F.col("unit")), needed_terms(by_template, least), idfs, math.log(1.0 + n) + 1.0, least)
     named = files.withColumn("_file", is_file)
     named = named.withColumn("unit", F.explode(F.when(F.col("_file"), F.concat(units, F.array(text_of("text")))).otherwise(units)))
-    found = stored(named.where(quick & cue).select("doc_id", "path", "_file", "unit"))
+    found = stored(named.where(near).select("doc_id", "path", "_file", "unit"))
 
     distinct = found.select("unit").distinct()
     tf = distinct.select("unit", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
