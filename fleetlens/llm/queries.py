@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import ann, chat, fingerprints, html_text, licences, mixing, near_dups, packing, quality, sharding, suffixes
+from fleetlens.llm import ann, chat, fingerprints, html_text, licences, mixing, near_dups, packing, phrases, quality, sharding, suffixes
 from fleetlens.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op12_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op12_query(table(spark, sf_dir, "documents"))
 
 
+def op13_mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.op13_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES = {
         op9_shard_by_slots,
         op10_near_duplicates,
         op12_fingerprint_documents,
+        op13_mine_phrases,
     )
 }
 
@@ -76,4 +81,5 @@ ORACLE = {
     "op4_nearest_neighbours": ann.ORACLE,
     "op6_chat_examples": chat.ORACLE,
     "op12_fingerprint_documents": fingerprints.ORACLE,
+    "op13_mine_phrases": phrases.ORACLE,
 }
