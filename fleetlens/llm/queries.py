@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import ann, chat, fingerprints, html_text, licences, mixing, near_dups, packing, phrases, quality, sharding, suffixes
+from fleetlens.llm import ann, chat, fingerprints, html_text, licences, mixing, near_dups, negatives, packing, phrases, quality, sharding, suffixes
 from fleetlens.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.op10_query(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.op11_query(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op12_query(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
         op8_extract_main_text,
         op9_shard_by_slots,
         op10_near_duplicates,
+        op11_hard_negatives,
         op12_fingerprint_documents,
         op13_mine_phrases,
     )
@@ -80,6 +85,7 @@ ORACLE = {
     "op3_scan_licences": licences.ORACLE,
     "op4_nearest_neighbours": ann.ORACLE,
     "op6_chat_examples": chat.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
     "op12_fingerprint_documents": fingerprints.ORACLE,
     "op13_mine_phrases": phrases.ORACLE,
 }
