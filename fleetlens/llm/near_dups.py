@@ -112,7 +112,7 @@ def features(docs: DataFrame) -> DataFrame:
     return read.mapInPandas(made, FEATURES)
 
 
-def _upper_bounds(group: pd.DataFrame, rows: slice, bitmaps: np.ndarray, samples: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _upper_bounds(rows: slice, bitmaps: np.ndarray, samples: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Greatest similarity that members ``rows`` can have with each member; -1 where the sketches say less than the threshold.
 
     Sets differ in at least as many shingles as their bitmaps in bits, so the
@@ -126,11 +126,11 @@ def _upper_bounds(group: pd.DataFrame, rows: slice, bitmaps: np.ndarray, samples
     odd = np.bitwise_count(samples[rows, None] ^ samples[None]).sum(axis=2, dtype=np.int64)
     left = np.maximum(1 - 2 * odd / SAMPLE_BITS, 1e-9)
     estimate = 1 - (-SAMPLE_BITS / 2 * np.log(left)) / (2 * SAMPLES)
-    near = (100 * bound >= PERCENT - 1e-9) & (100 * estimate >= PERCENT - 100 * MARGIN)
+    near = (100 * bound >= percent - 1e-9) & (100 * estimate >= percent - 100 * MARGIN)
     return np.where(near, bound, -1.0)
 
 
-def _tile_pairs(group: pd.DataFrame, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+def _tile_pairs(group: pd.DataFrame, all_pairs: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one tile whose sketches allow a link and whose components differ: all, or each member's best earlier one."""
     ids, part, component = (group[c].to_numpy() for c in ("doc_id", "part", "component"))
     bitmaps, samples = (np.frombuffer(b"".join(group[c]), np.uint64).reshape(len(group), -1) for c in ("bitmap", "samples"))
@@ -139,7 +139,7 @@ def _tile_pairs(group: pd.DataFrame, all_pairs: bool) -> tuple[np.ndarray, np.nd
     found_a, found_b = [], []
     for at in range(0, len(group), 64):
         rows = slice(at, min(at + 64, len(group)))
-        bound = _upper_bounds(group, rows, bitmaps, samples, sizes)
+        bound = _upper_bounds(rows, bitmaps, samples, sizes, percent)
         allowed = (ids[None] < ids[rows, None]) & (component[None] != component[rows, None])
         if two:  # pairs within a part have a tile of their own
             allowed &= part[None] != part[rows, None]
@@ -155,13 +155,13 @@ def _tile_pairs(group: pd.DataFrame, all_pairs: bool) -> tuple[np.ndarray, np.nd
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def sketched_pairs(members: DataFrame, all_pairs: bool) -> DataFrame:
+def sketched_pairs(members: DataFrame, all_pairs: bool, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (a > b) to confirm, from rows sorted by bucket and tile; a task holds one tile at a time."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(group: list[pd.DataFrame]) -> pd.DataFrame:
             whole = pd.concat(group) if len(group) > 1 else group[0]
-            a, b = _tile_pairs(whole, all_pairs) if len(whole) > 1 else ((), ())
+            a, b = _tile_pairs(whole, all_pairs, percent) if len(whole) > 1 else ((), ())
             return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
 
         open_key, group = None, []
@@ -187,7 +187,7 @@ def sketched_pairs(members: DataFrame, all_pairs: bool) -> DataFrame:
     return dealt.mapInPandas(pairs, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -201,18 +201,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, kept = b, shingles(words_of(tb))
                 own = shingles(words_of(ta))
                 common = len(own & kept)
-                keep.append(100 * common >= PERCENT * (len(own) + len(kept) - common))
+                keep.append(100 * common >= percent * (len(own) + len(kept) - common))
             yield batch[["a", "b"]][np.array(keep, bool)]
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``; links from ``percent`` similarity on.
 
     1. Documents with equal sets form a class, whose smallest doc_id stands for it from here on.
-    2. Classes meet in buckets of equal band keys. At a similarity of 85 % a pair misses all 32 bands of 6 with
-       probability 3e-7.
+    2. Classes meet in buckets of equal band keys. A pair at 85 % misses all 32 bands of 6 with
+       probability 3e-7, one at 80 % with 6e-5.
     3. In every bucket each class is paired with its nearest earlier one by the odd sketches; the pairs are confirmed
        on full sets, and the links give components.
     4. Of the pairs between different components that share a bucket, all that the sketches allow are confirmed
@@ -248,13 +248,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.withColumn("tile", low * F.col("parts") + high).drop("_other", "parts", "members")
     members = members.join(sketches, "doc_id")
 
-    first = sketched_pairs(members.withColumn("component", F.col("doc_id")), all_pairs=False)
-    links = stored(confirmed(first, texts))
+    first = sketched_pairs(members.withColumn("component", F.col("doc_id")), all_pairs=False, percent=percent)
+    links = stored(confirmed(first, texts, percent))
     joined = stored(components(links))
     members = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = members.withColumn("component", F.coalesce("component", "doc_id"))
-    rest = sketched_pairs(members, all_pairs=True)
-    more = stored(confirmed(rest, texts))
+    rest = sketched_pairs(members, all_pairs=True, percent=percent)
+    more = stored(confirmed(rest, texts, percent))
     final = joined
     if not more.isEmpty():
         final = stored(components(links.union(more)))

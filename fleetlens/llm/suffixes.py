@@ -20,9 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of a repeated string, and of the grams whose hashes choose the triggers.
 LENGTH, GRAM = 50, 24
@@ -167,6 +169,13 @@ TOLD = "slot int, kind string, docs binary, counts binary, keys binary, extra bi
 _TYPES = {"trigger": np.uint32, "phrase": np.uint64, "border": np.uint32, "string": np.uint64, "span": np.uint64}
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -423,11 +432,13 @@ def _first_requests(sizes: Sizes):
 def _next_requests(ask, sizes: Sizes):
     """The documents of a slot that were told something ask again."""
 
-    def requests(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        told = _told(answers)
-        rows = [(d, t, told[d]) for d, t in zip(texts["doc_id"], texts["text"], strict=True) if d in told and t is not None]
+    def requests(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        told = _told(answers.to_pandas())
+        pairs = zip(texts["doc_id"].to_pylist(), texts["text"], strict=True)
+        rows = [(d, t.as_py(), told[d]) for d, t in pairs if d in told and t.is_valid]
         rows = [r for r in rows if len(r[1]) >= LENGTH]
-        return _requests(*([r[i] for r in rows] for i in range(3)), ask, sizes)
+        made = _requests(*([r[i] for r in rows] for i in range(3)), ask, sizes)
+        return pa.Table.from_pandas(made, schema=_arrow(ASK), preserve_index=False)
 
     return requests
 
@@ -493,44 +504,58 @@ def _removed(text: bytes, told: dict[str, np.ndarray]) -> np.ndarray:
     return np.cumsum(edges)[:-1] > 0
 
 
-def with_removed(docs: DataFrame, schema: str, finish, bucket_bytes: int = BUCKET_BYTES, slot_bytes: int = SLOT_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id and what ``finish(bytes, mask of the bytes to remove)`` makes of its text.
+def with_removed(
+    docs: DataFrame, schema: str, finish, bucket_bytes: int = BUCKET_BYTES, slot_bytes: int = SLOT_BYTES, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row of ``docs``: doc_id and what ``finish(bytes or None, mask of the bytes to remove)`` makes of its text.
 
     A byte goes if a 50-byte string over it also starts in a document of smaller doc_id. Null and short texts lose
     nothing; rows without doc_id neither lose bytes nor make others lose any; rows sharing a doc_id are parts of one
-    document. Only doc_id and text are read. An empty table gives none.
+    document. Only doc_id and text are read; columns named in ``carry`` travel with the text and are in the result as
+    the struct ``carried``. An empty table gives none.
 
     Fingerprints have 64 bits beside the bucket, which is chosen by independent bits and grows with the corpus.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     sizes = Sizes(max(1, -(-total // bucket_bytes)), max(1, -(-total // slot_bytes)))
-    known = read.where("doc_id IS NOT NULL").withColumn("slot", _slot_column(F.col("doc_id"), sizes.slots))
-    placed = known.groupBy("slot")  # one shuffle of the texts, used by the three steps that read answers
+    known = docs.where("doc_id IS NOT NULL").select(doc_id, text, *carried)
+    placed = known.withColumn("slot", _slot_column(F.col("doc_id"), sizes.slots))
+    placed = placed.groupBy("slot")  # one shuffle of the texts, used by the three steps that read answers
 
     def answered(asked: DataFrame) -> DataFrame:
         dealt = asked.repartition(sizes.buckets, "bucket").sortWithinPartitions("bucket", "kind")
         return dealt.mapInPandas(_answers(sizes.slots), TOLD)
 
-    told = answered(read.where("doc_id IS NOT NULL").mapInPandas(_first_requests(sizes), ASK))
+    told = answered(known.select("doc_id", "text").mapInPandas(_first_requests(sizes), ASK))
     for ask in (_ask_phrases, _ask_strings):
-        told = answered(placed.cogroup(told.groupBy("slot")).applyInPandas(_next_requests(ask, sizes), ASK))
-    names = _names(schema)
-
-    def finished(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        told = _told(answers)
-        made = [(d, *finish(t or b"", _removed(t or b"", told.get(d, {})))) for d, t in zip(texts["doc_id"], texts["text"], strict=True)]
-        return pd.DataFrame(made, columns=["doc_id", *names])
+        told = answered(placed.cogroup(told.groupBy("slot")).applyInArrow(_next_requests(ask, sizes), ASK))
+    made_schema = _arrow(schema)
+
+    def finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        told = _told(answers.to_pandas())
+        made = []
+        for doc, t in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
+            t = t.as_py()
+            made.append(finish(t, _removed(t or b"", told.get(doc, {}))))
+        columns = [pa.array([row[i] for row in made], f.type) for i, f in enumerate(made_schema)]
+        out = {"doc_id": texts["doc_id"], **dict(zip(made_schema.names, columns, strict=True))}
+        return pa.table(out | ({"carried": texts["carried"]} if carry else {}))
 
     def untouched(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([finish(t or b"", np.zeros(len(t or b""), bool)) for t in texts], columns=names)
+        return pd.DataFrame([finish(t, np.zeros(len(t or b""), bool)) for t in texts], columns=made_schema.names)
 
-    out = placed.cogroup(told.groupBy("slot")).applyInPandas(finished, f"doc_id long, {schema}")
-    nameless = read.where("doc_id IS NULL").withColumn("r", F.pandas_udf(untouched, schema)("text")).select("doc_id", "r.*")
-    return out.unionByName(nameless)
+    kinds = StructType.fromDDL(f"doc_id long, {schema}")
+    if carry:
+        kinds = kinds.add(docs.select(*carried).schema[0])
+    out = placed.cogroup(told.groupBy("slot")).applyInArrow(finished, kinds)
+    nameless = docs.where("doc_id IS NULL").select(doc_id, F.pandas_udf(untouched, schema)(text).alias("r"), *carried)
+    return out.unionByName(nameless.select("doc_id", "r.*", *(["carried"] if carry else [])))
 
 
-def _digest(text: bytes, removed: np.ndarray) -> tuple:
+def _digest(text: bytes | None, removed: np.ndarray) -> tuple:
+    text = text or b""
     kept = np.frombuffer(text, np.uint8)[~removed].tobytes()
     spans = int(np.count_nonzero(np.diff(removed.astype(np.int8), prepend=np.int8(0)) == 1))
     return len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()
@@ -546,29 +571,28 @@ def whole_characters(removed: np.ndarray, text: bytes) -> np.ndarray:
     return (lost == np.bincount(number))[number]
 
 
-def _cut(text: bytes, removed: np.ndarray) -> tuple:
+def _cut(text: bytes | None, removed: np.ndarray) -> tuple:
+    """Whether anything is cut, and the text that is left."""
+    if text is None:
+        return False, None
     gone = whole_characters(removed, text)
-    if not gone.any():
-        return None, None
-    return hashlib.md5(text).hexdigest(), np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "replace")
+    return bool(gone.any()), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` and ``n_chars`` set to what is left.
 
     Characters are cut whole or not at all. Documents of which nothing is left go; those that were null or empty before
-    stay. Other columns stay as they are; ``_id``, ``_md5`` and ``_text`` are taken for columns of this operator.
+    stay. Other columns stay as they are and travel with the text, so no text is shuffled to join them.
     """
-    docs = docs.drop("_id", "_md5", "_text")
-    made = with_removed(docs, "_md5 string, _text string", _cut).where("_md5 IS NOT NULL")
-    made = made.withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_md5"])
-    same_text = F.md5(docs["text"].cast("string").cast("binary")) == made["_md5"]
-    out = docs.join(made, (docs["doc_id"].cast("long") == made["_id"]) & same_text, "left")
-    out = out.where("_text IS NULL OR _text <> ''")
-    if "n_chars" in docs.columns:
-        left = F.length("_text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_text").isNotNull(), left).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.coalesce("_text", "text")).select(*docs.columns)
+    others = tuple(c for c in docs.columns if c != "text")
+    made = with_removed(docs, "cut boolean, rest binary", _cut, carry=others).where("NOT cut OR octet_length(rest) > 0")
+    text = F.col("rest").cast("string")
+    columns = {c: F.col("carried")[c] for c in others} | {"text": text.cast(docs.schema["text"].dataType)}
+    if "n_chars" in others:
+        left = F.length(text).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("cut"), left).otherwise(columns["n_chars"])
+    return made.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def op5_query(docs: DataFrame) -> DataFrame:

@@ -12,3 +12,9 @@ def documents(spark):
         )
 
     return make
+
+
+@pytest.fixture(autouse=True)
+def _nothing_stays_cached(spark):
+    yield
+    spark.catalog.clearCache()
