@@ -6,13 +6,15 @@ rows are its copies. Every stage's rows are written to the shared folder and rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm import mixing, near_dups, packing, quality, suffixes
 from fleetlens.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents are near-duplicates from this similarity of their five-word shingles on, in percent.
+SIMILAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id. Rows without doc_id stay."""
-    kept = near_dups.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*COLUMNS)
+    """One document of each group: the smallest doc_id, and one row of it for each of its texts. Of the rows
+    without doc_id, which belong to no group, one stays for each text."""
+    kept = near_dups.near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*COLUMNS)
+    one = Window.partitionBy("doc_id", F.md5(F.col("text").cast("string"))).orderBy("lang", "source", "n_chars")
+    return rows.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: The determinant search, the sketches and the parse have no SQL form; tests compare with brute force.
+#: The determinant search, the sketches and the parse have no SQL form.
 ORACLE_SQL = None
 
 
