@@ -217,21 +217,22 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
     """Forecast, anomalies, findings, alerts, retention, in that order.
 
     Findings come before alerts because critical findings raise alerts. Each
-    step reads what the step before has written.
+    step reads what the step before has written. Of alerts and findings only the open
+    ones are read and replaced; what a cycle closes is added to the closed ones.
     """
     store.write_state(disk_forecast(store.read("DiskUsage"), as_of), "DiskForecast")
     log_step(store, store.read_state("DiskForecast"), "forecast", as_of)
 
     known = store.read_state("CostAnomaly")
     found = cost_anomaly(store.read("RedshiftCost"), known, as_of)
-    store.write_state(known.unionByName(found), "CostAnomaly")
+    store.grow_state(found, "CostAnomaly")
     log_step(store, store.read_state("CostAnomaly").filter(F.col("DetectedAt") == ts_lit(as_of)), "anomaly", as_of)
 
-    store.write_state(generate_findings(store.read("LockWait"), store.read_state("Finding"), as_of), "Finding")
+    store.advance_state(generate_findings(store.read("LockWait"), store.read_open("Finding"), as_of), "Finding")
 
     reports = Reports(store, as_of)
     alerts = evaluate_alerts(
-        store.read_state("AlertHistory"),
+        store.read_open("AlertHistory"),
         as_of,
         disk=store.read_state("DiskForecast"),
         ag=reports.frame("AGSyncStatus"),
@@ -241,11 +242,12 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
         jobs=reports.frame("JobFailures"),
         vitals=reports.frame("InstanceVitals"),
         tables=reports.frame("TableHealth"),
-        findings=store.read_state("Finding"),
+        findings=store.read_open("Finding"),
     )
-    store.write_state(alerts, "AlertHistory")
+    store.advance_state(alerts, "AlertHistory")
 
     apply_compaction(store)
     merge_loads(store, as_of)
     apply_retention(store, as_of, retention_days)
+    store.sweep()
     return Reports(store, as_of)

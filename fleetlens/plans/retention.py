@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from fleetlens.functions.expressions import moment, ts_lit
 from fleetlens.operators.latest import SNAPSHOT_DATE, first_per_key
 from fleetlens.schemas import SERIES
+from fleetlens.sources.store import GROWN, SPLIT
 
 #: never aged: the whole scan history is what tells stale tables from used ones
 KEPT_FOREVER = ["TableScan"]
+#: loads of a month of closed state that are merged
+MERGED_FROM = 32
 AGED = [t for t in SERIES if t not in KEPT_FOREVER]
 
 #: one row per real event; each run reads the same day of events again
@@ -53,16 +56,19 @@ def compact(df: DataFrame, table: str, *tie) -> DataFrame:
 def apply_retention(store, as_of, days: int = 90) -> None:
     """Age the stored series.
 
-    Whole days go as partitions, without reading them; only the day the cut
-    falls into is rewritten.
+    Whole days, and months of closed findings, go without reading them; only the day and
+    the month the cut falls into are rewritten.
     """
     cut = moment(as_of) - timedelta(days=days)
     day = cut.date().isoformat()
     for table in [*AGED, "CollectionLog"]:
         store.drop_days_before(table, day)
         if day in store.days(table) and cut.time() != cut.min.time():
-            store.rewrite_days(table, lambda t=table: retain_rows(store.read(t), t, as_of, days), [day])
-    store.write_state(retain_rows(store.read_state("Finding"), "Finding", as_of, days), "Finding")
+            store.rewrite_days(table, lambda df, t=table: retain_rows(df, t, as_of, days), [day])
+    month = f"closed-{day[:7]}"
+    store.drop_closed("Finding", lambda part: part < month and part != "closed-never")
+    if month in store.closed_parts("Finding"):
+        store.rewrite_closed("Finding", [month], lambda df: retain_rows(df, "Finding", as_of, days))
 
 
 def _event_keys(df: DataFrame, table: str) -> DataFrame:
@@ -81,17 +87,17 @@ def apply_compaction(store) -> None:
         repeated = events.filter("n > 1").select(F.explode("days")).distinct()
         days = sorted(r[0] for r in repeated.collect())  # days of the calendar
         if days:
-
-            def newest(t=table, days=days):
-                return compact(store.read(t).filter(F.col(SNAPSHOT_DATE).cast("string").isin(days)), t)
-
-            store.rewrite_days(table, newest, days)
+            store.rewrite_days(table, lambda df, t=table: compact(df, t), days)
 
 
 def merge_loads(store, as_of) -> None:
-    """One load instead of many for each day that is over, in every series: fewer directories to list."""
+    """One load instead of many for each day that is over, in every series, and for each month of closed state: fewer
+    directories to list. Rows stay as they are."""
     today = moment(as_of).date().isoformat()
     for table in [*SERIES, "CollectionLog"]:
         days = [d for d in store.days(table) if d < today and len(store.loads(table, d)) > 1]
         if days:
-            store.rewrite_days(table, lambda t=table: store.read(t), days)
+            store.rewrite_days(table, lambda df: df, days)
+    for table in [*SPLIT, *GROWN]:
+        split = store.closed_loads(table)
+        store.rewrite_closed(table, [part for part, loads in split.items() if loads > MERGED_FROM], lambda df: df)

@@ -30,9 +30,9 @@ def stream_cycle(
 ):
     """Append each micro-batch to the store, then run the cycle on it.
 
-    ``landing`` maps evidence tables to directories. The batch number is the
-    load id, so a batch that is repeated after a failure is stored once, and
-    the state steps give the same result when repeated. ``as_of`` defaults to
+    ``landing`` maps evidence tables to directories. Query and batch number are
+    the load id, so a batch that is repeated after a failure is stored once, even if its load has been merged
+    since, and the state steps give the same result when repeated. ``as_of`` defaults to
     the newest time in the batch. ``options`` go to the landing streams.
     """
     tagged = None
@@ -42,13 +42,15 @@ def stream_cycle(
         tagged = one if tagged is None else tagged.unionByName(one, allowMissingColumns=True)
 
     def process(batch: DataFrame, number: int) -> None:
+        # the id of the query lives in its checkpoint: another query's batch of this number is another load
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
         batch.persist()  # within the batch alone: its maximum and every table read it
         try:
             newest = batch.agg(F.max("CollectedAt")).first()[0]
             if newest is None:
                 return
             for table in landing:
-                store.append(batch.filter(F.col("_table") == table).select(f"{table}.*"), table, load=f"batch-{number}")
+                store.append(batch.filter(F.col("_table") == table).select(f"{table}.*"), table, load=f"batch-{query}-{number}")
         finally:
             batch.unpersist()
         run_cycle(store, as_of or newest, retention_days)

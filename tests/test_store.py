@@ -65,20 +65,20 @@ def test_append_read_and_repeat(spark, store):
 def test_state_versions(spark, store):
     assert store.read_state("Finding").count() == 0
     for text in ("a", "b", "c"):
-        prev = store.read_state("AlertHistory")
-        row = table(spark, "AlertHistory", {"AlertKey": text, "Resolved": False})
-        store.write_state(prev.unionByName(row), "AlertHistory")
-    assert {r.AlertKey for r in store.read_state("AlertHistory").collect()} == {"a", "b", "c"}
-    assert len(store.files.children(store.state_path("AlertHistory"))) == 2
+        prev = store.read_state("DiskForecast")
+        row = table(spark, "DiskForecast", {"ServerName": text})
+        store.write_state(prev.unionByName(row), "DiskForecast")
+    assert {r.ServerName for r in store.read_state("DiskForecast").collect()} == {"a", "b", "c"}
+    assert len(store.files.children(store.state_path("DiskForecast"))) == 2
 
 
 def test_unfinished_version_is_ignored(spark, store):
-    store.write_state(table(spark, "AlertHistory", {"AlertKey": "a", "Resolved": False}), "AlertHistory")
-    broken = f"{store.state_path('AlertHistory')}/version=00000009"
-    table(spark, "AlertHistory", {"AlertKey": "half", "Resolved": False}).write.option(
+    store.write_state(table(spark, "DiskForecast", {"ServerName": "a"}), "DiskForecast")
+    broken = f"{store.state_path('DiskForecast')}/version=00000009"
+    table(spark, "DiskForecast", {"ServerName": "half"}).write.option(
         "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
     ).parquet(broken)
-    assert [r.AlertKey for r in store.read_state("AlertHistory").collect()] == ["a"]
+    assert [r.ServerName for r in store.read_state("DiskForecast").collect()] == ["a"]
 
 
 def test_load_sources_isolates_failures(spark, store):
@@ -196,8 +196,7 @@ def test_load_that_arrives_during_a_rewrite_is_kept(spark, store):
     store.append(vitals(spark, {"MetricValue": 1.0}), "HealthMetric", load="early")
     day = NOW.date().isoformat()
 
-    def rows():
-        read = store.read("HealthMetric")
+    def rows(read):
         store.append(vitals(spark, {"MetricValue": 2.0}), "HealthMetric", load="late")
         return read
 
