@@ -156,7 +156,7 @@ def prev_findings(f: Fixtures) -> DataFrame:
     old = F.lit("old")
     evening = ts_lit(EV, days=-1)
     closed = F.col("WaiterPid") % 4 == 0
-    return f.fx_lock_wait.filter(F.col("CollectedAt") >= ts_lit(EV, days=-3)).select(
+    return f.fx_lock_wait.select(
         cat(txt("RSBlock|"), "ServerName", txt("|"), "WaiterPid", txt("|"), "Relation").alias("FindingKey"),
         F.when(F.col("WaiterPid") % 6 == 0, "MSSQL").otherwise("Redshift").alias("Platform"),
         F.lit("Blocking").alias("Category"), F.lit("WARN").alias("Severity"), "ServerName",

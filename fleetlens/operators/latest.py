@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.expressions import ts_lit
+
 #: Partition column of the snapshot store: the day of ``CollectedAt``.
 SNAPSHOT_DATE = "snapshot_date"
 
@@ -70,3 +72,14 @@ def since(df: DataFrame, ts: str, cut, until=None) -> DataFrame:
         if until is not None:
             out = out.filter(F.col(SNAPSHOT_DATE) <= F.to_date(until))
     return out
+
+
+def until(df: DataFrame, as_of, ts: str = "CollectedAt") -> DataFrame:
+    """Rows not newer than ``as_of`` (None: all), and those without a time, with the matching partition filter."""
+    if as_of is None:
+        return df
+    cut = ts_lit(as_of)
+    out = df.filter(F.col(ts).isNull() | (F.col(ts) <= cut))
+    if SNAPSHOT_DATE in df.columns:
+        out = out.filter(F.col(SNAPSHOT_DATE).isNull() | (F.col(SNAPSHOT_DATE) <= F.to_date(cut)))
+    return out

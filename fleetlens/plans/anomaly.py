@@ -10,7 +10,7 @@ from fleetlens.operators.latest import since
 
 
 def daily_peaks(costs: DataFrame, as_of, window: int = 14) -> DataFrame:
-    recent = since(costs, "CollectedAt", ts_lit(as_of, days=-(window + 1)))
+    recent = since(costs, "CollectedAt", ts_lit(as_of, days=-(window + 1)), ts_lit(as_of))
     return recent.groupBy("ServerName", "MetricName", "MetricUnit", F.to_date("CollectedAt").alias("Day")).agg(
         F.max("MetricValue").alias("Val")
     )

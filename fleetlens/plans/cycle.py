@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expressions import severity_rank, ts_lit
+from fleetlens.operators.latest import until
 from fleetlens.operators.ranking import access_rank
 from fleetlens.plans import reports as R
 from fleetlens.plans.alerts import evaluate_alerts
 from fleetlens.plans.anomaly import cost_anomaly
 from fleetlens.plans.findings import generate_findings
 from fleetlens.plans.forecast import disk_forecast
+from fleetlens.plans.newest import fold_all, newest
 from fleetlens.plans.retention import apply_compaction, apply_retention, merge_loads
+from fleetlens.schemas import TABLES
 from fleetlens.sources.ingest import log_step
 
 
@@ -67,13 +70,22 @@ ORDER = {
 
 
 class Reports:
-    """All reports of a store at one point in time, built on demand."""
+    """All reports of a store at one point in time, built on demand.
+
+    Rows collected, and events that happened, after ``as_of`` are not seen. State tables (forecast, anomalies,
+    alerts, findings, inventory) are those of the last cycle.
+    """
 
     def __init__(self, store, as_of):
         self.store, self.as_of = store, as_of
 
     def _read(self, table):
-        return self.store.read(table)
+        """The series as it was at ``as_of``."""
+        return until(self.store.read(table), self.as_of, "CollectedAt" if "CollectedAt" in TABLES[table] else "RunAt")
+
+    def _newest(self, table):
+        """What the newest rows or cycles at ``as_of`` are among; from the state that is kept up, where it has them."""
+        return newest(self.store, table, self.as_of)
 
     def _state(self, table):
         return self.store.read_state(table)
@@ -105,10 +117,10 @@ class Reports:
         return [prefix + name for name in ORDER]
 
     def _AGSyncStatus(self):
-        return R.ag_sync_status(self._read("AGSyncStatus"))
+        return R.ag_sync_status(self._newest("AGSyncStatus"))
 
     def _DataLag(self):
-        return R.data_lag(self._read("DataLag"))
+        return R.data_lag(self._newest("DataLag"))
 
     def _DiskForecast(self):
         return R.disk_forecast_report(self._state("DiskForecast"))
@@ -132,49 +144,49 @@ class Reports:
         return R.active_alerts(self._state("AlertHistory"), self._state("AppOwners"))
 
     def _BackupHealth(self):
-        return R.backup_health(self._read("BackupStatus"), self.as_of)
+        return R.backup_health(self._newest("BackupStatus"), self.as_of)
 
     def _JobFailures(self):
         return R.job_failures(self._read("JobFailure"), self.as_of)
 
     def _InstanceVitals(self):
-        return R.instance_vitals(self._read("HealthMetric"))
+        return R.instance_vitals(self._newest("HealthMetric"))
 
     def _ActiveQueries(self):
-        return R.active_queries(self._read("QuerySnapshot"))
+        return R.active_queries(self._newest("QuerySnapshot"))
 
     def _TopWaits(self):
-        return R.top_waits(self._read("WaitStats"))
+        return R.top_waits(self._newest("WaitStats"))
 
     def _TableHealth(self):
-        return R.table_health(self._read("TableHealth"))
+        return R.table_health(self._newest("TableHealth"))
 
     def _TopQueries(self):
-        return R.top_queries(self._read("TopQueries"))
+        return R.top_queries(self._newest("TopQueries"))
 
     def _Findings(self):
         return R.findings_report(self._state("Finding"), self.as_of)
 
     def _ServerInfo(self):
-        return R.server_info(self._read("ServerInfo"))
+        return R.server_info(self._newest("ServerInfo"))
 
     def _ConfigAudit(self):
-        return R.config_audit(self._read("ConfigAudit"))
+        return R.config_audit(self._newest("ConfigAudit"))
 
     def _Principals(self):
-        return R.principals(self._read("SecurityPrincipal"))
+        return R.principals(self._newest("SecurityPrincipal"))
 
     def _AccessControl(self):
         return R.access_control(self.frame("Principals"))
 
     def _IndexHealth(self):
-        return R.index_health(self._read("IndexHealth"))
+        return R.index_health(self._newest("IndexHealth"))
 
     def _FileIOStats(self):
-        return R.file_io(self._read("FileIOStats"))
+        return R.file_io(self._newest("FileIOStats"))
 
     def _WaitDelta(self):
-        return R.wait_delta(self._read("WaitStats"))
+        return R.wait_delta(self._newest("WaitStats"))
 
     def _AutoGrowthEvents(self):
         return R.autogrowth(self._read("AutoGrowth"), self.as_of)
@@ -183,16 +195,16 @@ class Reports:
         return R.failed_logins(self._read("FailedLogin"), self.as_of)
 
     def _LoginActivity(self):
-        return R.login_activity(self._read("LoginActivity"))
+        return R.login_activity(self._newest("LoginActivity"))
 
     def _StaleTables(self):
         return R.stale_tables(self._read("ObjectSize"), self._read("TableScan"), self.as_of)
 
     def _SpectrumByTable(self):
-        return R.spectrum_by_table(self._read("SpectrumScan"))
+        return R.spectrum_by_table(self._newest("SpectrumScan"))
 
     def _CostlyQueries(self):
-        return R.costly_queries(self._read("QueryCost"))
+        return R.costly_queries(self._newest("QueryCost"))
 
     def _Servers(self):
         return R.servers_report(self._state("Servers"), self._read("CollectionLog"))
@@ -228,7 +240,7 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
     store.grow_state(found, "CostAnomaly")
     log_step(store, store.read_state("CostAnomaly").filter(F.col("DetectedAt") == ts_lit(as_of)), "anomaly", as_of)
 
-    store.advance_state(generate_findings(store.read("LockWait"), store.read_open("Finding"), as_of), "Finding")
+    store.advance_state(generate_findings(newest(store, "LockWait", as_of), store.read_open("Finding"), as_of), "Finding")
 
     reports = Reports(store, as_of)
     alerts = evaluate_alerts(
@@ -249,5 +261,6 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
     apply_compaction(store)
     merge_loads(store, as_of)
     apply_retention(store, as_of, retention_days)
+    fold_all(store)
     store.sweep()
     return Reports(store, as_of)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import constants as K
 from fleetlens.functions.expressions import cat, or_text, status, txt
-from fleetlens.operators.latest import latest_cycle
+from fleetlens.operators.latest import latest_cycle, until
 from fleetlens.operators.reconcile import reconcile
 
 #: columns an open finding takes over from the newest evaluation
@@ -85,7 +85,7 @@ def lock_findings(locks: DataFrame, block_minutes: int = 30, cycles: DataFrame |
 def generate_findings(
     locks: DataFrame, prev: DataFrame, as_of, block_minutes: int = 30, cycles: DataFrame | None = None
 ) -> DataFrame:
-    """The findings table after this evaluation; only lock findings are resolved by it."""
-    current = lock_findings(locks, block_minutes, cycles)
+    """The findings table after this evaluation, from the lock waits up to ``as_of``; only lock findings are resolved by it."""
+    current = lock_findings(until(locks, as_of), block_minutes, cycles)
     mine = (F.col("Platform") == "Redshift") & (F.col("Category") == "Blocking")
     return reconcile(prev, current, "FindingKey", as_of, REFRESHED, "Title", scope=mine)

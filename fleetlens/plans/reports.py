@@ -278,7 +278,7 @@ def counter_delta(counters: DataFrame, name: str, value: str, server: str = "Ser
 
 def job_failures(failures: DataFrame, as_of) -> DataFrame:
     return (
-        failures.filter(F.col("RunAt") >= ts_lit(as_of, days=-7))
+        failures.filter(F.col("RunAt").between(ts_lit(as_of, days=-7), ts_lit(as_of)))
         .groupBy("ServerName", "JobName", "StepName", "RunAt")
         .agg(F.max("Message").alias("Message"), F.max("CollectedAt").alias("LastSeen"))
     )
@@ -286,7 +286,7 @@ def job_failures(failures: DataFrame, as_of) -> DataFrame:
 
 def failed_logins(logins: DataFrame, as_of) -> DataFrame:
     return (
-        logins.filter(F.col("EventTime") >= ts_lit(as_of, days=-7))
+        logins.filter(F.col("EventTime").between(ts_lit(as_of, days=-7), ts_lit(as_of)))
         .groupBy("Platform", "ServerName", "EventTime", "Message")
         .agg(F.max("CollectedAt").alias("LastSeen"))
     )
@@ -294,7 +294,7 @@ def failed_logins(logins: DataFrame, as_of) -> DataFrame:
 
 def autogrowth(events: DataFrame, as_of) -> DataFrame:
     return (
-        events.filter(F.col("EventTime") >= ts_lit(as_of, days=-7))
+        events.filter(F.col("EventTime").between(ts_lit(as_of, days=-7), ts_lit(as_of)))
         .groupBy("ServerName", "EventTime", "DatabaseName", "FileType")
         .agg(F.max("GrowthMB").alias("GrowthMB"), F.max("DurationMs").alias("DurationMs"))
         .withColumn("Status", status([("WARN", F.col("DurationMs") >= 1000)]))

@@ -78,6 +78,8 @@ class SnapshotStore:
 
     def sweep(self) -> None:
         """Delete the files that have not counted for a while."""
+        for table in self.files.children(f"{self.root}/newest"):
+            LiveTable(self.spark, self.files, f"{self.root}/newest/{table}", struct(table), PART).sweep(self.grace)
         for kind in ("series", "state"):
             for table in self.files.children(f"{self.root}/{kind}"):
                 if kind == "series" or table in SPLIT or table in GROWN:
