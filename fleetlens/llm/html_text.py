@@ -71,7 +71,8 @@ TABLE = frozenset("table tbody thead tfoot tr td th caption body html".split())
 LISTS = {"li": frozenset("ul ol menu dir".split()), "dd": frozenset(["dl"]), "dt": frozenset(["dl"])}
 #: So many open elements at most are looked through, as browsers nest no deeper.
 DEEPEST = 512
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'][^"']*["']?""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 PARTS = re.compile(r"[^a-z0-9]+")
 
 WORD, ASIDE_TOKEN, SUSPECT_WORD = "word", "aside", "suspect word"
@@ -83,15 +84,29 @@ ARTICLES_SHARE = 0.1
 LEAST = -0.05
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Names and values of the attributes of a tag, in lower case; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for match in ATTRIBUTE.finditer(attrs.lower()):
+        if match[1]:
+            found.setdefault(match[1], match[2] or match[3] or match[4] or "")
+    return found
+
+
 def hides(attrs: str) -> bool:
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs.lower()))
+    """Whether the tag has the attribute ``hidden``, or a style that does not show it; such words in other values say nothing."""
+    if not re.search("hidden|style", attrs, re.I):
+        return False
+    named = attributes(attrs)
+    return "hidden" in named or bool(NOT_SHOWN.search(named.get("style", "")))
 
 
 def is_suspect(name: str, attrs: str) -> bool:
     """Whether class, id or role name an aside."""
-    return bool(attrs) and name not in HOLDERS and any(
-        not ASIDE_PARTS.isdisjoint(PARTS.split(value)) for found in NAMED.findall(attrs.lower()) for value in found if value
-    )
+    if not attrs or name in HOLDERS:
+        return False
+    named = attributes(attrs)
+    return any(not ASIDE_PARTS.isdisjoint(PARTS.split(named[key])) for key in ("class", "id", "role") if key in named)
 
 
 @dataclass(slots=True)

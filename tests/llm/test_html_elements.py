@@ -63,3 +63,29 @@ def test_class_words_take_no_page_away(page, want):
 def test_labelled_words_in_named_wrappers_count():
     inside, outside = html_text.token_counts(f'<div class="content has-sidebar"><article>{BODY}</article></div><div class=ad>Buy now</div>')
     assert inside["word"] == 12 and outside["word"] == 0 and outside["suspect word"] == 2
+
+
+@pytest.mark.parametrize(
+    ("tag", "shown"),
+    [
+        ('<div class="box hidden lg">', True),
+        ('<section class="grid hidden md">', True),
+        ('<div title="A hidden gem">', True),
+        ("<div data-hidden=1>", True),
+        ('<div title=\'say "hidden"\' >', True),
+        ('<div style="color:red; overflow:hidden">', True),
+        ('<div data-class="sidebar" title="class=ad">', True),
+        ("<div hidden>", False),
+        ('<div class=x HIDDEN="">', False),
+        ('<div style="color:red;Display : none">', False),
+        ("<div style='visibility:hidden'>", False),
+    ],
+)
+def test_hidden_is_an_attribute_not_a_word(tag, shown):
+    name = tag[1:].split()[0]
+    page = f"<body><article><p>{LONG}</p>{tag}<p>{LONG}</p></{name}></article></body>"
+    assert html_text.main_text(page, WEIGHTS) == (f"{LONG}\n{LONG}" if shown else LONG)
+
+
+def test_attributes():
+    assert html_text.attributes("""A=1 b = "x y" c='z"' d E/ a=2 'loose' f=""") == {"a": "1", "b": "x y", "c": 'z"', "d": "", "e": "", "f": ""}
