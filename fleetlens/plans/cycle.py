@@ -13,6 +13,7 @@ from fleetlens.operators.ranking import access_rank
 from fleetlens.plans import reports as R
 from fleetlens.plans.alerts import evaluate_alerts
 from fleetlens.plans.anomaly import cost_anomaly
+from fleetlens.plans.daily import forecast_from_daily, keep_daily, stored_daily
 from fleetlens.plans.findings import generate_findings
 from fleetlens.plans.forecast import disk_forecast
 from fleetlens.plans.newest import fold_all, newest
@@ -110,6 +111,10 @@ class Reports:
         order = ORDER[name]()
         return df.orderBy(*order) if order else df
 
+    def forecast(self, lookback: int = 30) -> DataFrame:
+        """The disk forecast over any number of whole days, from the summaries of the days."""
+        return forecast_from_daily(stored_daily(self.store, self.as_of, lookback), self.as_of, lookback)
+
     def register_views(self, prefix: str = "rpt_") -> list[str]:
         """Expose every report to SQL as a temporary view."""
         for name in ORDER:
@@ -262,5 +267,6 @@ def run_cycle(store, as_of, retention_days: int = 90) -> Reports:
     merge_loads(store, as_of)
     apply_retention(store, as_of, retention_days)
     fold_all(store)
+    keep_daily(store, str(as_of)[:10])
     store.sweep()
     return Reports(store, as_of)

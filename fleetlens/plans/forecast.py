@@ -31,6 +31,12 @@ def disk_forecast(
         F.max(F.struct("CollectedAt", "UsedBytes", "TotalBytes", "UsedPct")).alias("_last"),
     )
     volumes = volumes.select("*", *[F.col(f"_last.{c}").alias(c) for c in ("TotalBytes", "UsedBytes", "UsedPct")])
+    return from_slope(volumes, as_of, headroom, warn, crit)
+
+
+def from_slope(volumes: DataFrame, as_of, headroom: int = 180, warn: int = 45, crit: int = 14) -> DataFrame:
+    """The forecast from the newest sample of each volume and ``_slope``, its growth in bytes a day."""
+    now = ts_lit(as_of)
     growing = F.col("_slope") > 0
     free = (F.col("TotalBytes") - F.col("UsedBytes")).cast("double")
     days = F.when(growing, (free / F.col("_slope")).try_cast("int"))
