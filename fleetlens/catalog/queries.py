@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.catalog.oracle import E, GIB, PIECES, L, O, assemble, half_up, sev, threshold_case
 from fleetlens.functions.expressions import boundary_diff, cat, number_text, severity_rank, ts_lit, txt
+from fleetlens.operators.asof import as_of_join
 from fleetlens.operators.latest import latest_cycle, latest_row, nth_cycle
 from fleetlens.operators.ranking import order_by_access, order_by_severity, top_k
 from fleetlens.operators.reconcile import one_per_key
@@ -20,14 +21,17 @@ from fleetlens.plans import extract_redshift as X
 from fleetlens.plans import measures, reports, retention
 from fleetlens.plans.anomaly import cost_anomaly
 from fleetlens.plans.cycle import Reports, run_cycle
+from fleetlens.plans.daily import KEYS as VOLUME, daily_summaries, merged
 from fleetlens.plans.findings import generate_findings, lock_findings
-from fleetlens.plans.forecast import disk_forecast
-from fleetlens.plans.retention import apply_compaction
+from fleetlens.plans.forecast import disk_forecast, used_pct
+from fleetlens.plans.newest import fold, newest
+from fleetlens.plans.retention import apply_compaction, merge_loads
 from fleetlens.schemas import TABLES
 from fleetlens.sources import ingest, inventory
 from fleetlens.sources.fixtures import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF, Fixtures
 from fleetlens.sources.ingest import load_sources, read_evidence
 from fleetlens.sources.store import SnapshotStore
+from fleetlens.streaming.alert_life import alert_table, stream_alerts
 from fleetlens.streaming.streams import stream_cycle, stream_dedup
 
 EV, OR, LI = EVENTS_AS_OF, ORDERS_AS_OF, LINEITEM_AS_OF
@@ -1090,3 +1094,128 @@ def _(f):
     store.append(rows.withColumn("CollectedAt", F.col("CollectedAt") - F.expr("INTERVAL 5 DAY")), "JobFailure")
     apply_compaction(store)
     return store.read("JobFailure").drop("snapshot_date")
+
+
+@query("store_live_rows", "SELECT CollectedAt, Platform, ServerName, MetricName, MetricValue, Detail FROM fx_health_metric")
+def _(f):
+    """A series after merges, a load that came again after its merge, a late load, and a writer that died before it committed."""
+    store = fresh_store(f, "live")
+    rows = f.fx_health_metric.drop("SnapshotID")
+    part = F.pmod(F.xxhash64("ServerName", "CollectedAt"), F.lit(4))
+    for i in range(3):
+        store.append(rows.filter(part == i), "HealthMetric", load=f"part-{i}")
+    merge_loads(store, EV)
+    store.append(rows.filter(part == 1), "HealthMetric", load="part-1")
+    died = rows.limit(9).withColumn("snapshot_date", F.to_date("CollectedAt"))
+    died.write.partitionBy("snapshot_date").parquet(f"{store.series_path('HealthMetric')}/load=died")
+    store.append(rows.filter(part == 3), "HealthMetric")
+    merge_loads(store, EV)
+    return store.read("HealthMetric").drop("snapshot_date")
+
+
+def in_loads(f: Fixtures, name: str, rows: DataFrame, table: str) -> SnapshotStore:
+    """A store whose newest state was folded between loads: the first folded and merged, one late, one repeated, the last not folded."""
+    store = fresh_store(f, name)
+    part = F.pmod(F.xxhash64("ServerName", F.to_date("CollectedAt")), F.lit(3))
+    for i in (1, 0):
+        store.append(rows.filter(part == i), table, load=f"part-{i}")
+        fold(store, table)
+    merge_loads(store, EV)
+    store.append(rows.filter(part == 1), table, load="part-1")
+    store.append(rows.filter(part == 2), table)
+    return store
+
+
+@query(
+    "newest_state_vitals",
+    f"""SELECT Platform, ServerName, MetricName, MetricValue, Detail, CollectedAt, {threshold_case()} AS Status FROM {STORED_VITALS}""",
+)
+def _(f):
+    """The newest vitals from a state folded forward load by load."""
+    store = in_loads(f, "newest", f.fx_health_metric.drop("SnapshotID"), "HealthMetric")
+    return reports.instance_vitals(newest(store, "HealthMetric"))
+
+
+@query("newest_state_wait_delta", "SELECT ServerName, WaitType, DeltaMs, CollectedAt, WaitPct FROM v_wait_delta")
+def _(f):
+    """Counter growth between the two newest cycles, whose times a state keeps."""
+    store = in_loads(f, "cycles", f.fx_wait_stats, "WaitStats")
+    return reports.wait_delta(newest(store, "WaitStats"))
+
+
+@query(
+    "job_failures_with_vitals",
+    """SELECT j.SnapshotID, j.ServerName, j.JobName, j.RunAt, v.s.t AS VitalAt, v.s.v AS VitalValue, v.s.m AS VitalName
+       FROM fx_job_failure j LEFT JOIN LATERAL (
+         SELECT max({'t': h.CollectedAt, 'v': h.MetricValue, 'm': h.MetricName}) AS s FROM fx_health_metric h
+         WHERE h.ServerName = j.ServerName AND h.CollectedAt <= j.RunAt
+       ) v ON true""",
+)
+def _(f):
+    """Each failed job with what was said last of its server before it ran."""
+    vitals = f.fx_health_metric.select("ServerName", "CollectedAt", F.col("MetricValue").alias("Value"), F.col("MetricName").alias("Name"))
+    vitals = vitals.withColumn("At", F.col("CollectedAt"))
+    jobs = f.fx_job_failure.select("SnapshotID", "ServerName", "JobName", "RunAt")
+    return as_of_join(jobs, vitals, ["ServerName"], values=["At", "Value", "Name"], tie=["Value", "Name"], prefix="Vital")
+
+
+@query(
+    "merged_daily_growth",
+    f"""SELECT Platform, ServerName, VolumeName, count(UsedBytes) AS Samples, round(avg(UsedBytes::DOUBLE) / {GIB}, 6) AS MeanGB,
+        round(CASE WHEN isfinite(slope) THEN slope END / {GIB}, 6) AS GrowthGBPerDay
+        FROM (SELECT *, regr_slope(UsedBytes::DOUBLE, epoch(CollectedAt - {O}) / 86400.0) OVER (PARTITION BY Platform, ServerName, VolumeName) AS slope
+              FROM fx_disk_usage WHERE CollectedAt <= {O}) GROUP BY Platform, ServerName, VolumeName, slope""",
+)
+def _(f):
+    """Growth of each volume over its whole history, merged from daily summaries."""
+    usage = f.fx_disk_usage.filter(F.col("CollectedAt") <= ts_lit(OR)).withColumn("UsedPct", used_pct())
+    volumes = merged(daily_summaries(usage), *VOLUME)
+    slope = F.when((F.col("s.n") > 1) & (F.col("s.cxx") > 0), F.col("s.cxy") / F.col("s.cxx"))
+    out = volumes.select(*VOLUME, F.col("s.n").cast("long").alias("Samples"), (F.col("s.my") / GIB).alias("MeanGB"), (slope / GIB).alias("GrowthGBPerDay"))
+    return rounded(out, "MeanGB", "GrowthGBPerDay")
+
+
+WEEKLY = """SELECT date_trunc('week', CollectedAt)::TIMESTAMP AS Tick, concat(ServerName, '|', MetricName) AS AlertKey, MetricName AS Category,
+       CASE WHEN max(MetricValue) >= 80 THEN 'CRIT' ELSE 'WARN' END AS Severity, ServerName, concat(count(*), ' rows') AS Message
+FROM fx_health_metric GROUP BY 1, MetricName, ServerName HAVING max(MetricValue) >= 40 AND count(*) % 3 > 0"""
+
+
+@query(
+    "alert_life_stream",
+    f"""WITH seen AS ({WEEKLY}), weeks AS (
+          SELECT Tick, row_number() OVER (ORDER BY Tick) AS i, lead(Tick) OVER (ORDER BY Tick) AS Following
+          FROM (SELECT DISTINCT date_trunc('week', CollectedAt)::TIMESTAMP AS Tick FROM fx_health_metric)
+        ), runs AS (
+          SELECT seen.*, i, Following, i - row_number() OVER (PARTITION BY AlertKey ORDER BY i) AS run FROM seen JOIN weeks USING (Tick)
+        )
+        SELECT AlertKey, arg_min(Category, i) AS Category, arg_max(Severity, i) AS Severity, arg_min(ServerName, i) AS ServerName,
+          arg_max(Message, i) AS Message, min(Tick) AS FirstSeen, max(Tick) AS LastSeen, bool_and(Following IS NOT NULL) AS Resolved,
+          CASE WHEN bool_and(Following IS NOT NULL) THEN max(Following) END AS ResolvedAt
+        FROM runs GROUP BY AlertKey, run""",
+)
+def _(f):
+    """The alerts that weekly evaluations of the vitals open, refresh and close, as keyed state of a stream."""
+    root = scratch(f.spark, "alert-life")
+    at = F.date_trunc("week", "CollectedAt").cast("timestamp_ntz")
+    rows = f.fx_health_metric.withColumn("At", at)
+    worst = rows.groupBy("At", "MetricName", "ServerName").agg(F.max("MetricValue").alias("v"), F.count(F.lit(1)).alias("n"))
+    seen = worst.filter("v >= 40 AND n % 3 > 0").select(
+        "At", F.concat_ws("|", "ServerName", "MetricName").alias("AlertKey"), F.col("MetricName").alias("Category"),
+        F.when(F.col("v") >= 80, "CRIT").otherwise("WARN").alias("Severity"), "ServerName", F.concat("n", F.lit(" rows")).alias("Message"),
+    )
+    marks = rows.select("At").distinct()
+    ends = marks.agg(F.max("At").alias("At"))  # what closed last is told with the batch after
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("AlertKey", "Category", "Severity", "ServerName", "Message")]
+    found = seen.unionByName(marks.select("At", *nothing)).unionByName(ends.select(F.col("At") + F.expr("INTERVAL 1 SECOND"), *nothing).toDF(*seen.columns))
+    weeks = [r[0] for r in found.select("At").distinct().orderBy("At").collect()]  # weeks of the calendar
+    for week in weeks:  # one file an evaluation, in their order
+        found.filter(F.col("At") == F.lit(week)).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    source = f.spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    stream_alerts(f.spark, source, f"{root}/out", f"{root}/checkpoint", partitions=4).awaitTermination()
+    table = alert_table(f.spark.read.parquet(f"{root}/out"))
+    # the last mark closes nothing that the weeks themselves have not closed
+    open_ = F.col("ResolvedAt").isNull() | (F.col("ResolvedAt") > F.lit(weeks[-2]))
+    return table.select(
+        "AlertKey", "Category", "Severity", "ServerName", "Message", "FirstSeen", "LastSeen", (F.col("Resolved") & ~open_).alias("Resolved"),
+        F.when(~open_, F.col("ResolvedAt")).alias("ResolvedAt"),
+    )

@@ -115,16 +115,25 @@ def evaluation(conditions: DataFrame, as_of) -> DataFrame:
     return conditions.select(at, "AlertKey", *CONDITION).unionByName(mark)
 
 
-def stream_alerts(spark: SparkSession, evaluations: DataFrame, out: str, checkpoint: str, available_now: bool = True):
-    """Write the events of alerts to Parquet below ``out``; the state store is RocksDB, as the timers need it."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def stream_alerts(
+    spark: SparkSession, evaluations: DataFrame, out: str, checkpoint: str, available_now: bool = True, partitions: int | None = None
+):
+    """Write the events of alerts to Parquet below ``out``.
+
+    The state store is RocksDB, as the timers need it. ``partitions`` is how many parts the state has (default: the
+    session's shuffle partitions); a checkpoint keeps the number it began with.
+    """
+    settings = {PROVIDER: ROCKSDB} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         writer = alert_events(evaluations).writeStream.format("parquet").outputMode("append")
         writer = writer.option("checkpointLocation", checkpoint).option("path", out)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def alert_table(events: DataFrame) -> DataFrame:
