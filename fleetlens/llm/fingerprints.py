@@ -16,7 +16,7 @@ WORDS = 5
 BINS, BITS = 256, 4
 DIGITS = "0123456789abcdef"
 #: Documents of one bucket of neighbours in doc_id order, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 16_384, 65_536
+BUCKET_ROWS, MOST_BUCKETS = 4_096, 65_536
 #: Stands for a null doc_id where documents are ordered.
 NO_ID = -(2**63)
 
@@ -135,9 +135,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     guard = F.struct(before.alias("bucket"), F.lit(True).alias("guard"))
     leads = F.col("_key") == F.get("_b.all", F.col("_bucket"))
     dealt = dealt.withColumn("_at", F.explode(F.when(leads, F.array(own, guard)).otherwise(F.array(own))))
-    order = Window.partitionBy("_at.bucket").orderBy("_at.guard", "_key", F.md5("text"))
-    dealt = dealt.select(*docs.columns, "_key", "_at").withColumn("next", F.lead(F.struct(*columns)).over(order))
-    return dealt.where("NOT _at.guard").drop("_key", "_at")
+    dealt = dealt.select(*docs.columns, "_key", F.col("_at.bucket").alias("_bucket"), F.col("_at.guard").alias("_guard"))
+    dealt = dealt.repartition(-(-buckets // 2), "_bucket")  # tasks follow the number of documents, not the session's partitions
+    order = Window.partitionBy("_bucket").orderBy("_guard", "_key", F.md5("text"))
+    dealt = dealt.withColumn("next", F.lead(F.struct(*columns)).over(order))
+    return dealt.where("NOT _guard").drop("_key", "_bucket", "_guard")
 
 
 def edited_text(text: str, next_text: str, chars: str) -> Column:
