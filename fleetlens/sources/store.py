@@ -78,7 +78,7 @@ class SnapshotStore:
 
     def sweep(self) -> None:
         """Delete the files that have not counted for a while."""
-        for kind in ("newest", "daily"):  # what is kept up from the series
+        for kind in ("newest", "daily", "events"):  # what is kept up from the series
             for table in self.files.children(f"{self.root}/{kind}"):
                 LiveTable(self.spark, self.files, f"{self.root}/{kind}/{table}", struct(table), PART).sweep(self.grace)
         for kind in ("series", "state"):

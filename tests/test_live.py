@@ -188,3 +188,69 @@ def test_closed_findings_age_by_month(spark, store):
     retention.merge_loads(store, NOW)
     assert store.closed_loads("Finding")["closed-2024-01"] == 1
     assert store.read_state("Finding").count() == 3 + retention.MERGED_FROM + 2
+
+
+def failure(step, collected, happened, message="m"):
+    return {"ServerName": "s", "JobName": "j", "StepName": step, "RunAt": happened, "CollectedAt": collected, "Message": message}
+
+
+def test_compaction_reads_what_is_new(spark, store, monkeypatch):
+    """Whatever arrives and is merged or dropped in between, the series holds each event once; days without repeats are not read."""
+    kept: dict[tuple, tuple] = {}
+
+    def add(*rows):
+        store.append(table(spark, "JobFailure", *rows), "JobFailure")
+        for r in rows:
+            key = (r["StepName"], r["RunAt"])
+            kept[key] = max(kept.get(key, (r["CollectedAt"], r["Message"])), (r["CollectedAt"], r["Message"]))
+
+    def check():
+        got = {(r.StepName, r.RunAt): (r.CollectedAt, r.Message) for r in store.read("JobFailure").collect()}
+        assert got == kept and store.read("JobFailure").count() == len(kept)
+
+    read = []
+    frames = live.LiveTable.frame
+
+    def reading(self, entries=None):
+        entries = list(self.live().entries if entries is None else entries)
+        if self.path.endswith("series/JobFailure"):
+            read.extend(e.part for e in entries)
+        return frames(self, entries)
+
+    monkeypatch.setattr(live.LiveTable, "frame", reading)
+    for d in range(9, 1, -1):
+        add(failure("a", ago(days=d), ago(days=d, hours=1)), failure(None, ago(days=d), ago(days=d, hours=2)))
+        retention.apply_compaction(store)
+    check()
+    read.clear()
+    add(failure("a", ago(days=1), ago(days=1, hours=2)), failure("a", ago(days=1), ago(days=5, hours=1), "again"))
+    retention.apply_compaction(store)
+    assert set(read) == {"2024-01-30", "2024-01-26"}
+    check()
+    retention.merge_loads(store, NOW)
+    add(failure("b", NOW, ago(hours=1)), failure("b", NOW, ago(hours=1)))  # twice in one load
+    retention.apply_compaction(store)
+    check()
+    read.clear()
+    retention.apply_compaction(store)
+    retention.apply_compaction(store)
+    assert not read
+    store.drop_days_before("JobFailure", "2024-01-25")
+    for key in [k for k, (at, _) in kept.items() if at < ago(days=6, hours=12)]:
+        del kept[key]
+    old = failure("a", ago(minutes=1), ago(days=8, hours=1))  # its first row is gone
+    add(old)
+    retention.apply_compaction(store)
+    check()
+
+
+def test_compaction_after_a_crash_before_its_index(spark, store, monkeypatch):
+    store.append(table(spark, "JobFailure", failure("a", ago(hours=2), ago(hours=3)), failure("a", ago(hours=1), ago(hours=3))), "JobFailure")
+    add = live.LiveTable.add
+    monkeypatch.setattr(live.LiveTable, "add", lambda *a, **k: (_ for _ in ()).throw(Crash()))
+    with pytest.raises(Crash):
+        retention.apply_compaction(store)
+    monkeypatch.setattr(live.LiveTable, "add", add)
+    store.append(table(spark, "JobFailure", failure("a", NOW, ago(hours=3))), "JobFailure")
+    retention.apply_compaction(store)
+    assert [r.CollectedAt for r in store.read("JobFailure").collect()] == [NOW]
