@@ -20,7 +20,7 @@ from fleetlens.plans import extract_mssql as M
 from fleetlens.plans import extract_redshift as X
 from fleetlens.plans import measures, reports, retention
 from fleetlens.plans.anomaly import cost_anomaly
-from fleetlens.plans.cycle import Reports, run_cycle
+from fleetlens.plans.cycle import ORDER, Reports, run_cycle
 from fleetlens.plans.daily import KEYS as VOLUME, daily_summaries, merged
 from fleetlens.plans.findings import generate_findings, lock_findings
 from fleetlens.plans.forecast import disk_forecast, used_pct
@@ -91,6 +91,7 @@ people = lambda f: reports.principals(f.fx_security_principal)
 access = lambda f: reports.access_control(people(f))
 files = lambda f: reports.file_io(f.fx_file_io)
 
+VIEWED: dict[str, Callable[[Fixtures], DataFrame]] = {}
 for _name, _view, _build in [
     ("report_ag_sync_status", "v_ag", ag),
     ("report_data_lag", "v_lag", lag),
@@ -123,6 +124,7 @@ for _name, _view, _build in [
     ("forecast_disk_full", "v_forecast", forecast),
 ]:
     simple(_name, f"SELECT * FROM {_view}", _build)
+    VIEWED[_view] = _build
 
 # ----------------------------------------------------------- anomalies, findings
 
@@ -1219,3 +1221,75 @@ def _(f):
         "AlertKey", "Category", "Severity", "ServerName", "Message", "FirstSeen", "LastSeen", (F.col("Resolved") & ~open_).alias("Resolved"),
         F.when(~open_, F.col("ResolvedAt")).alias("ResolvedAt"),
     )
+
+
+#: report: its rows in SQL, and the keys of its order: - descending, ! by severity, @ by access class, # a number
+LISTED = {
+    "AGSyncStatus": ("v_ag", ["-Status", "AGName", "DatabaseName"]),
+    "DataLag": ("v_lag", ["!Status", "-#LagSeconds"]),
+    "DiskForecast": ("v_disk", ["!Severity", "#DaysToFull"]),
+    "AppOwners": ("fx_app_owners", ["Criticality", "ServerName", "AppName"]),
+    "GrowthKeys": ("v_growth_keys", ["-#GrowthGBPerDay"]),
+    "GrowthDaily": ("v_growth_daily", ["Platform", "ServerName", "ObjectName", "Day"]),
+    "CostTrend": ("v_cost_trend", ["ServerName", "MetricName", "Day"]),
+    "BackupHealth": ("v_backup", ["!Status", "ServerName", "DatabaseName"]),
+    "JobFailures": ("v_jobs", ["-RunAt"]),
+    "InstanceVitals": ("v_vitals", ["!Status", "ServerName", "MetricName"]),
+    "ActiveQueries": ("v_activity", ["!RowStatus", "-#DurationSec"]),
+    "TopWaits": ("v_waits", ["ServerName", "-#WaitTimeMs"]),
+    "TableHealth": ("v_tables", ["!Status", "-#UnsortedPct"]),
+    "TopQueries": ("v_top_queries", ["-#TotalCpuMs"]),
+    "ServerInfo": ("v_server_info", ["ServerName"]),
+    "ConfigAudit": ("v_config", ["!Status", "ServerName", "ConfigItem"]),
+    "AccessControl": ("v_access", ["ServerName", "@AccessType"]),
+    "Principals": ("v_principals", ["ServerName", "@AccessType", "PrincipalName"]),
+    "IndexHealth": ("v_indexes", ["ServerName", "Kind", "ObjectName"]),
+    "FileIOStats": ("v_files", ["!Status", "-#coalesce(ReadLatencyMs, 0) + coalesce(WriteLatencyMs, 0)"]),
+    "WaitDelta": ("v_wait_delta", ["ServerName", "-#DeltaMs"]),
+    "AutoGrowthEvents": ("v_autogrowth", ["-EventTime"]),
+    "FailedLogins": ("v_failed_logins", ["-EventTime"]),
+    "LoginActivity": ("v_logins", ["ServerName", "-#SessionCount"]),
+    "StaleTables": ("v_stale", ["!Status", "-#SizeGB"]),
+    "SpectrumByTable": ("v_spectrum", ["-#TBScanned"]),
+    "CostlyQueries": ("v_costly", ["-#EstCostUSD", "-#ScanGB"]),
+    "Servers": ("v_servers", ["-IsActive", "Platform", "ServerName"]),
+}
+
+
+def _key_text(keys: list[str]) -> str:
+    """The keys of a row as one text, the same in both engines."""
+    parts = []
+    for key in keys:
+        value = key.lstrip("-!@#")
+        shown = f"CAST(round(({value}) * 1000) AS BIGINT)" if "#" in key[:2] else f"({value})"
+        parts.append(f"coalesce(CAST({shown} AS STRING), '-')")
+    return f"concat({", '|', ".join(parts)})" if len(parts) > 1 else parts[0]
+
+
+def _order_sql(keys: list[str]) -> str:
+    ranks = {"!": "CASE {} WHEN 'CRIT' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END",
+             "@": "CASE {} WHEN 'Sysadmin' THEN 0 WHEN 'Security admin' THEN 1 WHEN 'Elevated' THEN 2 WHEN 'Standard' THEN 3 WHEN 'Connect-only' THEN 4 ELSE 5 END"}
+    out = []
+    for key in keys:
+        value = key.lstrip("-!@#")
+        out.append(ranks[key[0]].format(value) if key[0] in ranks else f"({value}) {'DESC NULLS LAST' if key[0] == '-' else 'ASC NULLS FIRST'}")
+    return ", ".join(out)
+
+
+@query(
+    "contract_orders",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS Report, row_number() OVER (ORDER BY {_order_sql(keys)}) AS Position, {_key_text(keys)} AS Keys FROM {view}"
+        for name, (view, keys) in LISTED.items()
+    ),
+)
+def _(f):
+    """Every report of the contract in its order: what stands at each position, by the keys of the order."""
+    out = None
+    for name, (view, keys) in LISTED.items():
+        listed = Reports(None, EV)
+        listed._built[name] = VIEWED[view](f)
+        rows = listed.report(name).select(F.lit(name).alias("Report"), F.expr(_key_text(keys)).alias("Keys"), F.monotonically_increasing_id().alias("_n"))
+        out = rows if out is None else out.unionByName(rows)
+    at = Window.partitionBy("Report").orderBy("_n")
+    return out.select("Report", F.row_number().over(at).alias("Position"), "Keys")

@@ -70,6 +70,10 @@ ORDER = {
 }
 
 
+#: Arguments of the reports in SQL, and the column each filters, where a report has it.
+FILTERS = {"platform": "Platform", "server": "ServerName", "status": "Status", "severity": "Severity", "category": "Category"}
+
+
 class Reports:
     """All reports of a store at one point in time, built on demand.
 
@@ -121,6 +125,25 @@ class Reports:
             self.frame(name).createOrReplaceTempView(prefix + name)
         return [prefix + name for name in ORDER]
 
+    def register_functions(self, prefix: str = "report_") -> list[str]:
+        """Expose every report to SQL as a table function, in its order and with its filters as named arguments.
+
+        ``SELECT * FROM report_DataLag(server => 'srv1', status => 'CRIT')``; an argument that is left out
+        filters nothing.
+        """
+        spark = self.store.spark
+        for name in ORDER:
+            listed = self.report(name)
+            view = f"{prefix}{name}_listed"
+            listed.createOrReplaceTempView(view)
+            taken = [(argument, column) for argument, column in FILTERS.items() if column in listed.columns]
+            arguments = ", ".join(f"{a} STRING DEFAULT NULL" for a, _ in taken)
+            wanted = " AND ".join([*(f"({prefix}{name}.{a} IS NULL OR {view}.{c} = {prefix}{name}.{a})" for a, c in taken), "true"])
+            columns = ", ".join(f"`{c}` {t}" for c, t in listed.dtypes)
+            spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({arguments}) RETURNS TABLE ({columns}) RETURN
+                SELECT * FROM {view} WHERE {wanted}""")
+        return [prefix + name for name in ORDER]
+
     def _AGSyncStatus(self):
         return R.ag_sync_status(self._newest("AGSyncStatus"))
 

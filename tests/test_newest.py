@@ -167,6 +167,22 @@ def test_replay_has_rows(replayed):
     assert bare <= {"DiskForecast", "AppOwners", "CostAnomaly", "ActiveAlerts", "Findings", "Servers", "EstateHealth", "GrowthKeys", "WaitDelta", "StaleTables"}
 
 
+def test_reports_as_table_functions(spark, store):
+    """Every report answers in SQL, in its order and filtered by named arguments."""
+    filled(spark, store, [ago(days=1), NOW], tables=["HealthMetric", "DataLag", "FailedLogin"])
+    reports = Reports(store, NOW)
+    names = reports.register_functions()
+    assert len(names) == len(ORDER)
+    for name in ("InstanceVitals", "DataLag"):
+        want = [tuple(r) for r in reports.report(name).collect()]
+        assert [tuple(r) for r in spark.sql(f"SELECT * FROM report_{name}()").collect()] == want and want
+    some = spark.sql("SELECT * FROM report_InstanceVitals(server => 'a')").collect()
+    assert [tuple(r) for r in some] == [tuple(r) for r in reports.report("InstanceVitals", ServerName="a").collect()]
+    status = some[0].Status
+    assert {r.Status for r in spark.sql(f"SELECT * FROM report_InstanceVitals(status => '{status}', platform => NULL)").collect()} == {status}
+    assert spark.sql("SELECT * FROM report_ServerInfo(server => 'nobody')").count() == 0
+
+
 def test_empty(spark, store):
     assert newest(store, "HealthMetric").count() == 0 and newest(store, "WaitStats").count() == 0
     store.append(empty(spark, "HealthMetric"), "HealthMetric")
