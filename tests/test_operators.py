@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import joins, latest
+from fleetlens.operators import latest
 from fleetlens.operators.ranking import top_k, total_per_key
 from fleetlens.operators.reconcile import one_per_key, reconcile
 from fleetlens.plans.extract_mssql import extract_activity, extract_ag_lag
@@ -101,20 +101,6 @@ def test_empty_newest_cycle(spark, series):
     assert "a" not in got and {"b", "c", "hot"} <= got
 
 
-def test_salted_join_equals_join(spark, series):
-    small = spark.createDataFrame([("hot", 1), ("a", 2), ("zzz", 3)], "ServerName string, w int")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        a, b = joins.salted_join(series, small, ["ServerName"], how), series.join(small, "ServerName", how)
-        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(
-            map(str, b.select(*sorted(b.columns)).collect())
-        )
-    # the hot key is spread
-    salted = joins.salted_join(series, small, ["ServerName"]).filter("ServerName = 'hot'")
-    assert salted.count() == 1000
-    with pytest.raises(ValueError):
-        joins.salted_join(series, small, ["ServerName"], "full")
-
-
 def test_top_k_and_totals(series):
     rows = [r for r in series.collect() if r.ServerName]
     named = series.filter("ServerName IS NOT NULL")
