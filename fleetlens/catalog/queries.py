@@ -22,6 +22,7 @@ from fleetlens.plans import measures, reports, retention
 from fleetlens.plans.anomaly import cost_anomaly
 from fleetlens.plans.cycle import ORDER, Reports, run_cycle
 from fleetlens.plans.daily import KEYS as VOLUME, daily_summaries, merged
+from fleetlens.plans.distinct import KEYS as SCANNED, STANDARD_ERROR, keep_sketches, merge_sketches, stored_sketches, united
 from fleetlens.plans.findings import generate_findings, lock_findings
 from fleetlens.plans.forecast import disk_forecast, used_pct
 from fleetlens.plans.newest import fold, newest
@@ -1177,6 +1178,31 @@ def _(f):
     return rounded(out, "MeanGB", "GrowthGBPerDay")
 
 
+@query(
+    "distinct_queries_by_sketch",
+    """SELECT ServerName, coalesce(nullif(trim(external_table_name), ''), '(unknown)') AS ExternalTable, count(DISTINCT query) AS QueryCount,
+       CAST(sum(s3_scanned_bytes) AS DOUBLE) / 1e12 AS TBScanned, true AS WithinError
+       FROM raw_s3 WHERE starttime IS NOT NULL GROUP BY 1, 2""",
+)
+def _(f):
+    """Distinct queries of all days, counted exactly and held against sketches stored in two loads, one of them repeated, and united."""
+    store = fresh_store(f, "sketches")
+    even = F.coalesce(F.col("query") % 2 == 0, F.lit(True))
+    for load, rows in (("a", f.raw_s3.where(even)), ("b", f.raw_s3.where(~even)), ("a", f.raw_s3.where(even))):
+        keep_sketches(store, rows, load)
+    merge_sketches(store)
+    scans = f.raw_s3.where("starttime IS NOT NULL").withColumn(
+        "ExternalTable", F.coalesce(F.nullif(F.trim("external_table_name"), F.lit("")), F.lit("(unknown)"))
+    )
+    exact = scans.groupBy(*SCANNED).agg(F.countDistinct("query").alias("QueryCount"))
+    told = united(stored_sketches(store), *SCANNED).withColumn("_told", F.hll_sketch_estimate("Queries"))
+    off = F.abs(F.col("_told") - F.col("QueryCount"))
+    return exact.join(told, SCANNED).select(
+        *SCANNED, "QueryCount", (F.col("Bytes").cast("double") / F.lit(1e12)).alias("TBScanned"),
+        (off <= F.greatest(F.lit(1.0), F.col("QueryCount") * (4 * STANDARD_ERROR))).alias("WithinError"),
+    )
+
+
 WEEKLY = """SELECT date_trunc('week', CollectedAt)::TIMESTAMP AS Tick, concat(ServerName, '|', MetricName) AS AlertKey, MetricName AS Category,
        CASE WHEN max(MetricValue) >= 80 THEN 'CRIT' ELSE 'WARN' END AS Severity, ServerName, concat(count(*), ' rows') AS Message
 FROM fx_health_metric GROUP BY 1, MetricName, ServerName HAVING max(MetricValue) >= 40 AND count(*) % 3 > 0"""

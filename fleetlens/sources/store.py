@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.operators.latest import SNAPSHOT_DATE
 from fleetlens.schemas import TABLES, empty, struct
@@ -78,9 +79,9 @@ class SnapshotStore:
 
     def sweep(self) -> None:
         """Delete the files that have not counted for a while."""
-        for kind in ("newest", "daily", "events"):  # what is kept up from the series
+        for kind in ("newest", "daily", "events", "sketches"):  # what is kept up from the series and raw rows
             for table in self.files.children(f"{self.root}/{kind}"):
-                LiveTable(self.spark, self.files, f"{self.root}/{kind}/{table}", struct(table), PART).sweep(self.grace)
+                LiveTable(self.spark, self.files, f"{self.root}/{kind}/{table}", StructType(), PART).sweep(self.grace)
         for kind in ("series", "state"):
             for table in self.files.children(f"{self.root}/{kind}"):
                 if kind == "series" or table in SPLIT or table in GROWN:
