@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.oracle import E, GIB, PIECES, L, O, assemble, half_up, sev, threshold_case
@@ -31,6 +31,7 @@ from fleetlens.schemas import TABLES
 from fleetlens.sources import ingest, inventory
 from fleetlens.sources.fixtures import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF, Fixtures
 from fleetlens.sources.ingest import load_sources, read_evidence
+from fleetlens.sources.server_logs import read_logs, stream_logs
 from fleetlens.sources.store import SnapshotStore
 from fleetlens.streaming.alert_life import alert_table, stream_alerts
 from fleetlens.streaming.streams import stream_cycle, stream_dedup
@@ -1030,6 +1031,48 @@ def _(f):
     return read_evidence(f.spark, "json", path, schema=events.schema)
 
 
+def land_logs(f: Fixtures, frame: DataFrame, line, name: str) -> str:
+    """One line of text per row, in folders by server."""
+    path = scratch(f.spark, name)
+    lines = frame.select("ServerName", line.alias("value")).repartition("ServerName")
+    lines.write.partitionBy("ServerName").text(path)
+    return path
+
+
+def as_log_line() -> Column:
+    return F.concat_ws(" ", F.date_format("LogDate", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Logon      "), F.col("LogText"))
+
+
+@query("read_landed_error_log", "SELECT ServerName, LogDate, 'Logon' AS Process, LogText FROM raw_error_log")
+def _(f):
+    """Error logs landed as text, read by splits of their files."""
+    return read_logs(f.spark, land_logs(f, f.raw_error_log, as_log_line(), "error-log"), splitBytes=1 << 20)
+
+
+@query("stream_landed_error_log", "SELECT ServerName, LogDate, 'Logon' AS Process, LogText FROM raw_error_log_previous")
+def _(f):
+    """Error logs landed as text, as a stream with offsets, started twice over one checkpoint."""
+    root, landed = scratch(f.spark, "log-stream"), land_logs(f, f.raw_error_log_previous, as_log_line(), "error-log")
+    for _ in range(2):
+        stream = stream_logs(f.spark, landed, settleSeconds=0)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+        writer.option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+    return f.spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query(
+    "read_landed_ring_buffer",
+    """SELECT ServerName, ring_buffer_type, count(*) AS Records, max(CAST(regexp_extract(record, 'time="([0-9]+)"', 1) AS BIGINT)) AS Newest
+       FROM raw_ring_buffer GROUP BY 1, 2""",
+)
+def _(f):
+    """Ring-buffer records landed as XML text: how many of each type and the newest time."""
+    record = F.concat(F.lit('<Record type="'), F.col("ring_buffer_type"), F.lit('"'), F.expr("substring(record, 8)"))
+    rows = read_logs(f.spark, land_logs(f, f.raw_ring_buffer, record, "ring-buffer"), "ringbuffer")
+    newest = F.max(F.regexp_extract("record", 'time="([0-9]+)"', 1).cast("bigint"))
+    return rows.groupBy("ServerName", "ring_buffer_type").agg(F.count(F.lit(1)).alias("Records"), newest.alias("Newest"))
+
+
 STORED_VITALS = """(SELECT * FROM fx_health_metric QUALIFY row_number() OVER (PARTITION BY Platform, ServerName, MetricName
     ORDER BY CollectedAt DESC, MetricValue DESC NULLS LAST, Detail DESC NULLS LAST) = 1)"""
 CYCLE_ALERTS = f"""WITH stored AS (
