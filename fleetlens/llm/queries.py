@@ -85,6 +85,7 @@ ORACLE = {
     "op3_scan_licences": licences.ORACLE,
     "op4_nearest_neighbours": ann.ORACLE,
     "op6_chat_examples": chat.ORACLE,
+    "op9_shard_by_slots": sharding.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
     "op12_fingerprint_documents": fingerprints.ORACLE,
     "op13_mine_phrases": phrases.ORACLE,

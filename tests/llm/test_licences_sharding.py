@@ -84,3 +84,25 @@ def test_rebalancing_moves_little_and_versions_are_kept(spark, documents, tmp_pa
         assert max(per) - min(per) < 0.02 * total
     assert sharding.load_map(spark, folder).first().version == 3
     assert {r.shard for r in sharding.load_map(spark, folder, 1).collect()} == set(range(4))
+
+
+def test_a_kept_map_places_records_and_the_next_version_moves_few(spark, documents, tmp_path):
+    docs = documents(*[(i, "x" * (i * 31 % 500)) for i in range(4000)])
+    folder = str(tmp_path / "kept")
+    rows = sharding.shard(docs, shards=4, folder=folder, next_shards=5).collect()
+    total, moved = sum(r["size"] for r in rows), sum(r["size"] for r in rows if r.shard != r.next_shard)
+    assert {r.shard for r in rows} == set(range(4)) and {r.next_shard for r in rows} == set(range(5))
+    assert moved < 1.15 * total / 5
+    per = [sum(r["size"] for r in rows if r.next_shard == s) for s in range(5)]
+    assert max(per) - min(per) < 0.02 * total
+    sizes = sharding.slot_bytes(sharding.with_slots(docs))
+    told = sharding.moves(sharding.load_map(spark, folder, 1), sharding.load_map(spark, folder, 2), sizes).collect()
+    assert sum(r.bytes for r in told) == moved and all(r.from_shard != r.to_shard for r in told)
+    # the same shards and slots again: version 2 stands; a table that grew: a new version, old slots where they were or given up
+    again = {r.doc_id: r.shard for r in sharding.shard(docs, shards=5, folder=folder).collect()}
+    assert again == {r.doc_id: r.next_shard for r in rows} and sharding.load_map(spark, folder).first().version == 2
+    more = docs.unionByName(documents(*[(i, "y" * 90) for i in range(4000, 9000)]))
+    grown = {r.doc_id: (r.shard, r.next_shard) for r in sharding.shard(more, shards=5, folder=folder).collect()}
+    assert len(grown) == 9000 and {s for s, _ in grown.values()} == set(range(5)) and {n for _, n in grown.values()} == {None}
+    empty = sharding.shard(docs.limit(0), folder=str(tmp_path / "none"), next_shards=9)
+    assert empty.count() == 0 and "next_shard" in empty.columns and not (tmp_path / "none").exists()
