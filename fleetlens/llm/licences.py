@@ -66,7 +66,7 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-#: Every template holds one of these terms. Only the comparison SQL selects by them; the scan takes every unit that can reach the threshold.
+#: Every template holds one of these terms. Nothing selects by them: the scan takes every unit that can reach the threshold, the SQL every unit.
 CUES = (
     "licensed", "license", "licenced", "licence", "released", "spdx-license-identifier", "permission", "redistribution",
     "redistribute", "cc0", "domain",
@@ -173,10 +173,12 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
     near = may_reach(terms(F.col("unit")), needed_terms(by_template, least), idfs, math.log(1.0 + n) + 1.0, least)
     named = files.withColumn("_file", is_file)
     named = named.withColumn("unit", F.explode(F.when(F.col("_file"), F.concat(units, F.array(text_of("text")))).otherwise(units)))
-    found = stored(named.where(near).select("doc_id", "path", "_file", "unit"))
+    found = stored(named.where(near).select("doc_id", "path", "_file", F.md5("unit").alias("unit"), F.col("unit").alias("words")))
 
-    distinct = found.select("unit").distinct()
-    tf = distinct.select("unit", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # from here on a unit is its hash: its words travel once, to the task that counts its terms
+    distinct = found.groupBy("unit").agg(F.first("words").alias("words"))
+    tf = distinct.select("unit", F.explode(terms(F.col("words"))).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = found.drop("words")
     tf = tf.join(seen, "term", "left").withColumn("w", F.col("tf") * idf(F.coalesce("df", F.lit(0))))
     lengths = tf.groupBy("unit").agg(F.sum(F.col("w") * F.col("w")).alias("uu"))
     weights = known.join(seen, "term", "left").withColumn("t", F.col("tf") * idf(F.coalesce("df", F.lit(0))))
@@ -236,7 +238,6 @@ def op3_query(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     rows = [(f"{name}/{i}", name, text.replace("'", "''")) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
     values = ", ".join(f"('{t}', '{n}', '{x}')" for t, n, x in rows)
-    cues = ", ".join(f"'{c}'" for c in CUES)
     return rf"""
 WITH templates(template, licence, text) AS (VALUES {values}
 ), known AS (
@@ -259,7 +260,7 @@ WITH templates(template, licence, text) AS (VALUES {values}
 ), idf AS (
   SELECT DISTINCT k.term, ln((1 + n) / (1 + coalesce(s.df, 0))) + 1 AS idf FROM known k LEFT JOIN seen s USING (term), total
 ), candidates AS (
-  SELECT DISTINCT unit, terms FROM split WHERE list_has_any(terms, [{cues}])
+  SELECT DISTINCT unit, terms FROM split
 ), tf AS (
   SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest(terms) AS term FROM candidates) GROUP BY unit, term
 ), weighed AS (
