@@ -20,14 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; the files go when the frame is collected as garbage."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
-    return frame.checkpoint()
-
-
 def stored(frame: DataFrame) -> DataFrame:
     """``frame`` written as Parquet to the shared folder and read back.
 
