@@ -89,7 +89,8 @@ def _statistics(texts: pd.Series) -> pd.DataFrame:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Adds the counts of ``STATS``, ``base_failed``, and the transformed statistics ``x`` as whole numbers (1 / UNIT)."""
-    counted = F.pandas_udf(_statistics, STATS)
+    # else a filter on its counts is pushed below it with a call of its own: texts counted twice, two Python workers a task
+    counted = F.pandas_udf(_statistics, STATS).asNondeterministic()
     docs = docs.withColumn("_s", counted(F.col("text").cast("string")))
     docs = docs.withColumns({c.split()[0]: F.col("_s")[c.split()[0]] for c in STATS.split(", ")}).drop("_s")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -550,7 +550,8 @@ def with_removed(
     if carry:
         kinds = kinds.add(docs.select(*carried).schema[0])
     out = placed.cogroup(told.groupBy("slot")).applyInArrow(finished, kinds)
-    nameless = docs.where("doc_id IS NULL").select(doc_id, F.pandas_udf(untouched, schema)(text).alias("r"), *carried)
+    as_is = F.pandas_udf(untouched, schema).asNondeterministic()  # else a filter on the result calls it once more
+    nameless = docs.where("doc_id IS NULL").select(doc_id, as_is(text).alias("r"), *carried)
     return out.unionByName(nameless.select("doc_id", "r.*", *(["carried"] if carry else [])))
 
 

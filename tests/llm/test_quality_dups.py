@@ -205,3 +205,10 @@ def test_cut_texts_stay_valid(documents):
     assert set(got) == {1, 2, 4, 5} and got[2].text == "éEnde ü" and got[2].n_chars == 7
     assert got[1].text == docs[0][1] and got[4].text is None and got[2].extra == {"k": "v"}
     assert suffixes.op5_query(documents(*docs).limit(0)).count() == 0
+
+
+def test_filtered_stages_call_python_once_a_text(documents):
+    """A second call in a task holds a second Python worker, which stays for the stages after."""
+    docs = documents(*[(i, prose(i, 40)) for i in range(3)], (None, prose(9, 40)))
+    for stage in (quality.apply_rules(docs).where("kept"), suffixes.without_repeats(docs)):
+        assert stage._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
