@@ -17,7 +17,7 @@ from fleetlens.llm.common import stored, text_of
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-#: Phrases of one trie at most, about; with more, the text is read once for each pair of tries.
+#: Phrases of ``LONGEST`` words of one trie at most, about, and as many more as they are shorter; with more, there are several.
 TRIE = 1 << 20
 #: Bytes of text walked at once (a longer piece is walked whole), and counts a task holds before it passes them on.
 CHUNK, HELD = 1 << 21, 1 << 21
@@ -120,65 +120,176 @@ def stretches(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[np.ndarray, li
 
 
 class Trie(NamedTuple):
-    """A double array: the child of state s by word w is t = base[s] + w if check[t] = s. State 0 is the root."""
+    """A double array: the child of state s by letter c is t = base[s] + c if check[t] = s. State 0 is the root.
+
+    A word has two letters, the upper and the lower half of its number, so no node spans more than ``1 << bits`` slots.
+    ``table`` has the number of the word of each code, at the code modulo its size or after it. At the accepting
+    states, which have no children, ``base`` holds the row number of the phrase.
+    """
 
     words: np.ndarray
+    table: np.ndarray
+    bits: int
     base: np.ndarray
     check: np.ndarray
-    accept: np.ndarray
+    rows: int
     depth: int
 
 
+class _Places:
+    """Which slots of a double array are taken. Nodes go in from the widest to the narrowest, so those hard to place find it empty.
+
+    A node is given as the distances of its children from the first one; its place is that of the first.
+    """
+
+    #: Children of a node that is placed by itself at least; positions it tries at once, and how often.
+    WIDE, WINDOW, OFTEN = 17, 1024, 8
+
+    def __init__(self, span: int) -> None:
+        self.used = np.ones(span, bool)  # none before ``span``: no base is below 1
+        self.top, self.count, self.span = span, 0, span
+        self.draw = np.random.default_rng(13)
+
+    def _reach(self, size: int) -> None:
+        if size > len(self.used):
+            self.used = np.r_[self.used, np.zeros(max(size, 2 * len(self.used)) - len(self.used), bool)]
+
+    def _take(self, slots: np.ndarray) -> None:
+        self.used[slots] = True
+        self.top = max(self.top, int(slots.max()) + 1)
+        self.count += slots.size
+
+    def _fitting(self, tried: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Of ``tried`` those at which the whole shape is free; of many, some."""
+        at, size = 0, 8
+        while len(tried) and at < len(shape):
+            tried = tried[: max(1, (1 << 16) // size)]
+            tried = tried[~self.used[tried[:, None] + shape[at : at + size]].any(axis=1)]
+            at, size = at + size, 2 * size
+        return tried
+
+    def alone(self, shape: np.ndarray) -> int:
+        """Place of one wide node: a free one of some windows drawn over the array, or its end."""
+        self._reach(self.top + self.WINDOW + self.span)
+        place = self.top
+        for start in self.draw.integers(0, self.top, self.OFTEN).tolist():
+            fits = self._fitting(start + np.arange(self.WINDOW), shape)
+            if len(fits):
+                place = int(fits[0])
+                break
+        self._take(place + shape)
+        return place
+
+    def together(self, shapes: np.ndarray) -> np.ndarray:
+        """Places of nodes of one small width: all draw a free place, those that fit and have it for themselves keep it, the others draw again."""
+        n, width = shapes.shape
+        places, left = np.empty(n, np.int64), np.arange(n)
+        limit = max(self.top, self.span + int((self.count + n * width) / min(0.85, 4 / width)) + 1)
+        claim, rounds = np.empty(0, np.int64), 0
+        while len(left):
+            self._reach(limit + self.span)
+            if len(claim) < len(self.used):
+                claim = np.empty(len(self.used), np.int64)
+            free = np.nonzero(~self.used[:limit])[0]
+            tried = free[self.draw.integers(0, len(free), len(left))]
+            slots = tried[:, None] + shapes[left]
+            fit = np.nonzero(~self.used[slots].any(axis=1))[0]
+            claim[slots[fit]] = fit[:, None]
+            won = fit[(claim[slots[fit]] == fit[:, None]).all(axis=1)]
+            if len(won):
+                self._take(slots[won])
+                places[left[won]] = tried[won]
+                left = np.delete(left, won)
+            rounds += 1
+            if rounds % 32 == 0:
+                limit += limit // 4
+        return places
+
+    def single(self, n: int) -> np.ndarray:
+        """Places of ``n`` nodes of one child: any that are free."""
+        self._reach(self.top + n)
+        places = np.nonzero(~self.used[: self.top + n])[0][:n]
+        if n:
+            self._take(places)
+        return places
+
+
 def build_trie(phrases: np.ndarray) -> Trie:
-    """The trie of phrases of one length (rows of word codes); a phrase's accepting state carries its row number."""
+    """The trie of phrases of one length (rows of word codes); a phrase's accepting state carries its row number.
+
+    Words are numbered by how many phrases have them, so the children of a node lie close together. Only nodes of
+    many children are placed one by one, at a bounded number of positions each: time grows as the phrases do.
+    """
     n, depth = phrases.shape
     words, local = np.unique(phrases, return_inverse=True)
-    local = local.reshape(n, depth).astype(np.int64)
+    order = np.argsort(-np.bincount(local.ravel(), minlength=len(words)), kind="stable")
+    words, numbers = words[order], np.empty(len(words), np.int64)
+    numbers[order] = np.arange(len(words))
+    bits = -(-max(1, len(words) - 1).bit_length() // 2)
+    local = numbers[local.reshape(n, depth)]
     node = np.zeros(n, np.int64)  # number of each phrase's node on the level
-    state_of = np.zeros(1, np.int64)  # state of each node
-    size = 2 * len(words) + 4 * n * depth + 1024
-    base, check, accept = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-    used = np.zeros(size, bool)
-    used[0] = True
-    for level in range(depth):
-        edges, node = np.unique(node * len(words) + local[:, level], return_inverse=True)
-        parents, codes = edges // len(words), edges % len(words)
-        begins = np.nonzero(np.r_[True, parents[1:] != parents[:-1]])[0] if len(edges) else np.empty(0, np.int64)
-        widths = np.diff(np.r_[begins, len(edges)])
-        states = np.empty(len(edges), np.int64)
-        free = np.nonzero(~used)[0]
-        for i in np.argsort(-widths, kind="stable")[: np.count_nonzero(widths > 1)]:
-            at = slice(begins[i], begins[i] + widths[i])
-            shape = codes[at] - codes[at][0]
-            found, step = -1, 0
-            while found < 0:
-                tried = free[step : step + 256]
-                tried = tried[(tried + shape[-1] < size) & ~used[tried]]
-                fits = np.nonzero(~used[tried[:, None] + shape].any(axis=1))[0]
-                if len(fits):
-                    found = tried[fits[0]]
-                elif step >= len(free):  # no room: a longer array
-                    found, size = len(used), len(used) + int(shape[-1]) + 1
-                    base, check, accept = (np.r_[a, np.full(size - len(a), -1, np.int64)] for a in (base, check, accept))
-                    used = np.r_[used, np.zeros(size - len(used), bool)]
-                step += 256
-            states[at] = found + shape
-            used[states[at]] = True
-        alone = begins[widths == 1]
-        free = np.nonzero(~used)[0]
-        if len(free) < len(alone):
-            base, check, accept = (np.r_[a, np.full(len(alone), -1, np.int64)] for a in (base, check, accept))
-            free = np.r_[free, np.arange(len(used), len(used) + len(alone))]
-            used = np.r_[used, np.zeros(len(alone), bool)]
-            size = len(used)
-        states[alone] = free[: len(alone)]
-        used[states[alone]] = True
-        above = state_of[parents]
-        base[above] = states - codes
-        check[states] = above
-        state_of = states
-    accept[state_of[node]] = np.arange(n)
-    return Trie(words, *(a.astype(np.int32) for a in (base, check, accept)), depth)
+    levels, begins, widths, before = [], [], [], 0
+    for letter in (half for i in range(depth) for half in (local[:, i] >> bits, local[:, i] & ((1 << bits) - 1))):
+        edges, node = np.unique(node << bits | letter, return_inverse=True)
+        parents = edges >> bits
+        begin = np.nonzero(np.diff(parents, prepend=-1))[0]
+        levels.append((parents, edges & ((1 << bits) - 1)))
+        begins.append(begin + before)
+        widths.append(np.diff(begin, append=len(edges)))
+        before += len(edges)
+    begin, width, letters = np.concatenate(begins), np.concatenate(widths), np.concatenate([own for _, own in levels])
+
+    places, first = _Places(1 << bits), np.empty(len(begin), np.int64)
+    wide = np.nonzero(width >= _Places.WIDE)[0]
+    for i in wide[np.argsort(-width[wide], kind="stable")].tolist():
+        own = letters[begin[i] : begin[i] + width[i]]
+        first[i] = places.alone(own - own[0])
+    for narrow in range(_Places.WIDE - 1, 1, -1):
+        some = np.nonzero(width == narrow)[0]
+        if len(some):
+            own = letters[begin[some][:, None] + np.arange(narrow)]
+            first[some] = places.together(own - own[:, :1])
+    some = np.nonzero(width == 1)[0]
+    first[some] = places.single(len(some))
+    states = np.repeat(first - letters[begin], width) + letters
+
+    size = places.top + (1 << bits)
+    base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+    state_of, at = np.zeros(1, np.int64), 0  # state of each node
+    for parents, own in levels:
+        above, state_of, at = state_of[parents], states[at : at + len(own)], at + len(own)
+        base[above] = state_of - own
+        check[state_of] = above
+    base[state_of[node]] = np.arange(n)
+    return Trie(words, _table(words), bits, base, check, n, depth)
+
+
+def _table(words: np.ndarray) -> np.ndarray:
+    """An open hash table of the rows of ``words``, a quarter full or less."""
+    table = np.full(1 << (4 * len(words)).bit_length(), -1, np.int32)
+    left = np.arange(len(words))
+    at = (words & np.uint64(len(table) - 1)).astype(np.int64)
+    while len(left):
+        free = table[at] < 0
+        table[at[free]] = left[free]
+        out = table[at] != left
+        left, at = left[out], (at[out] + 1) & (len(table) - 1)
+    return table
+
+
+def _numbers(trie: Trie, codes: np.ndarray) -> np.ndarray:
+    """The number of the word of each code, or -1."""
+    at = (codes & np.uint64(len(trie.table) - 1)).astype(np.int64)
+    number = trie.table[at]
+    other = np.nonzero(trie.words[number] != codes)[0]
+    other = other[number[other] >= 0]
+    at = at[other]
+    while len(other):  # another word's place: on to the next
+        at = (at + 1) & (len(trie.table) - 1)
+        number[other] = trie.table[at]
+        on = (number[other] >= 0) & (trie.words[number[other]] != codes[other])
+        other, at = other[on], at[on]
+    return number
 
 
 def accepted(trie: Trie, words: Words) -> np.ndarray:
@@ -186,20 +297,20 @@ def accepted(trie: Trie, words: Words) -> np.ndarray:
     out = np.full(len(words.code), -1, np.int64)
     if not len(trie.words) or not len(out):
         return out
-    local = np.minimum(np.searchsorted(trie.words, words.code), len(trie.words) - 1)
-    local[trie.words[local] != words.code] = -1
-    at, state = np.nonzero(local >= 0)[0], 0
+    number = _numbers(trie, words.code)
+    known = number >= 0
+    at = np.nonzero(known)[0]
+    state = np.zeros(len(at), np.int32)
     for level in range(trie.depth):
         if level:
             at, state = at[at + level < len(out)], state[at + level < len(out)]
-            on = words.continues[at + level] & (local[at + level] >= 0)
+            on = words.continues[at + level] & known[at + level]
             at, state = at[on], state[on]
-        child = (trie.base[state] + local[at + level]).astype(np.int64)
-        there = (child >= 0) & (child < len(trie.check))
-        at, child, state = at[there], child[there], (state[there] if level else 0)
-        here = trie.check[child] == state
-        at, state = at[here], child[here]
-    out[at] = trie.accept[state]
+        for shift in (trie.bits, 0):
+            child = trie.base[state] + (number[at + level] >> shift & ((1 << trie.bits) - 1))
+            here = trie.check[child] == state
+            at, state = at[here], child[here]
+    out[at] = trie.base[state]
     return out
 
 
@@ -215,12 +326,12 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
     """``code``, ``lang``, ``word``, ``n`` (and ``clash``: another word has the code) over all texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.empty((3, 0), np.uint64)  # code, a second hash that tells words of one code apart, count; by code
-        spelt: dict[tuple[int, int], tuple[str, str]] = {}
+        known = np.empty((4, 0), np.uint64)  # code, a second hash that tells words of one code apart, count, place in ``spelt``; by code
+        spelt: tuple[list[pa.Array], list[pa.Array]] = [], []  # languages, words
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            named = [spelt[code, other] for code, other in zip(rows[0].tolist(), rows[1].tolist(), strict=True)]
-            columns = [pa.array(rows[0].view(np.int64)), *(pa.array([n[i] for n in named], pa.string()) for i in (0, 1)), pa.array(rows[2].view(np.int64))]
+            named = [pa.concat_arrays(part).take(pa.array(rows[3])) for part in spelt]
+            columns = [pa.array(rows[0].view(np.int64)), *named, pa.array(rows[2].view(np.int64))]
             return pa.RecordBatch.from_arrays(columns, schema=WORD_COUNTS)
 
         for batch in batches:
@@ -228,24 +339,28 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
                 if not len(words.code):
                     continue
                 both = np.stack([words.code, _words_again(data, words)])
-                order = np.lexsort(both[::-1])
-                at = np.nonzero(np.r_[True, (np.diff(both[:, order]) != 0).any(axis=0)])[0]
+                order = np.argsort(both[0])
+                new = np.diff(both[:, order]) != 0
+                if (new[1] & ~new[0]).any():  # words of one code
+                    order = np.lexsort(both[::-1])
+                    new = np.diff(both[:, order]) != 0
+                at = np.nonzero(np.r_[True, new.any(axis=0)])[0]
                 rows = order[at]
                 here = np.vstack([both[:, rows], np.diff(np.r_[at, len(order)]).astype(np.uint64)])
                 place = np.minimum(np.searchsorted(known[0], here[0]), max(0, known.shape[1] - 1))
                 old = (known[:2, place] == here[:2]).all(axis=0) if known.shape[1] else np.zeros(len(rows), bool)
                 known[2, place[old]] += here[2, old]
                 fresh = np.nonzero(~old)[0]
-                text = data.tobytes()
-                for i in fresh:
-                    word = text[words.start[rows[i]] : words.end[rows[i]]].lower().decode("utf-8", "replace")
-                    spelt[int(here[0, i]), int(here[1, i])] = names[words.lang[rows[i]]], word
-                known = np.hstack([known, here[:, fresh]])
+                spelt[0].append(pa.array(names, pa.string()).take(pa.array(words.lang[rows[fresh]])))
+                spelt[1].append(_spelt(data, words.start[rows[fresh]], words.end[rows[fresh]]))
+                places = np.arange(known.shape[1], known.shape[1] + len(fresh), dtype=np.uint64)
+                known = np.hstack([known, np.vstack([here[:, fresh], places])])
                 known = known[:, np.argsort(known[0], kind="stable")]
                 if known.shape[1] > HELD // 4:
                     yield out(known)
-                    known, spelt = known[:, :0], {}
-        yield out(known)
+                    known, spelt = known[:, :0], ([], [])
+        if known.shape[1]:
+            yield out(known)
 
     parts = texts.mapInArrow(counted, "code long, lang string, word string, n long")
     spelt = F.struct("lang", "word")
@@ -254,6 +369,18 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
     ).select("code", "w.lang", "w.word", "n", "clash")
 
 
+def _spelt(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words of ``data`` that lie there, in lower case."""
+    ends = np.cumsum(end - start)
+    letters = _LOWER[data[np.repeat(end - ends, end - start) + np.arange(ends[-1] if len(ends) else 0)]].astype(np.uint8)
+    buffers = [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(letters)]
+    words = pa.Array.from_buffers(pa.binary(), len(ends), buffers)
+    try:
+        return words.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no text
+        return pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.string())
+
+
 def _words_again(data: np.ndarray, words: Words) -> np.ndarray:
     powers, inverses = _powers(0xD1342543DE82EF95, max(CHUNK, 1 << int(max(1, len(data) - 1)).bit_length()))
     with np.errstate(over="ignore"):
@@ -267,7 +394,7 @@ def walked(texts: DataFrame, here: Trie, after: Trie, seed: int, count: bool, pa
     begins at a word and one of ``after`` at the next word of the piece (``kind`` 1, key: row in here * 2**32 + row in after)."""
     context = texts.sparkSession.sparkContext
     held = context.broadcast((here, None if after is here else after))
-    rows = len(here.accept) and int(here.accept.max()) + 1
+    rows = here.rows
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,20 +431,28 @@ def walked(texts: DataFrame, here: Trie, after: Trie, seed: int, count: bool, pa
     return texts.mapInArrow(counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _numbered(phrases: DataFrame, per_trie: int) -> tuple[DataFrame, int]:
-    """``phrases`` (``codes``, ...) with the trie each belongs to and its row there; a trie holds about ``per_trie`` at most."""
+def _numbered(phrases: DataFrame, length: int, per_trie: int) -> tuple[DataFrame, int]:
+    """``phrases`` (``codes``) of one length, with their trie and row as the first phrase of a pair (``here``, ``a``) and as the
+    second (``after``, ``b``). Phrases that may follow one another go together: by all but the first and by all but the last word."""
     phrases = stored(phrases)
-    tries = -(-phrases.count() // per_trie)
-    at = Window.partitionBy("trie").orderBy("codes")
-    numbered = phrases.withColumn("trie", F.pmod(F.xxhash64("codes"), F.lit(max(1, tries))).cast("int"))
-    return stored(numbered.withColumn("row", (F.row_number().over(at) - 1).cast("long"))), tries
-
-
-def _trie(numbered: DataFrame, trie: int) -> Trie:
-    """One trie, built on the driver; its size is bounded by ``per_trie``."""
-    rows = numbered.where(F.col("trie") == trie).orderBy("row").select("codes").toArrow().column("codes").combine_chunks()
+    tries = -(-phrases.count() * length // (LONGEST * per_trie))
+    if tries < 2:
+        row = (F.row_number().over(Window.partitionBy("here").orderBy("codes")) - 1).cast("long")
+        numbered = phrases.withColumn("here", F.lit(0)).withColumn("a", row)
+        return stored(numbered.withColumn("after", F.col("here")).withColumn("b", F.col("a"))), tries
+    numbered = phrases
+    for trie, row, start in (("here", "a", 2), ("after", "b", 1)):
+        shared = F.slice("codes", start, length - 1) if length > 1 else F.col("codes")
+        numbered = numbered.withColumn(trie, F.pmod(F.xxhash64(shared), F.lit(tries)).cast("int"))
+        numbered = numbered.withColumn(row, (F.row_number().over(Window.partitionBy(trie).orderBy("codes")) - 1).cast("long"))
+    return stored(numbered), tries
+
+
+def _trie(numbered: DataFrame, length: int, side: str, row: str, trie: int) -> Trie:
+    """One trie, built on the driver; its size is bounded by ``per_trie``. It may be empty."""
+    rows = numbered.where(F.col(side) == trie).orderBy(row).select("codes").toArrow().column("codes").combine_chunks()
     flat = rows.flatten().to_numpy().view(np.uint64)
-    return build_trie(flat.reshape(len(rows), -1))
+    return build_trie(flat.reshape(len(rows), length))
 
 
 class Counts(NamedTuple):
@@ -338,8 +473,10 @@ def count_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGEST,
     that both begin such a phrase the pairs are counted too. Pairs that occur
     often enough are the candidates of k + 1 words: whatever is dropped has a part
     that is too rare, or is too rare itself. A candidate counts by the trie of its level.
-    A trie holds about ``per_trie`` phrases. If a level has more, the texts are
-    read once for each pair of tries, so what is broadcast is bounded at every size.
+    A trie holds about ``per_trie`` phrases of the longest length. If a level has
+    more, phrases are dealt by the words that two neighbours share, and the texts are
+    read once for each trie, so what is broadcast is bounded at every size. Single
+    words share none: of them the texts are read once for each pair of tries.
     """
     seed = 0
     while True:
@@ -349,32 +486,32 @@ def count_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGEST,
         seed += 1
     sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = stored(counted.where(F.col("n") >= least).select("code", "lang", "word", "n"))
-    level, tries = _numbered(words.select(F.array("code").alias("codes")), per_trie)
+    level, tries = _numbered(words.select(F.array("code").alias("codes")), 1, per_trie)
     found = []
     for length in range(1, longest + 1):
         totals, pairs = [], []
         for i in range(tries):
-            here = _trie(level, i)
-            for j in range(tries):
-                if length == longest and j:
-                    break
-                after = here if i == j else _trie(level, j)
-                summed = stored(walked(texts, here, after, seed, count=length > 1 and j == 0, pair=length < longest).where(F.col("n") >= least))
-                if length > 1 and j == 0:
-                    totals.append(summed.where("kind = 0").select(F.lit(i).alias("trie"), F.col("key").alias("row"), "n"))
+            here = _trie(level, length, "here", "a", i)
+            for j in range(tries) if length == 1 else [i]:
+                same = tries == 1 or length == longest or (length == 1 and i == j)
+                after = here if same else _trie(level, length, "after", "b", j)
+                summed = stored(walked(texts, here, after, seed, count=length > 1, pair=length < longest).where(F.col("n") >= least))
+                totals.append(summed.where("kind = 0").select(F.lit(i).alias("here"), F.col("key").alias("a"), "n"))
                 pairs.append(summed.where("kind = 1").select(
-                    F.lit(i).alias("i"), F.shiftright("key", 32).alias("a"), F.lit(j).alias("j"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("b")
+                    F.lit(i).alias("here"), F.shiftright("key", 32).alias("a"), F.lit(j).alias("after"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("b")
                 ))
-        for total in totals:
-            found.append(level.join(total, ["trie", "row"]).select("codes", F.col("n").alias("f")))
+        if length > 1:
+            for total in totals:
+                found.append(level.join(total, ["here", "a"]).select("codes", F.col("n").alias("f")))
         if not tries or length == longest:
             break
         joined = pairs[0]
         for more in pairs[1:]:
             joined = joined.union(more)
-        left = level.select(F.col("trie").alias("i"), F.col("row").alias("a"), F.col("codes").alias("l"))
-        right = level.select(F.col("trie").alias("j"), F.col("row").alias("b"), F.element_at("codes", -1).alias("r"))
-        level, tries = _numbered(joined.join(left, ["i", "a"]).join(right, ["j", "b"]).select(F.array_append("l", F.col("r")).alias("codes")), per_trie)
+        left = level.select("here", "a", F.col("codes").alias("l"))
+        right = level.select("after", "b", F.element_at("codes", -1).alias("r"))
+        longer = joined.join(left, ["here", "a"]).join(right, ["after", "b"]).select(F.array_append("l", F.col("r")).alias("codes"))
+        level, tries = _numbered(longer, length + 1, per_trie)
     phrases = words.sparkSession.createDataFrame([], "codes array<long>, f long")
     for more in found:
         phrases = phrases.union(more)

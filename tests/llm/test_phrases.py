@@ -131,3 +131,83 @@ def test_codes_that_clash_start_again(spark, rows, monkeypatch):
     monkeypatch.setattr(m, "word_counts", clashing)
     check(spark, rows, 30)
     assert seeds == [0, 1]
+
+
+def pairs_of_words(n, vocabulary, seed=3):
+    draw = np.random.default_rng(seed)
+    first, second = (draw.zipf(1.2, 2 * n) % vocabulary for _ in range(2))
+    return np.unique(np.stack([first, second], 1).astype(np.uint64), axis=0)[:n]
+
+
+def test_time_of_a_trie_grows_as_its_phrases(monkeypatch):
+    # positions looked at while nodes are placed, and slots: eight times the phrases, about eight times as many
+    looked = []
+    fitting, together = m._Places._fitting, m._Places.together
+    monkeypatch.setattr(m._Places, "_fitting", lambda self, tried, shape: looked.append(len(tried)) or fitting(self, tried, shape))
+    monkeypatch.setattr(m._Places, "together", lambda self, shapes: looked.append(shapes.size) or together(self, shapes))
+    work, slots = [], []
+    for n in (20_000, 160_000):
+        looked.clear()
+        trie = m.build_trie(pairs_of_words(n, n))
+        work.append(sum(looked))
+        slots.append(len(trie.check))
+    assert work[1] < 16 * work[0]
+    assert slots[1] < 6 * 160_000
+
+
+@pytest.mark.parametrize("vocabulary", [1, 2, 700, 90_000])
+def test_large_trie_accepts_its_phrases_and_no_other(vocabulary):
+    phrases = pairs_of_words(60_000, vocabulary) * np.uint64(2**58 + 7)
+    trie = m.build_trie(phrases)
+    text = np.vstack([phrases, phrases[:, ::-1]]).ravel()
+    continues = np.arange(len(text)) % 2 == 1
+    none = np.zeros(len(text), np.int64)
+    got = m.accepted(trie, m.Words(none, none, text, continues, none))[::2]
+    rows = {tuple(p): i for i, p in enumerate(phrases.tolist())}
+    assert got.tolist() == [rows.get(tuple(p), -1) for p in text.reshape(-1, 2).tolist()]
+
+
+def test_texts_are_read_once_for_each_trie_of_a_level(spark, rows, monkeypatch):
+    # of single words, which share no word, once for each pair
+    walked, read = m.walked, Counter()
+
+    def counting(texts, here, *rest, **named):
+        read[here.depth] += 1
+        return walked(texts, here, *rest, **named)
+
+    monkeypatch.setattr(m, "walked", counting)
+    check(spark, rows, 20, per_trie=5)
+    often = Counter(len(p) for f in counts(rows).values() for p, n in f.items() if n >= 20)
+    tries = {k: -(-n * k // (5 * m.LONGEST)) for k, n in often.items()}
+    assert tries[1] > 1 and tries[2] > 1
+    assert read == tries | {1: tries[1] ** 2}
+
+
+def test_tries_of_a_level_may_be_empty(spark, monkeypatch):
+    sizes, build = [], m.build_trie
+    monkeypatch.setattr(m, "build_trie", lambda phrases: sizes.append(len(phrases)) or build(phrases))
+    assert check(spark, [("en", "a b c d e f g h. x y")] * 3, 3, per_trie=1)
+    assert 0 in sizes
+
+
+def test_words_that_are_no_text():
+    data = np.frombuffer(b"aB \xff\xc3x \xc3\xa4", np.uint8)
+    assert m._spelt(data, np.array([0, 3, 7]), np.array([2, 6, 9])).to_pylist() == ["ab", "\ufffd\ufffdx", "\u00e4"]
+    assert m._spelt(data, np.array([], np.int64), np.array([], np.int64)).to_pylist() == []
+
+
+def test_words_of_one_code_are_counted_apart(spark, monkeypatch):
+    # in this process: the function of the tasks
+    import pyarrow as pa
+
+    taken, stretches = [], m.stretches
+    monkeypatch.setattr(m, "stretches", lambda *a: ((d, n, w._replace(code=w.code & np.uint64(1))) for d, n, w in stretches(*a)))
+    frame = type("Frame", (), {"mapInArrow": lambda self, f, schema: taken.append(f) or spark.createDataFrame([], schema)})()
+    m.word_counts(frame, 0)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 3 + ["de"]), pa.array(["a b c d e f", "B a", "b f", "a"])], ["lang", "text"])
+    found = Counter()
+    for out in taken[0](iter([batch, batch])):
+        for row in out.to_pylist():
+            assert row["code"] in (0, 1)
+            found[row["lang"], row["word"]] += row["n"]
+    assert found == {("en", w): 2 * n for w, n in dict(a=2, b=3, c=1, d=1, e=1, f=2).items()} | {("de", "a"): 2}
